@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.substring_dedup import dedup_substrings
 
 
@@ -19,8 +20,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, similarity=(85, 100))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_substring_dedup,)}
+    return {f.__name__: f for f in (op5_substring_dedup, op6_near_dedup)}
 
 
 OP5_SQL = r"""
@@ -43,5 +48,26 @@ FROM w LEFT JOIN goner USING (doc_id)
 """
 
 
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct([array_to_string(words[i:i + 2], ' ') for i in range(1, len(words) - 1)]) END AS sh FROM w
+), e AS (
+  SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), l AS (
+  SELECT a, b FROM p UNION ALL SELECT b, a FROM p
+), r AS (
+  SELECT doc_id AS node, doc_id AS seen FROM s UNION SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a
+)
+SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, c.m AS component_id, s.doc_id = c.m AS kept
+FROM s JOIN (SELECT node, min(seen) AS m FROM r GROUP BY node) c ON s.doc_id = c.node
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring_dedup": OP5_SQL}
+    return {"op5_substring_dedup": OP5_SQL, "op6_near_dedup": OP6_SQL}
