@@ -59,16 +59,15 @@ def pack(docs: DataFrame, id_col: str, text_col: str, fold: object = None, part_
     one = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"), (F.lit(0) if fold is None else fold).cast("int").alias("f"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made, held = TaskContext.get().partitionId() << 32, 0, {}
+        split, made, held = TaskContext.get().partitionId() << 32, {}, {}
         press = zstandard.ZstdCompressor(level=3)
 
         def out(f: int) -> pa.RecordBatch:
-            nonlocal made
             ids, nulls, texts, _ = held.pop(f)
-            made += 1
+            made[f] = made.get(f, 0) + 1
             lens = np.array([len(t) for t in texts], np.int64)
             texts.append(b"")
-            row = [part + made, f, np.array(ids, np.int64).tobytes(), bytes(nulls), lens.tobytes(), press.compress(b"\n".join(texts))]
+            row = [split + (f << 28) + made[f], f, np.array(ids, np.int64).tobytes(), bytes(nulls), lens.tobytes(), press.compress(b"\n".join(texts))]
             return pa.RecordBatch.from_arrays([pa.array([x], y.type) for x, y in zip(row, PART_SCHEMA, strict=True)], schema=PART_SCHEMA)
 
         for b in batches:
@@ -154,9 +153,9 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: later jobs read it, whichever executor made it is lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
