@@ -12,6 +12,9 @@
    such members they are compared with all its members on full sets, in blocks of bounded size by matrix
    products; only a spanning set of the links found leaves the block.
 5. Connected components of all links.
+
+Joins with tables of sets, texts and buckets are sort-merge joins by hint, so that the plan measured on
+small tables is the plan of large ones.
 """
 
 from __future__ import annotations
@@ -79,7 +82,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, rows: in
 
 def shingle_table(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame, width: int) -> DataFrame:
     """(doc, els) for the documents named in ids (column doc); els: sorted 64-bit shingle fingerprints."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("t")).join(ids.select("doc"), "doc", "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("t")).join(ids.select("doc").hint("merge"), "doc", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -97,8 +100,8 @@ def _passes(inter: np.ndarray | int, na: np.ndarray | int, nb: np.ndarray | int,
 def _verify(edges: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """(pivot, doc, linked) for candidates (doc, pivot): members stream past their pivot's set."""
     salts = edges.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(SALT)).cast("int").alias("salts"))
-    heads = salts.join(sets.withColumnRenamed("doc", "pivot"), "pivot").select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("pivot").alias("doc"), "els")
-    members = edges.join(salts, "pivot").select("doc", "pivot", F.expr("cast(pmod(xxhash64(doc), salts) as int)").alias("salt")).join(sets, "doc").select("pivot", "salt", F.lit(1).alias("role"), "doc", "els")
+    heads = salts.join(sets.withColumnRenamed("doc", "pivot").hint("merge"), "pivot").select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("pivot").alias("doc"), "els")
+    members = edges.join(salts, "pivot").select("doc", "pivot", F.expr("cast(pmod(xxhash64(doc), salts) as int)").alias("salt")).join(sets.hint("merge"), "doc").select("pivot", "salt", F.lit(1).alias("role"), "doc", "els")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -175,7 +178,7 @@ def _complete(found: DataFrame, sets: DataFrame, similarity: tuple[int, int]) ->
     # block k meets each block from k on: a row goes to every pair of blocks that holds its own
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = rows.select("*", other.alias("o")).select("pivot", "doc", (~F.col("linked")).alias("free"), F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-    full = pairs.join(sets, "doc").select("pivot", "i", "j", "doc", "free", "els")
+    full = pairs.join(sets.hint("merge"), "doc").select("pivot", "i", "j", "doc", "free", "els")
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         docs = t.column("doc").to_numpy()
@@ -201,7 +204,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(named.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
     keys = classes.select("rep", F.explode("bands").alias("key"))
     pivots = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot <> last").select("key", "pivot")
-    edges = written(keys.join(pivots, "key").where("rep <> pivot").select(F.col("rep").alias("doc"), "pivot").distinct(), "candidates")
+    edges = written(keys.join(pivots.hint("merge"), "key").where("rep <> pivot").select(F.col("rep").alias("doc"), "pivot").distinct(), "candidates")
     ids = edges.select("doc").unionByName(edges.select(F.col("pivot").alias("doc"))).distinct()
     sets = written(shingle_table(docs, id_col, text_col, ids, width), "sets")
     found = written(_verify(edges, sets, similarity).groupBy("pivot", "doc").agg(F.max("linked").alias("linked")), "verified")
