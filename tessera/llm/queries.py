@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.decontaminate import contaminated_pairs
 from tessera.llm.lm_score import score_documents
+from tessera.llm.mixing import DIMENSIONS, TEMPER, mixed
 from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.quality import classify
+from tessera.llm.sharding import SHARDS, SLOTS, assign_shards, fill_table
 from tessera.llm.substring_dedup import dedup_substrings
 from tessera.llm.topk_search import top_k
 
@@ -17,10 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(table(spark, sf_dir, "documents")).select("doc_id", "slot", "shard")
+
+
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return pairs.select("doc_id", "item_id", "shared", "n_item")
+
+
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -34,9 +47,69 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, similarity=(85, 100))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixed(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", *(F.col(f"mix_{d}").alias(d) for d in DIMENSIONS), F.col("mix_tokens").alias("tokens"), F.round("mix_keep", 6).alias("keep"), F.col("mix_kept").alias("kept"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_lm_score, op4_topk_search, op5_substring_dedup, op6_near_dedup)}
+    return {f.__name__: f for f in (op1_sharding, op2_lm_score, op3_decontamination, op4_topk_search, op5_substring_dedup, op6_near_dedup, op9_quality, op10_mixing, pipeline)}
+
+
+OP1_SQL = f"""
+SELECT doc_id, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT % {SLOTS})::INT AS slot,
+       ([{",".join(map(str, fill_table(SHARDS)))}])[('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT % {SLOTS} + 1]::INT AS shard
+FROM documents
+"""
+
+OP10_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+    CASE WHEN regexp_matches(coalesce(text, ''), '[0-9]{{4}}') THEN 'records' WHEN contains(coalesce(text, ''), '|') THEN 'tables'
+         WHEN length(coalesce(text, '')) >= 4000 THEN 'long prose' ELSE 'prose' END AS topic,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens FROM documents
+), c AS (
+  SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM d GROUP BY ALL HAVING sum(tokens) > 0
+), gs AS (SELECT source, pow(sum(tokens), {TEMPER}) / sum(pow(sum(tokens), {TEMPER})) OVER () AS g FROM c GROUP BY source
+), gl AS (SELECT lang, pow(sum(tokens), {TEMPER}) / sum(pow(sum(tokens), {TEMPER})) OVER () AS g FROM c GROUP BY lang
+), gt AS (SELECT topic, pow(sum(tokens), {TEMPER}) / sum(pow(sum(tokens), {TEMPER})) OVER () AS g FROM c GROUP BY topic
+), b AS (
+  SELECT c.*, gs.g AS s, gl.g AS l, gt.g AS t, sum(tokens) OVER () AS n FROM c JOIN gs USING (source) JOIN gl USING (lang) JOIN gt USING (topic)
+), r AS (
+  SELECT 0 AS step, source, lang, topic, tokens, s, l, t, n, 1.0::DOUBLE AS f FROM b
+  UNION ALL
+  SELECT step + 1, source, lang, topic, tokens, s, l, t, n, f * t * n / sum(tokens * f) OVER (PARTITION BY topic) FROM (
+    SELECT step, source, lang, topic, tokens, s, l, t, n, f * l * n / sum(tokens * f) OVER (PARTITION BY lang) AS f FROM (
+      SELECT step, source, lang, topic, tokens, s, l, t, n, f * s * n / sum(tokens * f) OVER (PARTITION BY source) AS f FROM r WHERE step < 60))
+), k AS (
+  SELECT source, lang, topic, f / max(f) OVER () AS keep FROM r WHERE step = 60
+)
+SELECT doc_id, source, lang, topic, tokens, round(coalesce(keep, 0), 6) AS keep,
+       ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix'), 1, 12))::BIGINT / (2 ** 48) < coalesce(keep, 0) AS kept
+FROM d LEFT JOIN k USING (source, lang, topic)
+"""
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP3_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) BETWEEN 1 AND 4 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[k:k + 4], ' ') for k in range(1, len(w) - 3)] END) AS x FROM d),
+s AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) BETWEEN 1 AND 4 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[k:k + 4], ' ') for k in range(1, len(w) - 3)] END) AS x FROM i),
+n AS (SELECT item_id, count(*) AS n_item FROM s GROUP BY item_id)
+SELECT doc_id, item_id, count(*)::BIGINT AS shared, n_item::BIGINT AS n_item
+FROM ds JOIN s USING (x) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 80 * n_item
+"""
 
 OP4_SQL = """
 WITH v AS (
@@ -92,4 +165,4 @@ FROM s JOIN (SELECT node, min(seen) AS m FROM r GROUP BY node) c ON s.doc_id = c
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk_search": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op6_near_dedup": OP6_SQL}
+    return {"op1_sharding": OP1_SQL, "op10_mixing": OP10_SQL, "op3_decontamination": OP3_SQL, "op4_topk_search": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op6_near_dedup": OP6_SQL}
