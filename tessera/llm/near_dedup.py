@@ -33,7 +33,7 @@ from tessera.llm._sketch import band_keys, bands_for, sketch
 
 ROWS = 5
 BLOCK = 1000
-SALT = 5000
+SALT = 500
 _SIG = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"
 _SIG_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _SETS_SCHEMA = pa.schema([("doc", pa.int64()), ("els", pa.binary())])
