@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.decontaminate import contaminated_pairs
+from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.lm_score import score_documents
 from tessera.llm.mixing import DIMENSIONS, TEMPER, mixed
 from tessera.llm.near_dedup import near_duplicates
@@ -47,6 +48,11 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, similarity=(85, 100))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = dedup_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "class_id", "n_lines", "n_removed", "n_links", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"))
 
@@ -63,7 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_lm_score, op3_decontamination, op4_topk_search, op5_substring_dedup, op6_near_dedup, op9_quality, op10_mixing, pipeline)}
+    return {f.__name__: f for f in (op1_sharding, op2_lm_score, op3_decontamination, op4_topk_search, op5_substring_dedup, op6_near_dedup, op7_line_dedup, op9_quality, op10_mixing, pipeline)}
 
 
 OP1_SQL = f"""
