@@ -15,6 +15,7 @@ from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.quality import classify
 from tessera.llm.sharding import SHARDS, SLOTS, assign_shards, fill_table
 from tessera.llm.substring_dedup import dedup_substrings
+from tessera.llm.token_packing import pack_tokens
 from tessera.llm.topk_search import top_k
 
 
@@ -53,6 +54,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "class_id", "n_lines", "n_removed", "n_links", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pack_tokens(table(spark, sf_dir, "documents"))
+    return rows.withColumn("input_sha256", F.sha2("input_ids", 256)).withColumn("position_sha256", F.sha2("position_ids", 256)).drop("input_ids", "position_ids")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"))
 
@@ -69,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_lm_score, op3_decontamination, op4_topk_search, op5_substring_dedup, op6_near_dedup, op7_line_dedup, op9_quality, op10_mixing, pipeline)}
+    return {f.__name__: f for f in (op1_sharding, op2_lm_score, op3_decontamination, op4_topk_search, op5_substring_dedup, op6_near_dedup, op7_line_dedup, op8_token_packing, op9_quality, op10_mixing, pipeline)}
 
 
 OP1_SQL = f"""
