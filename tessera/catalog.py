@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.plans import registry
+
 FLAGSHIP = "rank_bm25"
+MODULES = ("q_rank",)
+
+for _name in MODULES:
+    importlib.import_module(f"tessera.plans.{_name}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
