@@ -32,6 +32,7 @@ MOST_WRONG = 0.01
 # Common insults.
 INSULTS = ("clown", "disgusting", "dumb", "idiot", "idiotic", "imbecile", "loser", "moron", "moronic", "pathetic", "scum", "stupid", "trash", "worthless")
 
+_SLICE = 1 << 20
 _CLASS = np.zeros(256, np.uint8)  # 0 other, 1 lower, 2 upper, 3 digit, 4 common mark, 5 symbol, 6 part of a longer character
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 6
 _CLASS[list(b".,;:?!'\"()-")] = 4
@@ -52,22 +53,21 @@ class Texts:
         self.owner = np.repeat(np.arange(len(raw)), self.n)
         self.word = T.word_hashes(T.LOWER[self.buf], self.s, self.e)
         cls = _CLASS[self.buf]
-        sums = np.stack([np.concatenate([[0], np.cumsum(cls == k, dtype=np.int64)]) for k in range(1, 7)])
-        self.per_doc = sums[:, starts + lens] - sums[:, starts]
+        self.starts = starts
+        self.per_doc = [self.sums(cls == k) for k in range(1, 7)]
         self.first, self.last = cls[self.s], cls[self.e - 1]
         self.size = self.e - self.s
-        self.upper = (sums[1, self.e] - sums[1, self.s]) > 1
+        capitals = np.concatenate([[0], np.cumsum(cls == 2, dtype=np.int32)])
+        self.upper = (capitals[self.e] - capitals[self.s]) > 1
         self.same = np.zeros(len(self.s), bool)
         self.same[1:] = (self.word[1:] == self.word[:-1]) & (self.owner[1:] == self.owner[:-1])
 
     def count(self, flag: np.ndarray) -> np.ndarray:
         return np.bincount(self.owner, flag, len(self.n))
 
-    def byte_count(self, byte: int) -> np.ndarray:
-        one = np.concatenate([[0], np.cumsum(self.buf == byte, dtype=np.int64)])
-        ends = np.append(self.s, len(self.buf))
-        at = np.minimum(self.cut, len(self.s))
-        return one[ends[at[1:]]] - one[ends[at[:-1]]] if len(self.s) else np.zeros(len(self.n), np.int64)
+    def sums(self, flag: np.ndarray) -> np.ndarray:
+        """Of each text the bytes with the flag."""
+        return np.add.reduceat(flag.view(np.uint8), self.starts, dtype=np.int64) if len(self.starts) else np.zeros(0, np.int64)
 
     def votes(self) -> np.ndarray:
         """documents x labellers: -1 bad, 1 good, 0 no vote. Texts without words get no vote."""
@@ -80,7 +80,7 @@ class Texts:
         new[order[1:]] = (self.word[order[1:]] != self.word[order[:-1]]) | (self.owner[order[1:]] != self.owner[order[:-1]])
         insult = np.isin(self.word, _insults())
         odd = self.last == 5
-        bad = [symbol >= 0.05 * chars, self.count(odd) >= 0.2 * n, (upper >= 0.5 * letters) & (upper >= 10), self.byte_count(33) >= 0.2 * n, self.byte_count(124) >= 0.1 * n, (self.count(self.same) >= 0.2 * n) & (self.n >= 10), (self.count(new) < 0.35 * n) & (self.n >= 20) & (self.n < 400), self.count(insult) > 0]
+        bad = [symbol >= 0.05 * chars, self.count(odd) >= 0.2 * n, (upper >= 0.5 * letters) & (upper >= 10), self.sums(self.buf == 33) >= 0.2 * n, self.sums(self.buf == 124) >= 0.1 * n, (self.count(self.same) >= 0.2 * n) & (self.n >= 10), (self.count(new) < 0.35 * n) & (self.n >= 20) & (self.n < 400), self.count(insult) > 0]
         out = np.stack([-x.astype(np.int8) for x in bad], axis=1)
         prose = np.where(lower + longer >= 0.8 * chars, 1, np.where(lower + longer < 0.5 * chars, -1, 0))
         stops = self.count((self.buf[self.e - 1] == 46) if len(self.e) else np.zeros(0))
@@ -190,7 +190,7 @@ class QualityModel:
 def _texts(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, int, int, Texts]]:
     for b in batches:
         i = 0
-        for own, t in slices([None] * b.num_rows, b.column(at).cast(pa.string()).cast(pa.large_binary()).to_pylist()):
+        for own, t in slices([None] * b.num_rows, b.column(at).cast(pa.string()).cast(pa.large_binary()).to_pylist(), _SLICE):
             yield b, i, i + len(own), Texts(t)
             i += len(own)
 
