@@ -71,7 +71,7 @@ def _ngrams(part: P.Part) -> tuple[list[np.ndarray], np.ndarray]:
 
 def _bits(tokens: int) -> list[int]:
     """Fingerprint widths by order; words are never cut, longer n-grams to 14 bits beyond the number of tokens."""
-    cut = min(64, -(-(int(tokens).bit_length() + 14) // 8) * 8)
+    cut = min(64, int(tokens).bit_length() + 14)
     return [64, cut, cut]
 
 
@@ -81,7 +81,9 @@ def _distinct(grams: list[np.ndarray], bits: list[int]) -> list[tuple[np.ndarray
 
 def _census(key: tuple, t: pa.Table) -> pa.Table:
     """Sums of a hash range: for each part the counts of its entries in all training parts, and without the tuning fold."""
-    parts, payloads = t.column("part").to_pylist(), t.column("payload").to_pylist()
+    parts, sent = t.column("part").to_pylist(), t.column("payload").to_pylist()
+    unpress = zstandard.ZstdDecompressor().decompress
+    payloads = [b[:1] + unpress(b[1:]) for b in sent]
     at, out, totals = [1] * len(parts), [b""] * len(parts), []
     for order in range(ORDERS):
         keys, counts = [], []
@@ -99,11 +101,12 @@ def _census(key: tuple, t: pa.Table) -> pa.Table:
         ends = np.cumsum([len(x) for x in keys])
         for k, (i, j) in enumerate(zip(ends - [len(x) for x in keys], ends, strict=True)):
             out[k] += P.planes(every[back[i:j]].astype(np.uint64)) + (P.planes(rest[back[i:j]].astype(np.uint64)) if fold[k] == TUNE else b"")
+    out = list(map(zstandard.ZstdCompressor(level=1).compress, out))
     return P.replies([*zip(parts, out, strict=True), (-1, np.array(totals, np.int64).tobytes())], key[0].as_py())
 
 
 def _press(columns: list[np.ndarray]) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(P.planes(c) for c in columns))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(P.planes(c) for c in columns))
 
 
 def _unpress(b: bytes) -> list[np.ndarray]:
@@ -124,11 +127,12 @@ def counted(docs: DataFrame, id_col: str, text_col: str, fold: Column) -> DataFr
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, f, p in P.parts_of(b):
-                bodies = [bytes([f])] * buckets
+                bodies = [b""] * buckets
                 for (keys, _, n), width in zip(_distinct(_ngrams(p)[0], bits), bits, strict=True):
                     cut = P.bucket_edges(keys << np.uint64(64 - width), buckets)
                     bodies = [x + P.put_sorted(keys[i:j]) + P.planes(n[i:j] if f != TEST else np.zeros(j - i)) for x, i, j in zip(bodies, cut[:-1], cut[1:], strict=True)]
-                yield P.send(part, dict(enumerate(bodies)))
+                press = zstandard.ZstdCompressor(level=1).compress
+                yield P.send(part, {k: bytes([f]) + press(x) for k, x in enumerate(bodies)})
 
     def take(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
@@ -137,7 +141,8 @@ def counted(docs: DataFrame, id_col: str, text_col: str, fold: Column) -> DataFr
         for part, f, p in P.parts_of(left):
             grams, size = _ngrams(p)
             got: list[list[np.ndarray]] = [[[] for _ in range(ORDERS)] for _ in range(2)]
-            for b in P.replied(right):
+            unpress = zstandard.ZstdDecompressor().decompress
+            for b in map(unpress, P.replied(right)):
                 at = 0
                 for order in range(ORDERS):
                     for kind in range(1 + (f == TUNE)):
