@@ -115,7 +115,7 @@ def bm25_search(items: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     pool = toks.agg(F.count("*").alias("n"), F.coalesce(F.nullif(F.avg(F.size("toks")), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
     names = asked.select("term").distinct()
     hits = toks.select("pos", F.size("toks").alias("dl"), F.explode("toks").alias("term")).join(names, "term").groupBy("pos", "dl", "term").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    df = hits.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))  # needs tf, so that the postings' exchange is the same and made once
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + L.BM25_K1 * (1 - L.BM25_B + L.BM25_B * F.col("dl") / F.col("avgdl"))
     each = hits.join(df, "term").join(F.broadcast(pool)).select("pos", "term", (idf * (F.col("tf") * (L.BM25_K1 + 1) / norm)).alias("w"))  # pool is one row
