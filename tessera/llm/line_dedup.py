@@ -31,7 +31,11 @@ from tessera.llm import _text as T
 SIMILARITY = (4, 5)
 LEAST_WORDS = 3
 BLOCK = 1024
-_TOKEN = 44
+#: Lines of a word up to this number are verified pair by pair, more by matrix products.
+FEW = 48
+BITS = 128
+MAPS = -(-BITS // 64)
+_TOKEN = 40
 _RESULT = "doc_id long, n_lines long, n_removed long, n_links long, class_id long, kept_text string"
 _RESULT_SCHEMA = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_lines", "n_removed", "n_links", "class_id")), ("kept_text", pa.string())])
 _NO_ID = np.iinfo(np.int64).max
@@ -125,9 +129,24 @@ def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[:-1], edge[1:]
 
 
+def _neighbours(word: np.ndarray, n: np.ndarray, similarity: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of one word whose sizes fit, as arrays: those at distance 1, 2, ... in rows sorted by word, then size."""
+    num, den = similarity
+    a, step = np.arange(len(word)), 0
+    while True:
+        step += 1
+        a = a[a + step < len(word)]
+        b = a + step
+        # sizes ascend within a word: where a distance is too far, so are all larger ones
+        a = a[(word[b] == word[a]) & (n[b] * num <= n[a] * den)]
+        if not len(a):
+            return
+        yield a, a + step
+
+
 def _candidates(payloads: list[bytes], similarity: tuple[int, int]) -> list[bytes]:
-    """Of each entry whether its word has a line that passes the filters."""
-    cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+    """The entries (line, position of the word) of which the word has a line that passes the filters."""
+    cols: list[list[np.ndarray]] = [[] for _ in range(4 + MAPS)]
     for b in payloads:
         x, at = P.get_sorted(b)
         cols[0].append(x)
@@ -135,40 +154,27 @@ def _candidates(payloads: list[bytes], similarity: tuple[int, int]) -> list[byte
             x, at = P.unplanes(b, at)
             c.append(x)
     sizes = [len(x) for x in cols[0]]
-    word, n, pos = (np.concatenate(c).astype(np.int64) for c in cols[:3])
-    maps = np.stack([np.concatenate(c) for c in cols[3:]], axis=1) if sizes else np.zeros((0, 2), np.uint64)
+    word, n, pos, line = (np.concatenate(c).astype(np.int64) for c in cols[:4])
+    maps = np.stack([np.concatenate(c) for c in cols[4:]], axis=1) if sizes else np.zeros((0, MAPS), np.uint64)
     live = np.zeros(len(word), bool)
     order = np.lexsort((n, word))
-    num, den = similarity
-    for i, j in zip(*_runs(word[order]), strict=True):
-        if j - i < 2:
-            continue
-        at = order[i:j]
-        # sizes ascend: the partners of a line that aren't shorter and not too long follow it
-        most = np.searchsorted(n[at], n[at] * den // num, "right")
-        for k in range(0, len(at), 256):
-            a = at[k : k + 256]
-            hi = int(most[k : k + 256].max())
-            b = at[k:hi]
-            na, nb = n[a][:, None], n[b][None, :]
-            need = _overlap(na, nb, similarity)
-            # the shorter line needs the word in the prefix that suffices for lines which aren't shorter
-            ok = (na <= nb) & (nb * num <= na * den) & (pos[a][:, None] < na - _overlap(na, na, similarity) + 1)
-            ok &= 1 + np.minimum(na - pos[a][:, None], nb - pos[b][None, :]) - 1 >= need
-            r, c = np.nonzero(ok)
-            r, c = r[c + k > r + k], c[c + k > r + k]
-            lost = np.bitwise_count(maps[a[r]] & ~maps[b[c]]).sum(axis=1)
-            good = n[a[r]] - lost >= need[r, c]
-            lost = np.bitwise_count(maps[b[c]] & ~maps[a[r]]).sum(axis=1)
-            good &= n[b[c]] - lost >= need[r, c]
-            live[a[r[good]]] = True
-            live[b[c[good]]] = True
-    return [np.packbits(x).tobytes() + len(x).to_bytes(8, "little") for x in np.split(live, np.cumsum(sizes)[:-1])]
+    at = pos
+    word, n, pos, maps = word[order], n[order], pos[order], maps[order]
+    for a, b in _neighbours(word, n, similarity):
+        need = _overlap(n[a], n[b], similarity)
+        ok = (pos[a] <= n[a] - need) & (pos[b] <= n[b] - need)
+        a, b, need = a[ok], b[ok], need[ok]
+        ok = n[a] - np.bitwise_count(maps[a] & ~maps[b]).sum(axis=1) >= need
+        ok &= n[b] - np.bitwise_count(maps[b] & ~maps[a]).sum(axis=1) >= need
+        live[order[a[ok]]] = True
+        live[order[b[ok]]] = True
+    cut = np.cumsum(sizes)[:-1]
+    return [P.planes(k[x].astype(np.uint64)) + P.planes(q[x].astype(np.uint64)) for x, k, q in zip(np.split(live, cut), np.split(line, cut), np.split(at, cut), strict=True)]
 
 
 def _matches(payloads: list[bytes], similarity: tuple[int, int]) -> list[bytes]:
-    """Of each entry its verified matches that count at this word, and whether one of them stands earlier."""
-    cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+    """For each line with verified matches that count at a word: the line, how many, and whether one of them stands earlier."""
+    cols: list[list[np.ndarray]] = [[] for _ in range(6)]
     sets: list[np.ndarray] = []
     for b in payloads:
         b = zstandard.ZstdDecompressor().decompress(b)
@@ -179,7 +185,7 @@ def _matches(payloads: list[bytes], similarity: tuple[int, int]) -> list[bytes]:
             c.append(x)
         sets.append(P.unplanes(b, at)[0])
     sizes = [len(x) for x in cols[0]]
-    word, n, pos, doc, place = (np.concatenate(c).astype(np.int64) for c in cols)
+    word, n, pos, doc, place, line = (np.concatenate(c).astype(np.int64) for c in cols)
     token = np.concatenate(sets)
     off = np.cumsum(n) - n
     links, early = np.zeros(len(word), np.int64), np.zeros(len(word), bool)
@@ -189,6 +195,34 @@ def _matches(payloads: list[bytes], similarity: tuple[int, int]) -> list[bytes]:
         ends = np.cumsum(upto)
         return np.repeat(np.arange(len(rows)), upto), token[np.repeat(off[rows] - (ends - upto), upto) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
+    def count(a: np.ndarray, b: np.ndarray) -> None:
+        """Matches that count here: of each pair the later line has one that stands earlier."""
+        np.add.at(links, a, 1)
+        np.add.at(links, b, 1)
+        first = (doc[a] < doc[b]) | ((doc[a] == doc[b]) & (place[a] < place[b]))
+        early[b[first]] = True
+        early[a[~first]] = True
+
+    def settle(a: np.ndarray, b: np.ndarray) -> None:
+        """Verifies pairs of lines by merging their sets."""
+        need = _overlap(n[a], n[b], similarity)
+        ok = (pos[a] <= n[a] - need) & (pos[b] <= n[b] - need)
+        a, b, need = a[ok], b[ok], need[ok]
+        if not len(a):
+            return
+        rows = np.concatenate([a, b])
+        owner, t = members(rows, n[rows])
+        ends = np.cumsum(n[rows])
+        soon = np.arange(len(t)) - (ends - n[rows])[owner] < pos[rows][owner]  # rarer than the word
+        key = ((owner % len(a)).astype(np.uint64) << np.uint64(_TOKEN + 1)) | (t.astype(np.uint64) << np.uint64(1)) | soon.astype(np.uint64)
+        key.sort()
+        both = key[:-1] >> np.uint64(1) == key[1:] >> np.uint64(1)
+        pair = (key[:-1][both] >> np.uint64(_TOKEN + 1)).astype(np.int64)
+        inter = np.bincount(pair, minlength=len(a))
+        before = np.bincount(pair, key[:-1][both] & key[1:][both] & np.uint64(1), len(a))
+        ok = (inter >= need) & (before == 0)
+        count(a[ok], b[ok])
+
     def products(a: np.ndarray, b: np.ndarray, ua: np.ndarray, ub: np.ndarray) -> np.ndarray:
         (ra, ta), (rb, tb) = members(a, ua), members(b, ub)
         out = np.zeros((len(a), len(b)), np.float32)
@@ -206,7 +240,14 @@ def _matches(payloads: list[bytes], similarity: tuple[int, int]) -> list[bytes]:
             out += ms[0] @ ms[1].T
         return out
 
-    for i, j in zip(*_runs(word[order]), strict=True):
+    begin, end = _runs(word[order])
+    few = np.repeat(end - begin <= FEW, end - begin)
+    some = order[few]
+    for i, j in _neighbours(word[some], n[some], similarity):
+        for k in range(0, len(i), 1 << 14):
+            settle(some[i[k : k + (1 << 14)]], some[j[k : k + (1 << 14)]])
+    large = end - begin > FEW
+    for i, j in zip(begin[large], end[large], strict=True):
         at = order[i:j]
         for k in range(0, len(at), BLOCK):
             a = at[k : k + BLOCK]
@@ -222,51 +263,48 @@ def _matches(payloads: list[bytes], similarity: tuple[int, int]) -> list[bytes]:
                 if not len(r):
                     continue
                 before = products(a, b, pos[a], pos[b])[r, c]
-                r, c = r[before == 0], c[before == 0]
-                np.add.at(links, a[r], 1)
-                np.add.at(links, b[c], 1)
-                first = (doc[a[r]] < doc[b[c]]) | ((doc[a[r]] == doc[b[c]]) & (place[a[r]] < place[b[c]]))
-                early[b[c[first]]] = True
-                early[a[r[~first]]] = True
-    cut = np.cumsum(sizes)[:-1]
-    return [P.planes(x.astype(np.uint64)) + P.planes(y.astype(np.uint64)) for x, y in zip(np.split(links, cut), np.split(early, cut), strict=True)]
+                count(a[r[before == 0]], b[c[before == 0]])
+    out = []
+    for i, j in zip(np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True):
+        hit = i + np.flatnonzero(links[i:j])
+        out.append(b"".join(P.planes(x[hit].astype(np.uint64)) for x in (line, links, early)))
+    return out
+
+
+def _columns(replies: list[bytes], width: int) -> list[np.ndarray]:
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in range(width)]
+    for b in replies:
+        at = 0
+        for c in out:
+            x, at = P.unplanes(b, at)
+            c.append(x)
+    return [np.concatenate(c) for c in out]
 
 
 class _Work:
-    """What the stages of the join recompute for a part from the replies that it has got."""
+    """What the stages of the join recompute for a part from the census: its first lines, and their words by rarity."""
 
-    def __init__(self, part: P.Part, least: int, similarity: tuple[int, int], counted: list[bytes], live: list[bytes] | None = None):
+    def __init__(self, part: P.Part, least: int, counted: list[bytes]):
         self.x = x = Lines(part, least)
-        head, df, least_doc = ([np.zeros(0, np.uint64)] for _ in range(3))
-        for b in counted:
-            at = 0
-            for c in (head, df, least_doc):
-                v, at = P.unplanes(b, at)
-                c.append(v)
-        self.class_id = np.concatenate(least_doc)[x.doc_cls].astype(np.int64)
-        self.first = np.concatenate(head).astype(bool)  # by class
-        words, back = np.unique(x.token[_of(x, x.lead)], return_inverse=True)
-        rank = np.concatenate(df)[back]
-        mine = np.flatnonzero(self.first)
-        self.lines = x.lead[mine]
-        at = _of(x, self.lines)
-        owner = np.repeat(np.arange(len(self.lines)), x.size[self.lines])
-        all_at = _of(x, x.lead)
-        spot = np.full(len(x.token), -1)
-        spot[all_at] = np.arange(len(all_at))
-        rarity = rank[spot[at]]
-        order = np.lexsort((x.token[at], rarity, owner))
-        self.token, self.rarity, self.owner = x.token[at][order], rarity[order], owner
-        self.n = x.size[self.lines]
+        first, self.rank, least_doc = _columns(counted, 3)
+        self.class_id = least_doc[x.doc_cls].astype(np.int64)
+        self.lines = x.lead[first.astype(bool)]
+
+    def by_rarity(self, some: np.ndarray) -> None:
+        """Sets of some of the first lines, as token, rarity, owner (an index of some), with sizes n and offsets."""
+        x = self.x
+        words = np.unique(x.token[_of(x, x.lead)])
+        order = np.lexsort((words, self.rank))
+        spot = np.empty(len(words), np.uint64)
+        spot[order] = np.arange(len(words), dtype=np.uint64)
+        lines = self.lines[some]
+        self.owner = np.repeat(np.arange(len(lines)), x.size[lines])
+        key = (self.owner.astype(np.uint64) << np.uint64(32)) | spot[np.searchsorted(words, x.token[_of(x, lines)])]
+        key.sort()
+        by = order[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)] if len(key) else np.zeros(0, np.int64)
+        self.token, self.rarity = words[by], self.rank[by]
+        self.n = x.size[lines]
         self.off = np.cumsum(self.n) - self.n
-        self.pos = np.arange(len(self.token)) - np.repeat(self.off, self.n)
-        entry = np.flatnonzero((self.pos < _prefix(self.n, similarity)[owner]) & (self.rarity > 1))
-        self.entry = entry[np.argsort(self.token[entry], kind="stable")]
-        if live is not None:
-            flags = [np.zeros(0, bool)]
-            for b in live:
-                flags.append(np.unpackbits(np.frombuffer(b[:-8], np.uint8))[: int.from_bytes(b[-8:], "little")].astype(bool))
-            self.entry = self.entry[np.concatenate(flags)]
 
 
 def _of(x: Lines, lines: np.ndarray) -> np.ndarray:
@@ -305,32 +343,42 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def prefixes(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for part, _, p in P.parts_of(left):
-            w = _Work(p, least_words, similarity, P.replied(right))
-            bit = T.mix(w.token) & np.uint64(127)
-            maps = [np.zeros(len(w.n), np.uint64) for _ in range(2)]
-            for half, m in enumerate(maps):
-                use = (bit >> np.uint64(6)) == half
-                np.bitwise_or.at(m, w.owner[use], np.uint64(1) << (bit[use] & np.uint64(63)))
-            own = w.owner[w.entry]
-            cols = [w.n[own], w.pos[w.entry], maps[0][own], maps[1][own]]
-            cut = bounds(w.token[w.entry])
-            out.append(P.send(part, {k: P.put_sorted(w.token[w.entry[i:j]]) + b"".join(P.planes(c[i:j]) for c in cols) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i}))
+            w = _Work(p, least_words, P.replied(right))
+            w.by_rarity(np.arange(len(w.lines)))
+            bit = (T.mix(w.token) % np.uint64(BITS)).astype(np.int64)
+            dense = np.zeros((len(w.lines), MAPS * 64), np.uint8)
+            dense[w.owner, bit] = 1
+            maps = np.packbits(dense, axis=1, bitorder="little").view(np.uint64).reshape(len(w.lines), MAPS)
+            pos = np.arange(len(w.token)) - np.repeat(w.off, w.n)
+            entry = np.flatnonzero((pos < _prefix(w.n, similarity)[w.owner]) & (w.rarity > 1))
+            entry = entry[np.argsort(w.token[entry])]
+            own = w.owner[entry]
+            cols = [w.n[own], pos[entry], own, *maps[own].T]
+            cut = bounds(w.token[entry])
+            out.append(P.send(part, {k: P.put_sorted(w.token[entry[i:j]]) + b"".join(P.planes(c[i:j]) for c in cols) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i}))
         return pa.Table.from_batches(out, P.SENT_SCHEMA)
 
     def whole(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for part, _, p in P.parts_of(left):
-            w = _Work(p, least_words, similarity, *_replies(right, 2))
-            own, line = w.owner[w.entry], w.lines[w.owner[w.entry]]
-            cols = [w.n[own], w.pos[w.entry], w.x.doc[line].astype(np.uint64), w.x.place[line]]
-            cut = bounds(w.token[w.entry])
+            counted, live = _replies(right, 2)
+            w = _Work(p, least_words, counted)
+            line, pos = (c.astype(np.int64) for c in _columns(live, 2))
+            some, own = np.unique(line, return_inverse=True)
+            w.by_rarity(some)
+            token = w.token[w.off[own] + pos] if len(own) else w.token[:0]
+            order = np.argsort(token)
+            token, own, pos = token[order], own[order], pos[order]
+            place = w.lines[some][own]
+            cols = [w.n[own], pos, w.x.doc[place].astype(np.uint64), w.x.place[place], some[own]]
+            cut = bounds(token)
             press = zstandard.ZstdCompressor(level=1).compress
 
-            def body(i: int, j: int, w: _Work = w, own: np.ndarray = own, cols: list = cols) -> bytes:
+            def body(i: int, j: int, w: _Work = w, own: np.ndarray = own, token: np.ndarray = token, cols: list = cols) -> bytes:
                 n = w.n[own[i:j]]
                 ends = np.cumsum(n)
                 sets = w.token[np.repeat(w.off[own[i:j]] - (ends - n), n) + np.arange(int(ends[-1]))]
-                return press(P.put_sorted(w.token[w.entry[i:j]]) + b"".join(P.planes(c[i:j]) for c in cols) + P.planes(sets))
+                return press(P.put_sorted(token[i:j]) + b"".join(P.planes(c[i:j]) for c in cols) + P.planes(sets))
 
             out.append(P.send(part, {k: body(i, j) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i}))
         return pa.Table.from_batches(out, P.SENT_SCHEMA)
@@ -338,29 +386,24 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def remove(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         tables = []
         for _, _, p in P.parts_of(left):
-            counted, live, got = _replies(right, 3)
-            w = _Work(p, least_words, similarity, counted, live)
-            links, early = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-            for b in got:
-                x, at = P.unplanes(b)
-                links.append(x)
-                early.append(P.unplanes(b, at)[0])
-            own = w.owner[w.entry]
-            n_links = np.bincount(own, np.concatenate(links).astype(float), len(w.lines))
-            late = np.bincount(own, np.concatenate(early).astype(float), len(w.lines)) > 0
+            counted, got = _replies(right, 2)
+            w = _Work(p, least_words, counted)
+            line, links, early = (c.astype(np.int64) for c in _columns(got, 3))
+            n_links = np.bincount(line, links, len(w.lines))
             x = w.x
             gone = x.joins.copy()  # all but those shown to be the first of their class
-            gone[w.lines] = late
+            gone[w.lines] = np.bincount(line, early, len(w.lines)) > 0
             tables.append(_rest(p, w, gone, np.bincount(x.doc_row[w.lines], n_links, len(p.ids)).astype(np.int64)))
         return pa.concat_tables(tables) if tables else _RESULT_SCHEMA.empty_table()
 
     step = packed.groupBy("part")
-    codes = P.meet(packed.mapInArrow(census, P.SENT), _count)
+    # dealt by part at once, so that each reply is made once and its exchange is reused
+    codes = P.meet(packed.mapInArrow(census, P.SENT), _count).repartition("part")
     one = codes.withColumn("kind", F.lit(0))
-    live = P.meet(step.cogroup(codes.groupBy("part")).applyInArrow(prefixes, P.SENT), lambda b: _candidates(b, similarity))
+    live = P.meet(step.cogroup(codes.groupBy("part")).applyInArrow(prefixes, P.SENT), lambda b: _candidates(b, similarity)).repartition("part")
     two = one.unionByName(live.withColumn("kind", F.lit(1)))
     found = P.meet(step.cogroup(two.groupBy("part")).applyInArrow(whole, P.SENT), lambda b: _matches(b, similarity))
-    three = two.unionByName(found.withColumn("kind", F.lit(2)))
+    three = one.unionByName(found.withColumn("kind", F.lit(1)))
     return step.cogroup(three.groupBy("part")).applyInArrow(remove, _RESULT)
 
 

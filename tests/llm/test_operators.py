@@ -499,3 +499,40 @@ def test_mixing_rows(spark, docs):
         assert r["mix_kept"] == (u < r["mix_keep"]) and 0 <= r["mix_keep"] <= 1
         assert r["mix_tokens"] == len(words(r["text"])) and r["mix_source"] == (r["source"] or "") and r["mix_lang"] == (r["lang"] or "")
     assert "Python" not in x._jdf.queryExecution().toString()
+
+
+def test_hot_words_take_products_and_others_merge(monkeypatch):
+    import zstandard
+
+    from tessera.llm import _pack as P
+
+    r = random.Random(6)
+    base = sorted(r.sample(range(5000), 30))
+    lines = sorted({tuple(sorted(set(base) - set(r.sample(base, r.randint(0, 3))) | set(r.sample(range(5000), r.randint(0, 3))))) for _ in range(150)})
+    sim, entries = (4, 5), []
+    for i, t in enumerate(lines):  # the smaller the token, the rarer
+        for pos in range(len(t) - -(-len(t) * 4 // 5) + 1):
+            entries.append((t[pos], len(t), pos, i, 0, i, t))
+    entries.sort()
+    cols = [np.array([e[k] for e in entries], np.uint64) for k in range(6)]
+    body = zstandard.ZstdCompressor().compress(P.put_sorted(cols[0]) + b"".join(P.planes(c) for c in cols[1:]) + P.planes(np.array([x for e in entries for x in e[6]], np.uint64)))
+    seen = []
+    for few in (0, 5, 10**9):
+        monkeypatch.setattr(line_dedup, "FEW", few)
+        monkeypatch.setattr(line_dedup, "BLOCK", 20)
+        by, first = Counter(), set()
+        for i, n, y in zip(*(c.tolist() for c in line_dedup._columns(line_dedup._matches([body], sim), 3)), strict=True):
+            by[i] += n
+            if y:
+                first.add(i)
+        seen.append((by, first))
+    want, late = Counter(), set()
+    for a in range(len(lines)):
+        for b in range(a):
+            x, y = set(lines[a]), set(lines[b])
+            if 5 * len(x & y) >= 4 * len(x | y):
+                want[a] += 1
+                want[b] += 1
+                late.add(a)
+    for by, first in seen:
+        assert {k: v for k, v in by.items() if v} == want and first == late
