@@ -136,3 +136,8 @@ def accounting(expected: DataFrame, got: DataFrame) -> DataFrame:
     g = got.groupBy("id").agg(F.count("*").alias("times"))
     x = expected.select("id", F.lit(1).alias("e")).distinct().join(g, "id", "full_outer")
     return x.agg(F.count_if(F.col("e") == 1).alias("expected"), F.coalesce(F.sum("times"), F.lit(0)).alias("got"), F.count_if(F.col("times").isNull()).alias("missing"), F.count_if(F.col("e").isNull()).alias("unexpected"), F.count_if(F.col("times") > 1).alias("repeated"))
+
+
+def binding_accuracy(tops: DataFrame, attribute: str, wanted: str) -> DataFrame:
+    """One row: cases with a first result, and the share of them whose result has the wanted attribute; 0 without any."""
+    return tops.agg(F.count("*").alias("n"), ratio(F.count_if(F.col(attribute) == F.col(wanted)), F.count("*")).alias("accuracy"))

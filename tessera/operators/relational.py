@@ -62,3 +62,36 @@ def last_wins(parts: list[DataFrame], key: str) -> DataFrame:
         out = x if out is None else out.unionByName(x)
     w = Window.partitionBy(key).orderBy(F.desc("_p"))
     return out.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_p")
+
+
+def fillers(cases: DataFrame, pool: DataFrame, budget: int = 20) -> DataFrame:
+    """(case_id, memory_id, ord): for each case (id, domain) other members of its domain's pool (id, source, domain), the budget's worth that hash lowest.
+
+    Both sides are reservoirs of bounded size, so the join by domain is bounded too.
+    """
+    p = pool.select("domain", F.col("id").alias("memory_id"), F.col("source").alias("psource"))
+    x = cases.select(F.col("id").alias("case_id"), "domain").join(p, "domain").where(F.col("case_id") != F.col("memory_id"))
+    x = x.withColumn("ord", T.stable_hash(F.lit("filler"), "case_id", "psource", "memory_id"))
+    n = F.row_number().over(Window.partitionBy("case_id").orderBy("ord"))
+    return x.withColumn("_n", n).where(F.col("_n") <= budget).select("case_id", "memory_id", "ord")
+
+
+def better_decoys(cases: DataFrame, pool: DataFrame) -> DataFrame:
+    """(id, decoy): of the pool's members of the domain whose first gold text overlaps the query more than the case's own, the one that hashes lowest.
+
+    An inverted index of the pool's tokens, as any better overlap shares a token.
+    """
+    q = cases.select("id", "domain", F.explode(F.array_distinct(T.tokens("query"))).alias("t"))
+    g = pool.select(F.col("id").alias("decoy"), "domain", F.explode(F.array_distinct(T.tokens(F.get("gold", F.lit(0))))).alias("t"))
+    c = q.join(g, ["domain", "t"]).groupBy("id", "decoy").agg(F.count("*").alias("c"))
+    own = c.where("id = decoy").select("id", F.col("c").alias("own"))
+    x = c.where("id <> decoy").join(own, "id", "left").where(F.col("c") > F.coalesce("own", F.lit(0)))
+    return x.groupBy("id").agg(F.min_by("decoy", T.stable_hash(F.lit("decoy"), F.lit("N9"), "id", "decoy")).alias("decoy"))
+
+
+def materialise(cases: DataFrame, pool: DataFrame, decoy: DataFrame, budget: int = 20) -> DataFrame:
+    """(case_id, pos, memory_id, priority) of cases (id, domain, no_evidence): the gold memory (0; left out without evidence), the decoy (1), fillers (3), up to the budget."""
+    gold = cases.where(~F.col("no_evidence")).select(F.col("id").alias("case_id"), F.col("id").alias("memory_id"), F.lit(0).alias("priority"), F.lit("").alias("ord"))
+    must = decoy.join(cases.select("id"), "id", "left_semi").select(F.col("id").alias("case_id"), F.col("decoy").alias("memory_id"), F.lit(1).alias("priority"), F.lit("").alias("ord"))
+    rest = fillers(cases, pool, budget).select("case_id", "memory_id", F.lit(3).alias("priority"), "ord")
+    return budgeted(gold.unionByName(must).unionByName(rest), budget)

@@ -65,3 +65,14 @@ def integrity_gate(violations: dict[str, int], cases: int, expected: int = 384)
 def guardrails(left: dict[str, float], right: dict[str, float], limits: dict[str, tuple[str, float]]) -> dict[str, bool]:
     """Differences right - left against ('min' or 'max', bound), by metric."""
     return {m: (right[m] - left[m] >= b) if kind == "min" else (right[m] - left[m] <= b) for m, (kind, b) in limits.items()}
+
+
+def freshness(stage: str, digests: dict[str, str], expected: dict[str, str], audit_status: str, contaminated: int) -> dict[str, bool]:
+    """A stage's selection is the expected one, differs from the other stages' and comes from clean data."""
+    out = {"matches": digests[stage] == expected[stage], "distinct": all(digests[stage] != d for s, d in expected.items() if s != stage), "clean": audit_status == "PASS_NO_MATERIAL_CONTAMINATION" and contaminated == 0}
+    return out | {"pass": all(out.values())}
+
+
+def summary(parts: dict[str, dict | None]) -> dict[str, object]:
+    """Statuses of optional results, by name; missing ones are None."""
+    return {k: (v or {}).get("status") for k, v in parts.items()}

@@ -260,3 +260,13 @@ def gate_coverage(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {RANKED}, {VERDICT} SELECT case_id, rank, memory_id, score FROM rk WHERE case_id IN (SELECT case_id FROM vd WHERE verdict = 'SUPPORTED')")
 def rank_v6(spark: SparkSession, sf: str) -> DataFrame:
     return R.v6_rank(adversarial_cases(spark))
+
+
+@query(f"""WITH {BM25}, tp AS (SELECT r.item_id, d.source FROM r JOIN documents d USING (doc_id) WHERE rank = 1), wt AS (SELECT item_id, min(source) AS wanted FROM gold JOIN documents USING (doc_id) GROUP BY item_id)
+SELECT count(*) AS n, round(count(*) FILTER (source = wanted) / greatest(1, count(*))::DOUBLE, 6) AS accuracy FROM tp JOIN wt USING (item_id)""".replace("tp AS", GOLD + ", tp AS", 1))
+def binding_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the first result comes from the source of the item's (first) judged document."""
+    d = table(spark, sf, "documents").select("doc_id", "source")
+    tops = benchmark_hits(spark, sf, 1).join(d, "doc_id").select("item_id", "source")
+    wanted = judged(spark, sf).join(d, "doc_id").groupBy("item_id").agg(F.min("source").alias("wanted"))
+    return M.binding_accuracy(tops.join(wanted, "item_id"), "source", "wanted").withColumn("accuracy", F.round("accuracy", 6))

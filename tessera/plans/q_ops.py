@@ -120,14 +120,16 @@ def parsed_times(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(TIMES)), "k int, x string").select("k", F.unix_seconds(T.parse_time("x")).alias("t"))
 
 
-BASES = r"""base AS (SELECT doc_id AS id, source, trim(regexp_extract(text, '^[^.!?\n]*[.!?]?')) AS query, source AS subject, lang AS relation, [text] AS gold, CASE lang WHEN 'en' THEN 'D1' WHEN 'de' THEN 'D2' WHEN 'fr' THEN 'D3' WHEN 'es' THEN 'D4' ELSE 'D5' END AS domain FROM documents),
+BASES = r"""base AS (SELECT doc_id AS id, source, trim(regexp_extract(text, '^[^.!?\n]*[.!?]?')) AS query, source AS subject, lang AS relation, [substr(text, length(regexp_extract(text, '^[^.!?\n]*[.!?]?')) + 1)] AS gold, CASE lang WHEN 'en' THEN 'D1' WHEN 'de' THEN 'D2' WHEN 'fr' THEN 'D3' WHEN 'es' THEN 'D4' ELSE 'D5' END AS domain FROM documents),
 vb AS (SELECT * FROM base WHERE """ + S.norm("query") + " <> '' AND " + S.norm("gold[1]") + " <> '')"
 
 
 def bases(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as base cases: the first sentence asks, the text is the gold memory, the language stands for the domain."""
+    """Documents as base cases: the first sentence asks, the rest is the gold memory, the language stands for the domain."""
     d = F.when(F.col("lang") == "en", "D1").when(F.col("lang") == "de", "D2").when(F.col("lang") == "fr", "D3").when(F.col("lang") == "es", "D4").otherwise("D5")
-    return docs(spark, sf).select(F.col(DOC).alias("id"), "source", F.trim(F.regexp_extract("text", r"^[^.!?\n]*[.!?]?", 0)).alias("query"), F.col("source").alias("subject"), F.col("lang").alias("relation"), F.array("text").alias("gold"), d.alias("domain"))
+    x = docs(spark, sf).withColumn("head", F.regexp_extract("text", r"^[^.!?\n]*[.!?]?", 0))
+    rest = F.substr("text", F.length("head") + 1)
+    return x.select(F.col(DOC).alias("id"), "source", F.trim("head").alias("query"), F.col("source").alias("subject"), F.col("lang").alias("relation"), F.array(rest).alias("gold"), d.alias("domain"))
 
 
 _MARK = " OR ".join(f"contains(qn, '{m}')" for m in L.DISCOURSE_MARKERS)
@@ -292,3 +294,39 @@ def union_by_name(spark: SparkSession, sf: str) -> DataFrame:
     n, r = table(spark, sf, "nation"), table(spark, sf, "region")
     own = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select("n_nationkey", "n_name", "r_name")
     return own.unionByName(r.select(F.lit(None).cast("int").alias("n_nationkey"), F.col("r_name").alias("n_name"), "r_name"))
+
+
+CASE_CAP = 25
+CASE_ROWS = f"""{RESERVOIR}, cs AS (SELECT *, rn % 3 = 0 AS no_evidence FROM rv WHERE rn <= {CASE_CAP})"""
+
+
+def sampled_cases(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Cases (the first of each domain's reservoir, every third without evidence) and the reservoir."""
+    pool = X.reservoir(X.valid(bases(spark, sf)), "n9-feasibility-reservoir", X.RESERVOIR, "source", "id")
+    w = Window.partitionBy("domain").orderBy(T.stable_hash(F.lit("n9-feasibility-reservoir"), "domain", "source", "id"))
+    return pool.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= CASE_CAP).withColumn("no_evidence", F.col("rn") % 3 == 0), pool
+
+
+FILL = f"""fi AS (SELECT cs.id AS case_id, rv.id AS memory_id, {S.hashed("'filler'", 'cs.id', 'rv.source', 'rv.id')} AS ord FROM cs JOIN rv ON cs.domain = rv.domain AND cs.id <> rv.id),
+fl20 AS (SELECT case_id, memory_id, ord FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY ord) AS k FROM fi) WHERE k <= 20)"""
+
+
+@query(f"WITH {BASES}, {CASE_ROWS}, {FILL} SELECT case_id, memory_id, ord FROM fl20")
+def same_domain_fillers(spark: SparkSession, sf: str) -> DataFrame:
+    return R.fillers(*sampled_cases(spark, sf))
+
+
+@query(f"""WITH {BASES}, {CASE_ROWS}, q9 AS (SELECT id, domain, unnest(list_distinct({S.tokens('query')})) AS t FROM cs), g9 AS (SELECT id AS decoy, domain, unnest(list_distinct({S.tokens('gold[1]')})) AS t FROM rv),
+c9 AS (SELECT id, decoy, count(*) AS c FROM q9 JOIN g9 USING (domain, t) GROUP BY ALL)
+SELECT id, min_by(decoy, {S.hashed("'decoy'", "'N9'", 'id', 'decoy')}) AS decoy FROM c9 LEFT JOIN (SELECT id, c AS own FROM c9 WHERE id = decoy) USING (id) WHERE id <> decoy AND c > coalesce(own, 0) GROUP BY id""")
+def decoy_better_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    return R.better_decoys(*sampled_cases(spark, sf))
+
+
+@query(f"""WITH {BASES}, {CASE_ROWS}, {FILL}, dy AS (SELECT a.id, min_by(b.id, {S.hashed("'decoy'", "'N3'", 'a.id', 'b.source', 'b.id')}) AS decoy FROM rv a JOIN rv b ON a.domain = b.domain AND a.subject <> b.subject AND a.id <> b.id GROUP BY a.id),
+al AS (SELECT id AS case_id, id AS memory_id, 0 AS priority, '' AS ord FROM cs WHERE NOT no_evidence UNION ALL SELECT id, decoy, 1, '' FROM dy WHERE id IN (SELECT id FROM cs) UNION ALL SELECT case_id, memory_id, 3, ord FROM fl20),
+fo AS (SELECT case_id, memory_id, min(struct_pack(priority := priority, ord := ord)) AS at1 FROM al GROUP BY ALL)
+SELECT case_id, pos::INT AS pos, memory_id, priority::INT AS priority FROM (SELECT case_id, memory_id, at1.priority AS priority, row_number() OVER (PARTITION BY case_id ORDER BY at1.priority, at1.ord, memory_id) AS pos FROM fo) WHERE pos <= 20""")
+def materialised_cases(spark: SparkSession, sf: str) -> DataFrame:
+    cases, pool = sampled_cases(spark, sf)
+    return R.materialise(cases, pool, R.decoys(pool, "N3", ["domain"], "subject"))

@@ -134,3 +134,11 @@ def test_the_engine_doesnt_need_the_training_operators():
         for n in ast.walk(ast.parse(f.read_text())):
             names = [a.name for a in n.names] if isinstance(n, ast.Import) else [n.module or ""] if isinstance(n, ast.ImportFrom) else []
             assert not any("llm" in x or "corpus_pipeline" in x for x in names), f
+
+
+def test_freshness_and_summary():
+    d = {"a": "1", "b": "2"}
+    assert thresholds.freshness("a", d, d, "PASS_NO_MATERIAL_CONTAMINATION", 0)["pass"]
+    assert not thresholds.freshness("a", {"a": "2"}, d, "PASS_NO_MATERIAL_CONTAMINATION", 0)["matches"]
+    assert not thresholds.freshness("a", d, {"a": "1", "b": "1"}, "PASS_NO_MATERIAL_CONTAMINATION", 0)["distinct"]
+    assert thresholds.summary({"x": {"status": "PASS"}, "y": None}) == {"x": "PASS", "y": None}
