@@ -299,7 +299,7 @@ class _Work:
         spot[order] = np.arange(len(words), dtype=np.uint64)
         lines = self.lines[some]
         self.owner = np.repeat(np.arange(len(lines)), x.size[lines])
-        key = (self.owner.astype(np.uint64) << np.uint64(32)) | spot[np.searchsorted(words, x.token[_of(x, lines)])]
+        key = (self.owner.astype(np.uint64) << np.uint64(32)) | spot[_place(words, x.token[_of(x, lines)])]
         key.sort()
         by = order[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)] if len(key) else np.zeros(0, np.int64)
         self.token, self.rarity = words[by], self.rank[by]
@@ -307,6 +307,19 @@ class _Work:
         self.off = np.cumsum(self.n) - self.n
 
 
+def _place(words: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Indexes of tokens in words, which are sorted and hold them all: by their leading bits, then step by step."""
+    bits = max(1, len(words).bit_length())
+    shift = np.uint64(_TOKEN - bits)
+    begin = np.searchsorted(words, np.arange(1 << bits, dtype=np.uint64) << shift)
+    at = begin[(tokens >> shift).astype(np.int64)]
+    left = np.flatnonzero(words[at] < tokens)
+    while len(left):
+        at[left] += 1
+        left = left[words[at[left]] < tokens[left]]
+    return at
+
+
 def _of(x: Lines, lines: np.ndarray) -> np.ndarray:
     """Indexes of the words of these lines."""
     n = x.size[lines]
