@@ -109,7 +109,7 @@ def win_tie_loss(deltas: DataFrame) -> DataFrame:
 def paired_bootstrap(deltas: DataFrame, iterations: int = 1000, seed: int = 20260808) -> DataFrame:
     """One row: status, n, delta, low, high. Draw j of iteration i takes the case whose number a hash of (seed, i, j) gives.
 
-    The cases are numbered by case_id; draws are dealt by iteration, so n times iterations rows spread over the
+    The answerable cases of one evaluation, two narrow columns, are numbered by case_id in one task; draws are dealt by iteration, so n times iterations rows spread over the
     cluster and meet the n cases by an equi-join on the drawn number.
     """
     from pyspark.sql import Window
