@@ -38,7 +38,7 @@ _SIG = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"
 _SIG_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _SETS_SCHEMA = pa.schema([("doc", pa.int64()), ("els", pa.binary())])
 _LINKS_SCHEMA = pa.schema([("pivot", pa.int64()), ("doc", pa.int64()), ("linked", pa.bool_())])
-_BATCH = 4 << 20
+_BATCH = 1 << 20
 
 
 def shingles_of(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndarray]:
