@@ -148,7 +148,8 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     smaller vec_id. Vectors that are null or hold a null or a number that isn't finite take no part, nor
     do rows with a null vec_id or a component of 2**31 or more after scaling. Shorter vectors are filled up
     with zeros. Rows that share the query's vec_id are its own and aren't among its results; other rows
-    that repeat a vec_id are results each for itself, and a repeated query is answered once. Extra columns
+    that repeat a vec_id are results each for itself, and a query that repeats is answered once, for its smallest
+    vector in the order of components. Extra columns
     are ignored; an empty table gives no rows.
     """
     x = F.transform(F.col(vector_col), lambda v: F.floor(v.cast("double") * scale))
@@ -195,7 +196,7 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in hits], schema=_HITS_SCHEMA)
 
     index = rows.select(deal(blocks).alias("block"), "id", "x").groupBy("block").applyInArrow(build, _INDEX)
-    asks = rows.where("q").select("id", "x").dropDuplicates(["id"]).select(deal(parts).alias("part"), "id", "x").groupBy("part").applyInArrow(bundle, "part int, qdims int, qids binary, q binary")
+    asks = rows.where("q").groupBy("id").agg(F.min("x").alias("x")).select(deal(parts).alias("part"), "id", "x").groupBy("part").applyInArrow(bundle, "part int, qdims int, qids binary, q binary")
     pairs = asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(index, "block").repartition("block", "part")
     hits = pairs.select("n", "dims", "low", "width", "ids", "slices", "qdims", "qids", "q").mapInArrow(search, "query_id long, vec_id long, score long")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
