@@ -24,12 +24,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near duplicates (five words, 0.8); a row that repeats as a whole stays once.
+    """The smallest doc_id of each group of near duplicates (five words, 0.8).
 
-    Rows with a null doc_id are linked with nothing and stay.
+    Of rows that repeat a doc_id with its text the one with the smallest other columns stays (any of them if these
+    can't be ordered). Rows with a null doc_id are linked with nothing and stay.
     """
     kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.join(kept.hint("merge"), F.col("doc_id").cast("long") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id", "text"])
+    named = docs.join(kept.hint("merge"), F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
+    rest = [f.name for f in docs.schema if f.name not in ("doc_id", "text")]
+    if rest and "map<" not in docs.select(*rest).schema.simpleString():
+        named = named.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("__rest")).select("doc_id", "text", "__rest.*").select(*docs.columns)
+    else:
+        named = named.dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.where("doc_id is null"))
 
 
