@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import lexicon as L
 from tessera.functions import text as T
-from tessera.operators.sizes import small_or_shuffled
+from tessera.operators.sizes import MOST_ROWS, small_or_shuffled
 
 COVERAGE = 0.80
 
@@ -48,9 +48,11 @@ def audit(texts: DataFrame, history: DataFrame, key: str = "id", text: str = "te
     skel = small_or_shuffled(h.select(F.sha2("s", 256).alias("fs")).where("s <> ''").distinct().withColumn("skeleton", F.lit(True)))
     own = tokenised(texts, key, text).select(key, F.explode(T.ngrams(F.col("toks"))).alias("g")).withColumn("h", F.xxhash64("g"))
     there = grams(history.withColumn("k", F.lit(0)), "k", text).select("h", "g").distinct().withColumnRenamed("g", "g2")
-    names = small_or_shuffled(own.select("h").distinct())
-    there = there.join(names, "h", "left_semi")
-    covered = own.join(small_or_shuffled(there), "h", "left").groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col("g") == F.col("g2")).alias("c")).select(key, "n", (F.col("c") / F.col("n")).alias("coverage"))
+    if there.limit(MOST_ROWS + 1).count() <= MOST_ROWS:
+        there = F.broadcast(there)
+    else:  # a large history: only what the texts hold takes part in the join
+        there = there.join(own.select("h").distinct(), "h", "left_semi")
+    covered = own.join(there, "h", "left").groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col("g") == F.col("g2")).alias("c")).select(key, "n", (F.col("c") / F.col("n")).alias("coverage"))
     x = texts.select(key, text, F.sha2(F.trim(text), 256).alias("fe"), F.sha2(T.norm(text), 256).alias("fm"), F.sha2(T.skeleton(T.audit_tokens(text)), 256).alias("fs"))
     x = x.join(exact, "fe", "left").join(normal, "fm", "left").join(skel, "fs", "left").join(covered, key, "left")
     no, zero = F.lit(False), F.lit(0.0)
