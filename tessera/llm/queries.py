@@ -50,7 +50,7 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = dedup_lines(table(spark, sf_dir, "documents"))
+    done = dedup_lines(table(spark, sf_dir, "documents"), least_words=1)
     return done.select("doc_id", "class_id", "n_lines", "n_removed", "n_links", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tessera.llm import decontaminate, line_dedup, lm_score, mixing, near_dedup, quality, sharding, substring_dedup, token_packing, topk_search
+from tessera.llm import decontaminate, line_dedup, lm_score, mixing, near_dedup, quality, queries, sharding, substring_dedup, token_packing, topk_search
 from tessera.llm._graph import connected_components
 from tessera.llm._sketch import bands_for, sketch
 
@@ -391,6 +391,36 @@ def test_lines(spark):
     assert sum(links.values()) > 20
 
 
+def test_short_lines_join_in_the_query(spark, tmp_path):
+    r = random.Random(4)
+    v = [f"u{k}" for k in range(12)]
+    texts = ["\n".join(" ".join(r.choices(v, k=r.choice((1, 1, 2, 2, 3, 4, 5, 6)))) for _ in range(r.randint(0, 6))) for _ in range(60)] + [None, "", "Menu\nread more\nMENU", "menu\nmore read\nread"]
+    table(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x["doc_id"]: x for x in queries.op7_line_dedup(spark, str(tmp_path)).collect()}
+    rows = [(i, ln, frozenset(words(ln))) for i, t in enumerate(texts) for ln in (t or "").split("\n") if words(ln)]
+    first, links, early = {}, Counter(), set()
+    for k, (_, _, s) in enumerate(rows):
+        first.setdefault(s, k)
+    kinds = sorted(first, key=first.get)
+    for a in range(len(kinds)):
+        for b in range(a):
+            if 5 * len(kinds[a] & kinds[b]) >= 4 * len(kinds[a] | kinds[b]):
+                links[kinds[a]] += 1
+                links[kinds[b]] += 1
+                early.add(kinds[a])
+    want = {i: [0, 0, 0, []] for i in range(len(texts))}
+    for k, (i, ln, s) in enumerate(rows):
+        gone = first[s] != k or s in early
+        want[i][0] += 1
+        want[i][1] += gone
+        want[i][2] += links[s] if first[s] == k else 0
+        want[i][3] += [] if gone else [ln]
+    for i, (lines, removed, n_links, kept) in want.items():
+        x = got[i]
+        assert (x["n_lines"], x["n_removed"], x["n_links"], x["kept_sha256"]) == (lines, removed, n_links, hashlib.sha256("\n".join(kept).encode()).hexdigest())
+    assert got[62]["n_removed"] == 1 and got[63]["n_removed"] == 2
+
+
 # 8 packing
 
 
