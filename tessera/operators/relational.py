@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+import heapq
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from tessera.functions import text as T
 
+CASE_BLOCK = 1 << 16
+POOL_BLOCK = 512
+#: Cases and words of one matrix product.
+CASE_STEP, WORD_STEP = 1024, 4096
+
 
 def dedup(df: DataFrame, by: Column, *identity: str) -> DataFrame:
     """For each value of by the row whose identity hashes lowest."""
@@ -31,15 +43,59 @@ def sole_value(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.count_distinct(value).alias("_n"), F.min(value).alias(value)).where("_n = 1").drop("_n")
 
 
-def decoys(base: DataFrame, tag: str, same: list[str], different: str | None = None) -> DataFrame:
-    """(id, decoy): of the other bases equal in ``same`` (and unequal in ``different``) the one whose hash with the base is lowest.
+def _blocked(cases: DataFrame, pool: DataFrame, same: list[str]) -> PandasCogroupedOps:
+    """Cases (id) and pool (decoy) equal in ``same``, cogrouped in blocks: pairs exist only inside a task, never as rows."""
+    n = pool.groupBy(*same).agg(F.count("*").alias("_n"))
+    deal = lambda df, k: df.join(n.select(*(F.col(c).alias(c) for c in same), *(F.ceil(F.col("_n") / size).cast("int").alias(f"_{c}{k}") for c, size in (("i", CASE_BLOCK), ("j", POOL_BLOCK)))), same)
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    one = lambda of, c: F.pmod(F.xxhash64(of), F.col(c)).cast("int")
+    left = deal(cases, 0).withColumn("_a", one("id", "_i0")).withColumn("_b", every("_j0"))
+    right = deal(pool, 1).withColumn("_a", every("_i1")).withColumn("_b", one("decoy", "_j1"))
+    return left.groupBy(*same, "_a", "_b").cogroup(right.groupBy(*same, "_a", "_b"))
+
+
+def _hashes(start: str, ends: list[bytes], rows: Iterable[int]) -> Iterator[tuple[bytes, int]]:
+    """For each of the rows the digest of start and the row's end, which join as in ``T.stable_hash``."""
+    first = start.encode() + b"\x1f"
+    return ((hashlib.sha256(first + ends[j]).digest(), j) for j in rows)
+
+
+def _lists(t: pa.Table, *names: str) -> list[list]:
+    return [t.column(c).to_pylist() for c in names]
+
+
+def _named(df: DataFrame, same: list[str], **columns: Column) -> DataFrame:
+    return df.where(F.col("id").isNotNull()).select(*(F.col(c).alias(c) for c in same), *(v.alias(k) for k, v in columns.items()))
+
+
+def _ends(sources: list[str | None], ids: list) -> list[bytes]:
+    return ["\x1f".join(x for x in (s, str(i)) if x is not None).encode() for s, i in zip(sources, ids, strict=True)]
+
+
+def decoys(base: DataFrame, tag: str, same: list[str], different: str | None = None, cases: DataFrame | None = None) -> DataFrame:
+    """(id, decoy): for each case (by default each base), of the other bases equal in ``same`` (and unequal in
+    ``different``) the one whose hash with the case is lowest.
 
-    An equi-join on ``same`` with a residual; callers bound both sides by a reservoir.
+    The hash holds both ids, so all pairs of a group are hashed; a block gives one row for each of its cases.
     """
-    o = base.select(*same, F.col("id").alias("decoy"), F.col("source").alias("osource"), *([F.col(different).alias("odiff")] if different else []))
-    x = base.join(o, same).where(F.col("id") != F.col("decoy"))
-    x = x.where(F.col(different) != F.col("odiff")) if different else x
-    return x.groupBy("id").agg(F.min_by("decoy", T.stable_hash(F.lit("decoy"), F.lit(tag), "id", "osource", "decoy")).alias("decoy"))
+    kind = base.schema["id"].dataType.simpleString()
+    extra = F.col(different) if different else F.lit(None).cast("string")
+    left = _named(base if cases is None else cases, same, id=F.col("id"), differs=extra)
+    right = _named(base, same, decoy=F.col("id"), source=F.col("source").cast("string"), differs=extra)
+
+    def pick(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, own = _lists(left, "id", "differs")
+        others, sources, theirs = _lists(right, "decoy", "source", "differs")
+        ends, out = _ends(sources, others), []
+        for i, v in zip(ids, own, strict=True):
+            rows = [j for j, (o, w) in enumerate(zip(others, theirs, strict=True)) if o != i and (different is None or v is not None and w is not None and v != w)]
+            best = min(_hashes(f"decoy\x1f{tag}\x1f{i}", ends, rows), default=None)
+            if best:
+                out.append((i, others[best[1]], best[0].hex()))
+        return pa.table([pa.array([x[k] for x in out], t) for k, t in enumerate((left.schema.field("id").type, right.schema.field("decoy").type, pa.string()))], names=["id", "decoy", "h"])
+
+    found = _blocked(left, right, same).applyInArrow(pick, f"id {kind}, decoy {kind}, h string")
+    return found.groupBy("id").agg(F.min_by("decoy", "h").alias("decoy"))
 
 
 def budgeted(candidates: DataFrame, budget: int = 20) -> DataFrame:
@@ -67,11 +123,21 @@ def last_wins(parts: list[DataFrame], key: str) -> DataFrame:
 def fillers(cases: DataFrame, pool: DataFrame, budget: int = 20) -> DataFrame:
     """(case_id, memory_id, ord): for each case (id, domain) other members of its domain's pool (id, source, domain), the budget's worth that hash lowest.
 
-    Both sides are reservoirs of bounded size, so the join by domain is bounded too.
+    A block gives at most the budget's worth for each of its cases.
     """
-    p = pool.select("domain", F.col("id").alias("memory_id"), F.col("source").alias("psource"))
-    x = cases.select(F.col("id").alias("case_id"), "domain").join(p, "domain").where(F.col("case_id") != F.col("memory_id"))
-    x = x.withColumn("ord", T.stable_hash(F.lit("filler"), "case_id", "psource", "memory_id"))
+    kind = pool.schema["id"].dataType.simpleString()
+    left = _named(cases, ["domain"], id=F.col("id"))
+    right = _named(pool, ["domain"], decoy=F.col("id"), source=F.col("source").cast("string"))
+
+    def pick(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        (ids,), (others, sources) = _lists(left, "id"), _lists(right, "decoy", "source")
+        ends, out = _ends(sources, others), []
+        for i in ids:
+            rows = (j for j, o in enumerate(others) if o != i)
+            out += [(i, others[j], h.hex()) for h, j in heapq.nsmallest(budget, _hashes(f"filler\x1f{i}", ends, rows))]
+        return pa.table([pa.array([x[k] for x in out], t) for k, t in enumerate((left.schema.field("id").type, right.schema.field("decoy").type, pa.string()))], names=["case_id", "memory_id", "ord"])
+
+    x = _blocked(left, right, ["domain"]).applyInArrow(pick, f"case_id {kind}, memory_id {kind}, ord string")
     n = F.row_number().over(Window.partitionBy("case_id").orderBy("ord"))
     return x.withColumn("_n", n).where(F.col("_n") <= budget).select("case_id", "memory_id", "ord")
 
@@ -79,14 +145,41 @@ def fillers(cases: DataFrame, pool: DataFrame, budget: int = 20) -> DataFrame:
 def better_decoys(cases: DataFrame, pool: DataFrame) -> DataFrame:
     """(id, decoy): of the pool's members of the domain whose first gold text overlaps the query more than the case's own, the one that hashes lowest.
 
-    An inverted index of the pool's tokens, as any better overlap shares a token.
+    Overlaps of a block are a matrix product over the tokens of its queries.
     """
-    q = cases.select("id", "domain", F.explode(F.array_distinct(T.tokens("query"))).alias("t"))
-    g = pool.select(F.col("id").alias("decoy"), "domain", F.explode(F.array_distinct(T.tokens(F.get("gold", F.lit(0))))).alias("t"))
-    c = q.join(g, ["domain", "t"]).groupBy("id", "decoy").agg(F.count("*").alias("c"))
-    own = c.where("id = decoy").select("id", F.col("c").alias("own"))
-    x = c.where("id <> decoy").join(own, "id", "left").where(F.col("c") > F.coalesce("own", F.lit(0)))
-    return x.groupBy("id").agg(F.min_by("decoy", T.stable_hash(F.lit("decoy"), F.lit("N9"), "id", "decoy")).alias("decoy"))
+    kind = pool.schema["id"].dataType.simpleString()
+    first = F.array_distinct(T.tokens(F.get("gold", F.lit(0))))
+    q = F.array_distinct(T.tokens("query"))
+    left = _named(cases, ["domain"], id=F.col("id"), q=q, own=F.size(F.array_intersect(q, first)))
+    right = _named(pool, ["domain"], decoy=F.col("id"), g=first)
+
+    def pick(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        (ids, asked, own), (others, golds) = _lists(left, "id", "q", "own"), _lists(right, "decoy", "g")
+        ends, out = _ends([None] * len(others), others), []
+        for lo in range(0, len(ids), CASE_STEP):
+            part = range(lo, min(lo + CASE_STEP, len(ids)))
+            at: dict[str, int] = {}
+            rows = [(k, at.setdefault(t, len(at))) for k, i in enumerate(part) for t in asked[i] or ()]
+            cols = [(k, at[t]) for k, g in enumerate(golds) for t in g or () if t in at]
+            a, b = (np.array(x, np.int64).reshape(-1, 2) for x in (rows, cols))
+            common = np.zeros((len(part), len(others)), np.float32)
+            for w in range(0, len(at), WORD_STEP):
+                ms = []
+                for x, n in ((a, len(part)), (b, len(others))):
+                    x = x[(x[:, 1] >= w) & (x[:, 1] < w + WORD_STEP)]
+                    m = np.zeros((n, WORD_STEP), np.float32)
+                    m[x[:, 0], x[:, 1] - w] = 1
+                    ms.append(m)
+                common += ms[0] @ ms[1].T
+            for k, i in enumerate(part):
+                rows = [j for j in np.flatnonzero(common[k] > own[i]).tolist() if others[j] != ids[i]]
+                best = min(_hashes(f"decoy\x1fN9\x1f{ids[i]}", ends, rows), default=None)
+                if best:
+                    out.append((ids[i], others[best[1]], best[0].hex()))
+        return pa.table([pa.array([x[k] for x in out], t) for k, t in enumerate((left.schema.field("id").type, right.schema.field("decoy").type, pa.string()))], names=["id", "decoy", "h"])
+
+    found = _blocked(left, right, ["domain"]).applyInArrow(pick, f"id {kind}, decoy {kind}, h string")
+    return found.groupBy("id").agg(F.min_by("decoy", "h").alias("decoy"))
 
 
 def materialise(cases: DataFrame, pool: DataFrame, decoy: DataFrame, budget: int = 20) -> DataFrame:

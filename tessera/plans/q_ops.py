@@ -209,12 +209,12 @@ def user_turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _decoys(name: str, tag: str, same: str, different: str | None) -> None:
+    """Decoys from all valid bases. The SQL takes the first RESERVOIR of each domain: the same where no domain has more."""
     keep = f"AND a.{different} <> b.{different}" if different else ""
     on = " AND ".join(f"a.{c} = b.{c}" for c in same.split(", "))
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        r = X.reservoir(X.valid(bases(spark, sf)), "n9-feasibility-reservoir", X.RESERVOIR, "source", "id")
-        return R.decoys(r, tag, same.split(", "), different)
+        return R.decoys(X.valid(bases(spark, sf)), tag, same.split(", "), different)
 
     run.__name__ = name
     query(f"""WITH {BASES}, {RESERVOIR} SELECT a.id, min_by(b.id, {S.hashed("'decoy'", f"'{tag}'", 'a.id', 'b.source', 'b.id')}) AS decoy FROM rv a JOIN rv b ON {on} AND a.id <> b.id {keep} GROUP BY a.id""")(run)
@@ -301,8 +301,8 @@ CASE_ROWS = f"""{RESERVOIR}, cs AS (SELECT *, rn % 3 = 0 AS no_evidence FROM rv
 
 
 def sampled_cases(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Cases (the first of each domain's reservoir, every third without evidence) and the reservoir."""
-    pool = X.reservoir(X.valid(bases(spark, sf)), "n9-feasibility-reservoir", X.RESERVOIR, "source", "id")
+    """Cases (the first of each domain in hash order, every third without evidence) and all valid bases, of which the SQL takes RESERVOIR of each domain."""
+    pool = X.valid(bases(spark, sf))
     w = Window.partitionBy("domain").orderBy(T.stable_hash(F.lit("n9-feasibility-reservoir"), "domain", "source", "id"))
     return pool.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= CASE_CAP).withColumn("no_evidence", F.col("rn") % 3 == 0), pool
 
@@ -329,4 +329,4 @@ fo AS (SELECT case_id, memory_id, min(struct_pack(priority := priority, ord := o
 SELECT case_id, pos::INT AS pos, memory_id, priority::INT AS priority FROM (SELECT case_id, memory_id, at1.priority AS priority, row_number() OVER (PARTITION BY case_id ORDER BY at1.priority, at1.ord, memory_id) AS pos FROM fo) WHERE pos <= 20""")
 def materialised_cases(spark: SparkSession, sf: str) -> DataFrame:
     cases, pool = sampled_cases(spark, sf)
-    return R.materialise(cases, pool, R.decoys(pool, "N3", ["domain"], "subject"))
+    return R.materialise(cases, pool, R.decoys(pool, "N3", ["domain"], "subject", cases))

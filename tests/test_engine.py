@@ -1,6 +1,7 @@
 """Every query with SQL against that SQL; sampling, sources and sinks."""
 
 import ast
+import hashlib
 import json
 import random
 import zipfile
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import catalog
-from tessera.operators import relational, sampling, thresholds
+from tessera.operators import flags, relational, sampling, thresholds
 from tessera.plans import q_sampling
 from tessera.sources import readers, sinks
 
@@ -121,6 +122,53 @@ def test_sinks_take_aggregates_only(spark, tmp_path):
         sinks.write_json(spark.range(5).select(F.col("id").alias("n")), str(tmp_path / "y.json"), 3)
 
 
+def hashed(*parts):
+    return hashlib.sha256("\x1f".join(map(str, parts)).encode()).hexdigest()
+
+
+@pytest.fixture(scope="module")
+def crowded(spark, tmp_path_factory):
+    """Documents of which one domain has more bases than the reservoir, and its bases as a list of (id, source, query, gold, domain)."""
+    r = random.Random(8)
+    v = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(flags.RESERVOIR + 300):
+        head, rest = " ".join(r.choices(v, k=r.randint(1, 6))), " ".join(r.choices(v, k=r.randint(2, 12)))
+        rows.append((k, f"{head}. {rest}", "en" if k % 12 else "de", f"s{r.randrange(5)}", 9))
+    rows += [(5000, "no rest", "en", "s1", 7), (5001, "Nur eins. hier", "fr", "s1", 14)]
+    sf = str(tmp_path_factory.mktemp("crowded"))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(sf + "/documents.parquet")
+    base = [(i, s, t.split(".")[0] + ".", t.split(".")[1], {"en": "D1", "de": "D2", "fr": "D3"}[g]) for i, t, g, s, _ in rows if "." in t]
+    return sf, base
+
+
+def test_decoys_are_chosen_from_all_bases(spark, crowded):
+    sf, base = crowded
+    got = {x["id"]: x["decoy"] for x in catalog.queries()["decoy_other_subject"](spark, sf).collect()}
+    assert len(got) == len(base) - 1 > flags.RESERVOIR
+    for i, s, _, _, d in base[::97]:
+        assert got[i] == min((b for b in base if b[4] == d and b[1] != s), key=lambda b: hashed("decoy", "N3", i, b[1], b[0]))[0]
+    pairs = {x["id"]: x["decoy"] for x in catalog.queries()["decoy_same_pair"](spark, sf).collect()}
+    for i, s, _, _, d in base[::97]:
+        assert pairs[i] == min((b for b in base if b[4] == d and b[1] == s and b[0] != i), key=lambda b: hashed("decoy", "N12", i, b[1], b[0]))[0]
+
+
+def test_fillers_and_better_decoys_come_from_all_bases(spark, crowded):
+    sf, base = crowded
+    own = {b[0]: b for b in base}
+    got = {}
+    for x in catalog.queries()["same_domain_fillers"](spark, sf).orderBy("ord").collect():
+        got.setdefault(x["case_id"], []).append((x["memory_id"], x["ord"]))
+    for i, rows in got.items():
+        assert rows == sorted(((b[0], hashed("filler", i, b[1], b[0])) for b in base if b[4] == own[i][4] and b[0] != i), key=lambda x: x[1])[:20]
+    toks = {b[0]: (set(b[2].rstrip(".").lower().split()), set(b[3].lower().split())) for b in base}
+    better = {x["id"]: x["decoy"] for x in catalog.queries()["decoy_better_overlap"](spark, sf).collect()}
+    for i in got:
+        q = toks[i][0]
+        want = [b[0] for b in base if b[4] == own[i][4] and b[0] != i and len(q & toks[b[0]][1]) > len(q & toks[i][1])]
+        assert better.get(i) == min(want, key=lambda b: hashed("decoy", "N9", i, b), default=None)
+
+
 def test_last_prior_is_strictly_earlier(spark):
     d = spark.createDataFrame([("a", 1, True), ("a", 2, False), ("a", 5, True), ("b", 1, False)], "k string, t int, e boolean")
     assert sorted((r["k"], r["t"], str(r["p"])) for r in relational.last_prior(d, ["k"], "t", F.col("e"), "p").collect()) == [("a", 1, "None"), ("a", 2, "1"), ("a", 5, "1"), ("b", 1, "None")]
