@@ -330,3 +330,29 @@ SELECT case_id, pos::INT AS pos, memory_id, priority::INT AS priority FROM (SELE
 def materialised_cases(spark: SparkSession, sf: str) -> DataFrame:
     cases, pool = sampled_cases(spark, sf)
     return R.materialise(cases, pool, R.decoys(pool, "N3", ["domain"], "subject", cases))
+
+
+def all_cases(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Every valid base as a case (every third of a domain, in hash order, without evidence), and the valid bases."""
+    pool = X.valid(bases(spark, sf))
+    w = Window.partitionBy("domain").orderBy(T.stable_hash(F.lit("n9-feasibility-reservoir"), "domain", "source", "id"))
+    return pool.withColumn("no_evidence", F.row_number().over(w) % 3 == 0), pool
+
+
+@query()
+def same_domain_fillers_all(spark: SparkSession, sf: str) -> DataFrame:
+    """same_domain_fillers of every valid base; the SQL there takes CASE_CAP of each domain, so there is none here."""
+    return R.fillers(*all_cases(spark, sf))
+
+
+@query()
+def decoy_better_overlap_all(spark: SparkSession, sf: str) -> DataFrame:
+    """decoy_better_overlap of every valid base."""
+    return R.better_decoys(*all_cases(spark, sf))
+
+
+@query()
+def materialised_cases_all(spark: SparkSession, sf: str) -> DataFrame:
+    """materialised_cases of every valid base."""
+    cases, pool = all_cases(spark, sf)
+    return R.materialise(cases, pool, R.decoys(pool, "N3", ["domain"], "subject"))

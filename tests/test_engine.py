@@ -169,6 +169,21 @@ def test_fillers_and_better_decoys_come_from_all_bases(spark, crowded):
         assert better.get(i) == min(want, key=lambda b: hashed("decoy", "N9", i, b), default=None)
 
 
+def test_every_base_is_a_case(spark, crowded):
+    sf, base = crowded
+    fill = {}
+    for x in catalog.queries()["same_domain_fillers_all"](spark, sf).collect():
+        fill.setdefault(x["case_id"], set()).add(x["memory_id"])
+    alone = [b[0] for b in base if b[4] == "D3"]
+    assert sorted(fill) == sorted(b[0] for b in base if b[0] not in alone) and {len(x) for x in fill.values()} == {20}
+    toks = {b[0]: (set(b[2].rstrip(".").lower().split()), set(b[3].lower().split())) for b in base}
+    better = {x["id"]: x["decoy"] for x in catalog.queries()["decoy_better_overlap_all"](spark, sf).collect()}
+    assert len(better) > 125
+    for i, _, _, _, d in base[::31]:
+        want = [b[0] for b in base if b[4] == d and b[0] != i and len(toks[i][0] & toks[b[0]][1]) > len(toks[i][0] & toks[i][1])]
+        assert better.get(i) == min(want, key=lambda b: hashed("decoy", "N9", i, b), default=None)
+
+
 def test_last_prior_is_strictly_earlier(spark):
     d = spark.createDataFrame([("a", 1, True), ("a", 2, False), ("a", 5, True), ("b", 1, False)], "k string, t int, e boolean")
     assert sorted((r["k"], r["t"], str(r["p"])) for r in relational.last_prior(d, ["k"], "t", F.col("e"), "p").collect()) == [("a", 1, "None"), ("a", 2, "1"), ("a", 5, "1"), ("b", 1, "None")]
