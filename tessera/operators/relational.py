@@ -123,17 +123,18 @@ def last_wins(parts: list[DataFrame], key: str) -> DataFrame:
 def fillers(cases: DataFrame, pool: DataFrame, budget: int = 20) -> DataFrame:
     """(case_id, memory_id, ord): for each case (id, domain) other members of its domain's pool (id, source, domain), the budget's worth that hash lowest.
 
-    A block gives at most the budget's worth for each of its cases.
+    Where cases have ``barred``, members of the pool whose ``print`` is in it are left out. A block gives at most the budget's worth for each of its cases.
     """
     kind = pool.schema["id"].dataType.simpleString()
-    left = _named(cases, ["domain"], id=F.col("id"))
-    right = _named(pool, ["domain"], decoy=F.col("id"), source=F.col("source").cast("string"))
+    none = F.lit(None)
+    left = _named(cases, ["domain"], id=F.col("id"), barred=F.col("barred") if "barred" in cases.columns else none.cast("array<string>"))
+    right = _named(pool, ["domain"], decoy=F.col("id"), source=F.col("source").cast("string"), print=F.col("print") if "print" in pool.columns else none.cast("string"))
 
     def pick(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        (ids,), (others, sources) = _lists(left, "id"), _lists(right, "decoy", "source")
+        (ids, barred), (others, sources, prints) = _lists(left, "id", "barred"), _lists(right, "decoy", "source", "print")
         ends, out = _ends(sources, others), []
-        for i in ids:
-            rows = (j for j, o in enumerate(others) if o != i)
+        for i, bar in zip(ids, barred, strict=True):
+            rows = [j for j, o in enumerate(others) if o != i and not (bar and prints[j] in bar)]
             out += [(i, others[j], h.hex()) for h, j in heapq.nsmallest(budget, _hashes(f"filler\x1f{i}", ends, rows))]
         return pa.table([pa.array([x[k] for x in out], t) for k, t in enumerate((left.schema.field("id").type, right.schema.field("decoy").type, pa.string()))], names=["case_id", "memory_id", "ord"])
 
@@ -182,9 +183,32 @@ def better_decoys(cases: DataFrame, pool: DataFrame) -> DataFrame:
     return found.groupBy("id").agg(F.min_by("decoy", "h").alias("decoy"))
 
 
-def materialise(cases: DataFrame, pool: DataFrame, decoy: DataFrame, budget: int = 20) -> DataFrame:
-    """(case_id, pos, memory_id, priority) of cases (id, domain, no_evidence): the gold memory (0; left out without evidence), the decoy (1), fillers (3), up to the budget."""
+def materialise(cases: DataFrame, pool: DataFrame, decoy: DataFrame, budget: int = 20, by_text: bool = True) -> DataFrame:
+    """(case_id, pos, memory_id, priority) of cases (id, domain, no_evidence): the gold memory (0; left out without evidence), the decoy (1), fillers (3), up to the budget.
+
+    by_text: no-evidence cases also get no memory whose normalised text is that of one of their gold texts, and a
+    case with fewer than two memories or without its gold raises an error. Needs gold in cases and pool.
+    """
     gold = cases.where(~F.col("no_evidence")).select(F.col("id").alias("case_id"), F.col("id").alias("memory_id"), F.lit(0).alias("priority"), F.lit("").alias("ord"))
     must = decoy.join(cases.select("id"), "id", "left_semi").select(F.col("id").alias("case_id"), F.col("decoy").alias("memory_id"), F.lit(1).alias("priority"), F.lit("").alias("ord"))
+    if not by_text:
+        rest = fillers(cases, pool, budget).select("case_id", "memory_id", F.lit(3).alias("priority"), "ord")
+        return budgeted(gold.unionByName(must).unionByName(rest), budget)
+    print_of = lambda x: F.sha2(T.norm(x), 256)
+    barred = F.when(F.col("no_evidence"), F.transform("gold", print_of))
+    pool = pool.withColumn("print", print_of(F.get("gold", F.lit(0))))
+    cases = cases.withColumn("barred", barred)
+    copies = pool.select(F.col("id").alias("memory_id"), "print").join(cases.select(F.col("id").alias("case_id"), F.explode("barred").alias("print")), "print").select("case_id", "memory_id")
+    must = must.join(copies, ["case_id", "memory_id"], "left_anti")
     rest = fillers(cases, pool, budget).select("case_id", "memory_id", F.lit(3).alias("priority"), "ord")
-    return budgeted(gold.unionByName(must).unionByName(rest), budget)
+    return checked(cases, budgeted(gold.unionByName(must).unionByName(rest), budget))
+
+
+def checked(cases: DataFrame, memories: DataFrame) -> DataFrame:
+    """memories; raises an error where a case has fewer than two, or has evidence and lost its gold to the budget."""
+    w = Window.partitionBy("case_id")
+    x = cases.select(F.col("id").alias("case_id"), "no_evidence").join(memories, "case_id", "left")
+    x = x.withColumns({"_n": F.count("memory_id").over(w), "_g": F.count_if(F.col("priority") == 0).over(w)})
+    fail = lambda why: F.raise_error(F.concat(F.lit(why), F.col("case_id").cast("string"))).cast("boolean")
+    ok = F.when(F.col("_n") < 2, fail("insufficient runtime memories ")).when(~F.col("no_evidence") & (F.col("_g") < 1), fail("gold dropped by budget ")).otherwise(F.lit(True))
+    return x.where(ok).select("case_id", "pos", "memory_id", "priority")

@@ -329,7 +329,7 @@ fo AS (SELECT case_id, memory_id, min(struct_pack(priority := priority, ord := o
 SELECT case_id, pos::INT AS pos, memory_id, priority::INT AS priority FROM (SELECT case_id, memory_id, at1.priority AS priority, row_number() OVER (PARTITION BY case_id ORDER BY at1.priority, at1.ord, memory_id) AS pos FROM fo) WHERE pos <= 20""")
 def materialised_cases(spark: SparkSession, sf: str) -> DataFrame:
     cases, pool = sampled_cases(spark, sf)
-    return R.materialise(cases, pool, R.decoys(pool, "N3", ["domain"], "subject", cases))
+    return R.materialise(cases, pool, R.decoys(pool, "N3", ["domain"], "subject", cases), by_text=False)
 
 
 def all_cases(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -353,6 +353,12 @@ def decoy_better_overlap_all(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def materialised_cases_all(spark: SparkSession, sf: str) -> DataFrame:
-    """materialised_cases of every valid base."""
+    """Cases of every valid base with the decoy of their family: of the flagged ones of N3, N4, N9 and N12 the one that hashes lowest."""
     cases, pool = all_cases(spark, sf)
-    return R.materialise(cases, pool, R.decoys(pool, "N3", ["domain"], "subject"))
+    flagged = F.array(*(F.when(F.col(f), F.struct(T.stable_hash(F.lit("family"), "id", F.lit(f)).alias("h"), F.lit(f).alias("f"))) for f in ("n3", "n4", "n9", "n12")))
+    family = X.all_flags(bases(spark, sf)).select("id", F.array_min(flagged)["f"].alias("family"))
+    cases = cases.join(family, "id", "left")
+    of = {f: cases.where(F.col("family") == f) for f in ("n3", "n4", "n9", "n12")}
+    decoy = R.decoys(pool, "N3", ["domain"], "subject", of["n3"])
+    decoy = decoy.unionByName(R.decoys(pool, "N4", ["subject"], "relation", of["n4"])).unionByName(R.decoys(pool, "N12", ["subject", "relation"], None, of["n12"]))
+    return R.materialise(cases, pool, decoy.unionByName(R.better_decoys(of["n9"], pool)))

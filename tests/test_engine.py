@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera import catalog
 from tessera.operators import flags, relational, sampling, thresholds
-from tessera.plans import q_sampling
+from tessera.plans import q_ops, q_sampling
 from tessera.sources import readers, sinks
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -184,6 +184,34 @@ def test_every_base_is_a_case(spark, crowded):
         assert better.get(i) == min(want, key=lambda b: hashed("decoy", "N9", i, b), default=None)
 
 
+def test_no_evidence_cases_get_no_copy_of_their_gold(spark):
+    rows = [(i, f"s{i % 3}", "D1", [t], i % 2 == 0) for i, t in enumerate(["Same text", "same  TEXT", "other", "third", "same text", "last"])]
+    cases = spark.createDataFrame(rows, "id long, source string, domain string, gold array<string>, no_evidence boolean")
+    decoy = spark.createDataFrame([(0, 4), (1, 0), (2, 0)], "id long, decoy long")
+    got = {}
+    for x in relational.materialise(cases, cases, decoy).collect():
+        got.setdefault(x["case_id"], {})[x["memory_id"]] = x["priority"]
+    assert set(got[0]) == set(got[4]) == {2, 3, 5}
+    assert got[1] == {1: 0, 0: 1, 2: 3, 3: 3, 4: 3, 5: 3} and got[2] == {0: 1, 1: 3, 3: 3, 4: 3, 5: 3}
+    with pytest.raises(Exception, match="insufficient runtime memories"):
+        relational.materialise(cases.where("id in (0, 1)"), cases.where("id in (0, 1, 4)"), decoy).collect()
+    kept = relational.budgeted(spark.createDataFrame([(1, 2, 1, ""), (1, 3, 1, ""), (1, 1, 2, "")], "case_id long, memory_id long, priority int, ord string"), 2)
+    with pytest.raises(Exception, match="gold dropped by budget"):
+        relational.checked(cases.where("id = 1"), kept).collect()
+
+
+def test_cases_get_the_decoy_of_their_family(spark, sf):
+    rows = catalog.queries()["materialised_cases_all"](spark, sf).collect()
+    base = {r["id"]: r for r in flags.valid(q_ops.bases(spark, sf)).collect()}
+    assert {r["case_id"] for r in rows} == set(base)
+    kinds = set()
+    for r in rows:
+        if r["priority"] == 1:
+            a, b = base[r["case_id"]], base[r["memory_id"]]
+            kinds.add((a["subject"] == b["subject"], a["relation"] == b["relation"]))
+    assert {(False, True), (True, False), (True, True)} <= kinds
+
+
 def test_last_prior_is_strictly_earlier(spark):
     d = spark.createDataFrame([("a", 1, True), ("a", 2, False), ("a", 5, True), ("b", 1, False)], "k string, t int, e boolean")
     assert sorted((r["k"], r["t"], str(r["p"])) for r in relational.last_prior(d, ["k"], "t", F.col("e"), "p").collect()) == [("a", 1, "None"), ("a", 2, "1"), ("a", 5, "1"), ("b", 1, "None")]
