@@ -69,14 +69,8 @@ def _ngrams(part: P.Part) -> tuple[list[np.ndarray], np.ndarray]:
     return [y[at], two, three], size
 
 
-def _bits(tokens: int) -> list[int]:
-    """Fingerprint widths by order; words are never cut, longer n-grams to 14 bits beyond the number of tokens."""
-    cut = min(64, int(tokens).bit_length() + 14)
-    return [64, cut, cut]
-
-
-def _distinct(grams: list[np.ndarray], bits: list[int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    return [np.unique(h >> np.uint64(64 - b), return_inverse=True, return_counts=True) for h, b in zip(grams, bits, strict=True)]
+def _distinct(grams: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    return [np.unique(h, return_inverse=True, return_counts=True) for h in grams]
 
 
 def _census(key: tuple, t: pa.Table) -> pa.Table:
@@ -121,15 +115,15 @@ def counted(docs: DataFrame, id_col: str, text_col: str, fold: Column) -> DataFr
     """For each part the counts of the n-grams that end at each token, in all training documents (seen) and, for
     parts of the tuning fold, without that fold (kept). Rows of fold -1 hold totals by hash range."""
     tokens = max(1, P.text_bytes(docs, text_col) // 6)
-    bits, buckets = _bits(tokens), max(12, -(-tokens * 2 // P.ENTRIES))
+    buckets = max(12, -(-tokens * 2 // P.ENTRIES))
     packed = P.pack(docs, id_col, text_col, fold).repartition("part")
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, f, p in P.parts_of(b):
                 bodies = [b""] * buckets
-                for (keys, _, n), width in zip(_distinct(_ngrams(p)[0], bits), bits, strict=True):
-                    cut = P.bucket_edges(keys << np.uint64(64 - width), buckets)
+                for keys, _, n in _distinct(_ngrams(p)[0]):
+                    cut = P.bucket_edges(keys, buckets)
                     bodies = [x + P.put_sorted(keys[i:j]) + P.planes(n[i:j] if f != TEST else np.zeros(j - i)) for x, i, j in zip(bodies, cut[:-1], cut[1:], strict=True)]
                 press = zstandard.ZstdCompressor(level=1).compress
                 yield P.send(part, {k: bytes([f]) + press(x) for k, x in enumerate(bodies)})
@@ -148,7 +142,7 @@ def counted(docs: DataFrame, id_col: str, text_col: str, fold: Column) -> DataFr
                     for kind in range(1 + (f == TUNE)):
                         x, at = P.unplanes(b, at)
                         got[kind][order].append(x)
-            back = [d[1] for d in _distinct(grams, bits)]
+            back = [d[1] for d in _distinct(grams)]
             seen, kept = ([np.concatenate(x)[i] for x, i in zip(got[k], back, strict=True)] if k == 0 or f == TUNE else [] for k in range(2))
             rows.append([part, f, p.ids.tobytes(), p.nulls.tobytes(), size.tobytes(), _press(seen), _press(kept), []])
         return pa.table([pa.array(c, y.type) for c, y in zip(zip(*rows, strict=True), _COUNTED_SCHEMA, strict=True)], schema=_COUNTED_SCHEMA)

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, line_dedup, lm_score, mixing, near_dedup, quality, queries, sharding, substring_dedup, token_packing, topk_search
 from tessera.llm._graph import connected_components
@@ -179,6 +180,24 @@ def test_lm_beats_its_base_on_held_out_text(spark):
     assert r["s"] > r["b"]
 
 
+def test_lm_counts_no_other_ngram(spark):
+    grams = [np.array([(5 << 40) + 1, (5 << 40) + 2, (5 << 40) + 2], np.uint64)] * lm_score.ORDERS
+    assert [(len(keys), n.tolist()) for keys, _, n in lm_score._distinct(grams)] == [(2, [1, 2])] * 3
+    r = random.Random(2)
+    texts = [" ".join(f"w{r.randrange(3000)}" for _ in range(200)) for _ in range(300)]
+    sent = lm_score.counted(table(spark, texts), "doc_id", "text", F.lit(lm_score.TRAIN)).where("fold >= 0")
+    got, want = Counter(), Counter()
+    for x in sent.select("lens", "seen").collect():
+        got.update(lm_score._unpress(x["seen"])[2].tolist())
+    c = Counter()
+    for t in texts:
+        s = ["<", "<", *t.split(" "), None]
+        c.update(tuple(s[k - 2 : k + 1]) for k in range(2, len(s)))
+    for n in c.values():
+        want[n] += n
+    assert got == want
+
+
 # 3 decontamination
 
 
