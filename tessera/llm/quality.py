@@ -195,6 +195,11 @@ def _texts(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.Reco
             i += len(own)
 
 
+def sample_bound(sample: int, rows: int) -> int:
+    """The largest signed 64-bit hash of the sample: about ``sample`` of these rows hash up to it."""
+    return -(1 << 63) + min(1 << 64, (sample << 64) // max(1, rows)) - 1 if sample > 0 else -(1 << 63)
+
+
 def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> QualityModel:
     """Label model from the vote patterns of all documents, scorer from about ``sample`` of them."""
     m = len(LABELLERS)
@@ -209,7 +214,7 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     codes, count = np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], np.float64)
     votes = (codes[:, None] // 3 ** np.arange(m) % 3 - 1).astype(np.int8) if len(codes) else np.zeros((0, m), np.int8)
     labels = LabelModel.fit(votes, count)
-    share = min(1.0, sample / max(1.0, count.sum()))
+    last = sample_bound(sample, int(count.sum()))
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, _, t in _texts(batches, 0):
@@ -218,8 +223,10 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             xs = [x.astype(np.int32).tobytes() for x in np.split(f, ends)]
             yield pa.RecordBatch.from_arrays([pa.array(labels.posterior(t.votes())), pa.array(xs, pa.binary())], names=["y", "x"])
 
-    chosen = docs.where(F.expr(f"pmod(xxhash64({id_col}, 11), 1000000) < {round(share * 1e6)}")).select(F.col(text_col).cast("string"))
+    chosen = docs.where(F.xxhash64(id_col, F.lit(11)) <= F.lit(last).cast("long")).select(F.col(text_col).cast("string"))
     rows = sorted((r["y"], bytes(r["x"])) for r in chosen.mapInArrow(labelled, "y double, x binary").collect())
+    if len(codes) and not rows:
+        raise ValueError(f"no document of {int(count.sum())} is in the scorer's sample")
     return QualityModel(labels, *train(rows))
 
 

@@ -518,6 +518,15 @@ def test_label_model_learns_accuracies():
     assert ((p > 0.5) == bad).mean() > 0.98
 
 
+def test_quality_sample_of_any_size(spark, docs):
+    for rows in (10**4, 16 * 10**9, 10**13):
+        share = (quality.sample_bound(quality.SAMPLE, rows) + 2**63 + 1) / 2**64
+        assert share == pytest.approx(min(1, quality.SAMPLE / rows), rel=1e-6)
+    assert quality.sample_bound(quality.SAMPLE, 10) == 2**63 - 1
+    with pytest.raises(ValueError):
+        quality.fit_quality(docs, sample=0)
+
+
 # 10 mixing
 
 
