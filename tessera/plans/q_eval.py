@@ -13,7 +13,7 @@ from tessera.operators import metrics as M
 from tessera.operators import rankers as R
 from tessera.operators import thresholds as X
 from tessera.plans import sql_parts as S
-from tessera.plans.cases import adversarial_cases, adversarial_sql
+from tessera.plans.cases import adversarial_cases, adversarial_sql, conversation_cases
 from tessera.plans.q_rank import BM25, V2, V2_SCORE, _scored, benchmark_hits
 from tessera.plans.registry import query, table
 
@@ -262,6 +262,31 @@ def rank_v6(spark: SparkSession, sf: str) -> DataFrame:
     return R.v6_rank(adversarial_cases(spark))
 
 
+# The gate over the conversations of a table; the queries above run on the adversarial set, as their SQL.
+
+
+@query()
+def gate_evidence_cases(spark: SparkSession, sf: str) -> DataFrame:
+    return G.evidence(conversation_cases(spark, sf).drop("role")).select("case_id", "pos", *FIELDS.split(", "))
+
+
+@query()
+def gate_verdicts_cases(spark: SparkSession, sf: str) -> DataFrame:
+    c = conversation_cases(spark, sf).drop("role")
+    return G.verdicts(c, R.v2_rank(c))
+
+
+@query()
+def gate_coverage_cases(spark: SparkSession, sf: str) -> DataFrame:
+    c = conversation_cases(spark, sf).drop("role")
+    return G.coverage(c, R.v2_rank(c)).select("case_id", "requirement", "memory_id", "value", "scope", F.coalesce("resolving", F.lit(False)).alias("resolving"))
+
+
+@query()
+def rank_v6_cases(spark: SparkSession, sf: str) -> DataFrame:
+    return R.v6_rank(conversation_cases(spark, sf).drop("role"))
+
+
 @query(f"""WITH {BM25}, tp AS (SELECT r.item_id, d.source FROM r JOIN documents d USING (doc_id) WHERE rank = 1), wt AS (SELECT item_id, min(source) AS wanted FROM gold JOIN documents USING (doc_id) GROUP BY item_id)
 SELECT count(*) AS n, round(count(*) FILTER (source = wanted) / greatest(1, count(*))::DOUBLE, 6) AS accuracy FROM tp JOIN wt USING (item_id)""".replace("tp AS", GOLD + ", tp AS", 1))
 def binding_accuracy(spark: SparkSession, sf: str) -> DataFrame:

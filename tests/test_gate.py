@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import catalog
 from tessera.operators import gate as G
 from tessera.operators import metrics as M
 from tessera.operators import rankers as R
@@ -83,3 +84,12 @@ def test_users_register_rankers(spark, sf):
     R.register("shortest", lambda c, k: R.top(c.withColumn("score", -F.length("text").cast("double")), k, F.desc("score"), F.col("pos")))
     assert R.rank(conversation_cases(spark, sf), "shortest", 1).count() > 0
     del R.RANKERS["shortest"]
+
+
+def test_the_gate_meets_the_conversations(spark, tmp_path):
+    turns = [(1, 0, "user", "The current code for ACME-1 updated to ZX-7."), (1, 1, "assistant", "Noted."), (1, 2, "user", "What is the current code for ACME-1?"), (2, 0, "user", "Hello there."), (2, 1, "user", "What is the current code for ACME-2?")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    run = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
+    assert {r["case_id"]: r["verdict"] for r in run("gate_verdicts_cases")} == {"1": "SUPPORTED", "2": "INSUFFICIENT"}
+    assert {(r["case_id"], r["pos"]): r["value"] for r in run("gate_evidence_cases")}[("1", 0)] is not None and len(run("gate_evidence_cases")) == 3
+    assert {r["case_id"] for r in run("gate_coverage_cases")} == {"1", "2"} and {r["case_id"] for r in run("rank_v6_cases")} == {"1"}
