@@ -1,21 +1,19 @@
-"""Substring dedup with prefix-partitioned suffix trees.
+"""Substring dedup of windows of words, grouped by fingerprint and dealt by prefix.
 
-The suffixes of all documents, cut off at ``window`` words, form one tree in which a node of depth
-``window`` is a run of words that occurs more than once or a single leaf. The tree is never built
-whole: each suffix goes to the group of its prefix, and the prefix is as long as it must be for the
-group to fit in memory.
+A window that occurs more than once is a repeat. No suffix tree is built: each suffix, cut off at ``window``
+words, goes to the group of its prefix, which is as long as it must be for the group to fit in memory, and
+there whole windows are compared by their fingerprints.
 
 1. Every part sends the sorted fingerprints of its suffixes' shortest prefixes; a census adds up how
-   many different suffixes stand below each. A prefix with one suffix is a leaf and ends there. Other
+   many different suffixes stand below each. A prefix with one suffix ends there. Other
    prefixes get a length by their number of suffixes: SHORT words, then MIDDLE, then the whole window.
-2. The suffixes that are left are sent to the groups of their prefixes, with the labels of the edges
-   below the prefix. A group's task sorts them into a suffix array; the common prefix lengths of
-   neighbours are the depths of the subtree's internal nodes, and the nodes of depth ``window`` are the
-   repeats. The first leaf of each (smallest document, then start) is the original.
+2. The suffixes that are left are sent to the groups of their prefixes, with fingerprints of the window
+   and 16 bits of that of its first MIDDLE words. A group's task sorts them; neighbours with equal fingerprints are a
+   repeat, and the first of each (smallest document, then start) is the original.
 3. Each part gets one bit for each suffix that it sent, and removes what repeated windows cover.
 
 Equal suffixes of a part are combined before they are sent, so a passage that a third of all rows hold
-costs a few bytes for each part. Edge labels are fingerprints of 64 bits, which with those of the
+costs a few bytes for each part. Windows have fingerprints of 64 bits, which with those of the
 prefix make two different windows equal with a chance of about 2**-64.
 """
 
@@ -82,7 +80,7 @@ def _read_codes(replies: list[bytes]) -> np.ndarray:
 
 
 def _repeats(payloads: list[bytes]) -> list[bytes]:
-    """Builds the subtrees of a group and tells of each suffix whether an earlier one reaches the same deep node."""
+    """Tells of each suffix of a group whether an earlier one has the same window."""
     cols: list[list[np.ndarray]] = [[] for _ in range(5)]
     for b in payloads:
         key, at = P.get_sorted(b)
@@ -94,7 +92,7 @@ def _repeats(payloads: list[bytes]) -> list[bytes]:
     key, mid, tail, doc, start = (np.concatenate(c) for c in cols)
     suffix_array = np.lexsort((start, doc, tail, mid, key))
     up, low = suffix_array[:-1], suffix_array[1:]
-    # where a leaf shares the whole window with the leaf before it, both hang from one deep internal node
+    # equal windows stand next to each other
     deep = (key[up] == key[low]) & (mid[up] == mid[low]) & (tail[up] == tail[low])
     node_first = np.maximum.accumulate(np.where(np.concatenate([[True], ~deep]), np.arange(len(suffix_array)), 0))
     original = suffix_array[node_first]
