@@ -147,6 +147,14 @@ def replied(t: pa.Table) -> list[bytes]:
     return [x[int(i)].as_py() for i in at]
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs has, whatever their letters' case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where it is unset, one under the warehouse, which all executors share too."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"

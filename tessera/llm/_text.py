@@ -7,7 +7,11 @@ numpy arrays in slices of about a megabyte, so memory doesn't grow with a docume
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -121,3 +125,16 @@ def range_hashes_sliced(values: np.ndarray, starts: np.ndarray, ends: np.ndarray
     to = np.cumsum(sizes)
     at = np.repeat(starts - (to - sizes), sizes) + np.arange(int(to[-1]) if len(to) else 0)
     return range_hashes(values[at], to - sizes, to)
+
+
+def slices(column: pa.Array, limit: int = _SLICE) -> Iterator[tuple[int, int, list[bytes | None]]]:
+    """(first, end, texts as bytes) for runs of rows of about so many bytes; a longer text is a run of its own.
+
+    Only one run at a time is copied out of the Arrow batch.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    i = 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + limit, "right")))
+        yield i, j, column.slice(i, j - i).cast(pa.large_binary()).to_pylist()
+        i = j

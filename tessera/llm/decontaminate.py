@@ -10,8 +10,8 @@ shingles (items very short for the document), its whole set takes the place of t
 
 Coordinates are those of fast similarity sketching. A coordinate agrees only where both sides filled it
 in the same round, and a document fills its sketch within a few rounds, so an item needs no later ones.
-Documents stream past the items' index; nothing is shuffled. Items come in blocks of bounded size, each a
-pass over the documents.
+Documents stream past the items' index; only the pairs found are shuffled. Items come in blocks of bounded
+size, each a pass over the documents whose result is written before the next block is read.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm import _text as T
 from tessera.llm._sketch import EMPTY
-from tessera.llm.near_dedup import shingles_of, slices
+from tessera.llm._pack import written
+from tessera.llm.near_dedup import shingles_of
 
 WIDTH = 5
 CONTAINMENT = (80, 100)
@@ -66,8 +67,8 @@ def _first_filled(elements: np.ndarray, owner: np.ndarray, sets: int, size: int,
 class ItemIndex:
     """The items of a block: their shingle sets, and for each pair of size partitions the items' coordinates."""
 
-    def __init__(self, ids: list[int], texts: list[bytes | None], width: int, containment: tuple[int, int]):
-        self.ids, self.width, self.containment = np.array(ids, np.int64), width, containment
+    def __init__(self, texts: list[bytes | None], width: int, containment: tuple[int, int]):
+        self.containment = containment
         self.els, self.off = shingles_of(texts, width)
         self.n = np.diff(self.off)
         self.owner = np.repeat(np.arange(len(self.n)), self.n)
@@ -121,14 +122,14 @@ class ItemIndex:
         return out
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list[int], list[bytes]]]:
-    """The items in blocks of bounded size."""
-    one = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null")
+def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list[int | None], list[bytes], bool]]:
+    """The items in blocks of bounded size, and whether the block is the last."""
+    one = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
     size = one.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     for k in range(blocks):
         rows = one.where(F.expr(f"pmod(xxhash64(i, t), {blocks}) = {k}")).collect()
-        yield [r["i"] for r in rows], [r["t"].encode() for r in rows]
+        yield [r["i"] for r in rows], [r["t"].encode() for r in rows], k == blocks - 1
 
 
 def contaminated_pairs(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, containment: tuple[int, int] = CONTAINMENT) -> DataFrame:
@@ -136,41 +137,42 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
 
     Shingles are distinct runs of ``width`` words after A-Z are lowered; a text with fewer words is one
     shingle as a whole, so such an item is found only in documents that consist of it. Null and empty texts
-    and items without id hold and match nothing; a null doc_id is reported as null. Rows that repeat on
-    either side give a row each, as far as their ids and counts differ. Other columns are ignored; an empty
-    table on either side gives no rows.
+    hold and match nothing; a null doc_id or item_id is reported as null. Rows that repeat an id on either side
+    are judged each for itself, and equal result rows are one, whatever the partitions. Other columns are
+    ignored; an empty table on either side gives no rows.
     """
     one = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     out = None
-    for ids, texts in item_blocks(items, item_id, item_text):
+    for ids, texts, last in item_blocks(items, item_id, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], ids: list = ids, texts: list = texts) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(ids, texts, width, containment)
+            index = ItemIndex(texts, width, containment)
             for b in batches:
-                for own, t in slices(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist()):
-                    got = sorted({(own[d], ids[i], s, int(index.n[i])) for d, i, s in index.matches(*shingles_of(t, width))}, key=str)
+                for i, j, t in T.slices(b.column(1)):
+                    own = b.column(0).slice(i, j - i).to_pylist()
+                    got = [(own[d], ids[k], s, int(index.n[k])) for d, k, s in index.matches(*shingles_of(t, width))]
                     if got:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), _PAIRS_SCHEMA, strict=True)], schema=_PAIRS_SCHEMA)
 
         found = one.mapInArrow(run, _PAIRS)
+        found = found if last else written(found, "contaminated")
         out = found if out is None else out.unionByName(found)
-    return out
+    return out.distinct()
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, containment: tuple[int, int] = CONTAINMENT) -> DataFrame:
     """The rows of docs, all columns, whose text holds no item; cases as in contaminated_pairs."""
     at = docs.columns.index(text_col)
-    for ids, texts in item_blocks(items, item_id, item_text):
+    for _, texts, last in item_blocks(items, item_id, item_text):
 
-        def run(batches: Iterator[pa.RecordBatch], ids: list = ids, texts: list = texts) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(ids, texts, width, containment)
+        def run(batches: Iterator[pa.RecordBatch], texts: list = texts) -> Iterator[pa.RecordBatch]:
+            index = ItemIndex(texts, width, containment)
             for b in batches:
-                held, done = np.zeros(b.num_rows, bool), 0
-                for own, t in slices([None] * b.num_rows, b.column(at).cast(pa.string()).cast(pa.large_binary()).to_pylist()):
-                    for d, _, _ in index.matches(*shingles_of(t, width)):
-                        held[done + d] = True
-                    done += len(own)
+                held = np.zeros(b.num_rows, bool)
+                for i, _, t in T.slices(b.column(at).cast(pa.string())):
+                    held[[i + d for d, _, _ in index.matches(*shingles_of(t, width))]] = True
                 yield b.filter(pa.array(~held))
 
         docs = docs.mapInArrow(run, docs.schema)
+        docs = docs if last else written(docs, "decontaminated")
     return docs

@@ -32,13 +32,15 @@ from tessera.llm._pack import written
 from tessera.llm._sketch import band_keys, bands_for, sketch
 
 ROWS = 5
+#: Members, and bytes of their sets, of a block of a pivot's members, on average; a task compares two blocks.
 BLOCK = 1000
+BLOCK_BYTES = 16 << 20
 SALT = 500
 _SIG = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"
 _SIG_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64()))])
-_SETS_SCHEMA = pa.schema([("doc", pa.int64()), ("els", pa.binary())])
+_SETS = "doc long, n long, els binary"
+_SETS_SCHEMA = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("els", pa.binary())])
 _LINKS_SCHEMA = pa.schema([("pivot", pa.int64()), ("doc", pa.int64()), ("linked", pa.bool_())])
-_BATCH = 1 << 20
 
 
 def shingles_of(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,22 +54,10 @@ def shingles_of(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.n
     return T.shingle_sets(T.word_hashes(buf, s, e), counts, width)
 
 
-def slices(ids: list, texts: list[bytes | None], limit: int = _BATCH) -> Iterator[tuple[list, list]]:
-    """Runs of documents of about so many bytes; a longer document is a run of its own."""
-    i, size = 0, 0
-    for j, t in enumerate(texts):
-        if size and size + len(t or b"") > limit:
-            yield ids[i:j], texts[i:j]
-            i, size = j, 0
-        size += len(t or b"") + 1
-    if i < len(texts):
-        yield ids[i:], texts[i:]
-
-
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, rows: int, bands: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, texts in slices(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist()):
+            for i, j, texts in T.slices(b.column(1)):
                 h, off = shingles_of(texts, width)
                 n = np.diff(off)
                 keys = band_keys(sketch(h, off, rows * bands), rows).view(np.int64)
@@ -75,22 +65,22 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, rows: in
                 f = [(s[off[1:]] - s[off[:-1]]).view(np.int64) for s in sums]
                 full = np.where(n > 0, bands, 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full)]), pa.int32()), pa.array(keys[n > 0].reshape(-1)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n), pa.array(f[0]), pa.array(f[1]), lists], schema=_SIG_SCHEMA)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n), pa.array(f[0]), pa.array(f[1]), lists], schema=_SIG_SCHEMA)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, _SIG)
 
 
 def shingle_table(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame, width: int) -> DataFrame:
-    """(doc, els) for the documents named in ids (column doc); els: sorted 64-bit shingle fingerprints."""
+    """(doc, n, els) for the documents named in ids (column doc); els: n sorted 64-bit shingle fingerprints."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("t")).join(ids.select("doc").hint("merge"), "doc", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, t in slices(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist()):
+            for i, j, t in T.slices(b.column(1)):
                 h, off = shingles_of(t, width)
-                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array([h[a:z].tobytes() for a, z in zip(off[:-1], off[1:], strict=True)], pa.binary())], schema=_SETS_SCHEMA)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(off)), pa.array([h[a:z].tobytes() for a, z in zip(off[:-1], off[1:], strict=True)], pa.binary())], schema=_SETS_SCHEMA)
 
-    return texts.mapInArrow(run, "doc long, els binary")
+    return texts.mapInArrow(run, _SETS)
 
 
 def _passes(inter: np.ndarray | int, na: np.ndarray | int, nb: np.ndarray | int, similarity: tuple[int, int]):
@@ -100,8 +90,8 @@ def _passes(inter: np.ndarray | int, na: np.ndarray | int, nb: np.ndarray | int,
 def _verify(edges: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """(pivot, doc, linked) for candidates (doc, pivot): members stream past their pivot's set."""
     salts = edges.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(SALT)).cast("int").alias("salts"))
-    heads = salts.join(sets.withColumnRenamed("doc", "pivot").hint("merge"), "pivot").select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("pivot").alias("doc"), "els")
-    members = edges.join(salts, "pivot").select("doc", "pivot", F.expr("cast(pmod(xxhash64(doc), salts) as int)").alias("salt")).join(sets.hint("merge"), "doc").select("pivot", "salt", F.lit(1).alias("role"), "doc", "els")
+    heads = salts.join(sets.select(F.col("doc").alias("pivot"), "els").hint("merge"), "pivot").select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("pivot").alias("doc"), "els")
+    members = edges.join(salts, "pivot").select("doc", "pivot", F.expr("cast(pmod(xxhash64(doc), salts) as int)").alias("salt")).join(sets.select("doc", "els").hint("merge"), "doc").select("pivot", "salt", F.lit(1).alias("role"), "doc", "els")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -172,13 +162,14 @@ def block_links(docs: np.ndarray, sets: list[np.ndarray], open_: np.ndarray, sim
 
 def _complete(found: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """Links (pivot, doc) between members of one pivot of which one at least isn't linked with it."""
-    groups = found.groupBy("pivot").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("free")).where("n > 1 and free > 0")
-    of = groups.select("pivot", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    sized = found.join(sets.select("doc", (8 * F.col("n")).alias("bytes")).hint("merge"), "doc")
+    groups = sized.groupBy("pivot").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.count_if(~F.col("linked")).alias("free")).where("n > 1 and free > 0")
+    of = groups.select("pivot", F.ceil(F.greatest(F.col("n") / F.lit(BLOCK), F.col("bytes") / F.lit(BLOCK_BYTES))).cast("int").alias("blocks"))
     rows = found.join(of, "pivot").withColumn("block", F.expr("cast(pmod(xxhash64(doc, 1), blocks) as int)"))
     # block k meets each block from k on: a row goes to every pair of blocks that holds its own
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = rows.select("*", other.alias("o")).select("pivot", "doc", (~F.col("linked")).alias("free"), F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-    full = pairs.join(sets.hint("merge"), "doc").select("pivot", "i", "j", "doc", "free", "els")
+    full = pairs.join(sets.select("doc", "els").hint("merge"), "doc").select("pivot", "i", "j", "doc", "free", "els")
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         docs = t.column("doc").to_numpy()

@@ -10,6 +10,7 @@ words and word shapes, not the votes, and scores every document.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,9 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _text as T
-from tessera.llm.near_dedup import slices
 
-#: Documents, about, that the scorer is trained on; chosen by a hash of their id.
+#: Different texts that the scorer is trained on, those with the smallest hashes.
 SAMPLE = 8000
 FEATURES = 1 << 15
 THRESHOLD = 0.5
@@ -32,7 +32,6 @@ MOST_WRONG = 0.01
 # Common insults.
 INSULTS = ("clown", "disgusting", "dumb", "idiot", "idiotic", "imbecile", "loser", "moron", "moronic", "pathetic", "scum", "stupid", "trash", "worthless")
 
-_SLICE = 1 << 20
 _CLASS = np.zeros(256, np.uint8)  # 0 other, 1 lower, 2 upper, 3 digit, 4 common mark, 5 symbol, 6 part of a longer character
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 6
 _CLASS[list(b".,;:?!'\"()-")] = 4
@@ -189,19 +188,20 @@ class QualityModel:
 
 def _texts(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, int, int, Texts]]:
     for b in batches:
-        i = 0
-        for own, t in slices([None] * b.num_rows, b.column(at).cast(pa.string()).cast(pa.large_binary()).to_pylist(), _SLICE):
-            yield b, i, i + len(own), Texts(t)
-            i += len(own)
+        for i, j, t in T.slices(b.column(at).cast(pa.string())):
+            yield b, i, j, Texts(t)
 
 
 def sample_bound(sample: int, rows: int) -> int:
-    """The largest signed 64-bit hash of the sample: about ``sample`` of these rows hash up to it."""
+    """A signed 64-bit hash up to which about ``sample`` of these rows lie; with a margin, so that as many texts lie
+    there if all differ."""
+    sample += 8 * math.isqrt(sample)
     return -(1 << 63) + min(1 << 64, (sample << 64) // max(1, rows)) - 1 if sample > 0 else -(1 << 63)
 
 
 def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> QualityModel:
-    """Label model from the vote patterns of all documents, scorer from about ``sample`` of them."""
+    """Label model from the vote patterns of all documents, scorer from ``sample`` different texts (fewer, where texts
+    repeat): a text counts once, however many rows hold it, so that copies can't fill the sample."""
     m = len(LABELLERS)
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +214,7 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     codes, count = np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], np.float64)
     votes = (codes[:, None] // 3 ** np.arange(m) % 3 - 1).astype(np.int8) if len(codes) else np.zeros((0, m), np.int8)
     labels = LabelModel.fit(votes, count)
-    last = sample_bound(sample, int(count.sum()))
+    last = sample_bound(sample, int(count.sum())) if sample > 0 else -(1 << 63)
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, _, t in _texts(batches, 0):
@@ -223,10 +223,11 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             xs = [x.astype(np.int32).tobytes() for x in np.split(f, ends)]
             yield pa.RecordBatch.from_arrays([pa.array(labels.posterior(t.votes())), pa.array(xs, pa.binary())], names=["y", "x"])
 
-    chosen = docs.where(F.xxhash64(id_col, F.lit(11)) <= F.lit(last).cast("long")).select(F.col(text_col).cast("string"))
+    own = text.select(F.col(text_col).alias("text"), F.xxhash64(F.col(text_col), F.lit(11)).alias("hash"))
+    chosen = own.where(F.col("hash") <= F.lit(last).cast("long")).distinct().orderBy("hash").limit(max(0, sample)).select("text")
     rows = sorted((r["y"], bytes(r["x"])) for r in chosen.mapInArrow(labelled, "y double, x binary").collect())
     if len(codes) and not rows:
-        raise ValueError(f"no document of {int(count.sum())} is in the scorer's sample")
+        raise ValueError(f"none of {int(count.sum())} texts is in the scorer's sample")
     return QualityModel(labels, *train(rows))
 
 

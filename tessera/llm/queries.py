@@ -114,13 +114,14 @@ FROM d LEFT JOIN k USING (source, lang, topic)
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP3_SQL = rf"""
-WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
-i AS (SELECT item_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) BETWEEN 1 AND 4 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[k:k + 4], ' ') for k in range(1, len(w) - 3)] END) AS x FROM d),
-s AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) BETWEEN 1 AND 4 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[k:k + 4], ' ') for k in range(1, len(w) - 3)] END) AS x FROM i),
-n AS (SELECT item_id, count(*) AS n_item FROM s GROUP BY item_id)
-SELECT doc_id, item_id, count(*)::BIGINT AS shared, n_item::BIGINT AS n_item
-FROM ds JOIN s USING (x) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 80 * n_item
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT row_number() OVER () AS r, item_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+ds AS (SELECT DISTINCT r AS dr, doc_id, unnest(CASE WHEN len(w) BETWEEN 1 AND 4 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[k:k + 4], ' ') for k in range(1, len(w) - 3)] END) AS x FROM d),
+s AS (SELECT DISTINCT r AS ir, item_id, unnest(CASE WHEN len(w) BETWEEN 1 AND 4 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[k:k + 4], ' ') for k in range(1, len(w) - 3)] END) AS x FROM i),
+n AS (SELECT ir, count(*) AS n_item FROM s GROUP BY ir)
+SELECT DISTINCT doc_id, item_id, shared, n_item FROM (
+  SELECT doc_id, item_id, count(*)::BIGINT AS shared, n_item::BIGINT AS n_item
+  FROM ds JOIN s USING (x) JOIN n USING (ir) GROUP BY dr, ir, doc_id, item_id, n_item HAVING 100 * count(*) >= 80 * n_item)
 """
 
 OP4_SQL = """

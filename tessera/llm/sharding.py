@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm._pack import fresh
+
 SLOTS = 65_537
 #: Slots beyond which a table isn't broadcast any more.
 MOST_SLOTS = 1 << 20
@@ -58,8 +60,9 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", shards: Sequence[str]
     Every row gets a shard: a null key counts as an empty text, rows that repeat a key go to the same shard.
     An empty table gives no rows.
     """
-    table = lookup(docs.sparkSession, fill_table(shards, slots)).select(F.col("slot").alias("__slot"), F.col("shard").alias("__shard"))
-    own = [c for c in docs.columns if c not in (slot_name, shard_name)]
-    placed = docs.withColumn("__at", slot_of(F.col(id_col), slots))
-    joined = placed.join(F.broadcast(table), placed["__at"] == table["__slot"])  # at most MOST_SLOTS rows of two integers
-    return joined.select(*own, F.col("__at").alias(slot_name), F.col("__shard").alias(shard_name))
+    own = [c for c in docs.columns if c.lower() not in (slot_name.lower(), shard_name.lower())]
+    at, slot, shard = (fresh(docs, name) for name in ("at", "__slot", "__shard"))
+    table = lookup(docs.sparkSession, fill_table(shards, slots)).select(F.col("slot").alias(slot), F.col("shard").alias(shard))
+    placed = docs.select(*own, slot_of(F.col(id_col), slots).alias(at))
+    joined = placed.join(F.broadcast(table), F.col(at) == F.col(slot))  # at most MOST_SLOTS rows of two integers
+    return joined.select(*own, F.col(at).alias(slot_name), F.col(shard).alias(shard_name))

@@ -107,6 +107,8 @@ def test_sharding_rows(spark, docs):
         slot = int(hashlib.md5(("" if r["doc_id"] is None else str(r["doc_id"])).encode()).hexdigest()[:12], 16) % sharding.SLOTS
         assert (r["slot"], r["shard"]) == (slot, t[slot])
     assert len(rows) == 4 and set(sharding.assign_shards(x).columns) == set(x.columns)
+    odd = sharding.assign_shards(x.selectExpr("*", "'mine' as at", "'mine' as __at", "1 as __slot", "2 as __shard", "3 as __SLOT2")).collect()
+    assert {(r["at"], r["__at"], r["__slot"], r["__shard"]) for r in odd} == {("mine", "mine", 1, 2)} and sorted((r["slot"], r["shard"]) for r in odd) == sorted((r["slot"], r["shard"]) for r in rows)
     assert "Python" not in sharding.assign_shards(docs)._jdf.queryExecution().toString()
 
 
@@ -211,7 +213,7 @@ def test_contained_items(spark):
         texts += [" ".join(r.choices(v, k=n)) + " " + t.upper() + " " + " ".join(r.choices(v, k=n)) for n in (1, 2000)]
         texts += [" ".join(w[: len(w) * 9 // 10]), " ".join(w[: len(w) // 2]), t]
     texts += [None, items[0]]
-    one = spark.createDataFrame([(i, t, 1) for i, t in enumerate(items)] + [(None, items[5], 1)], "item_id long, text string, doc_id int")
+    one = spark.createDataFrame([(i, t, 1) for i, t in enumerate(items)], "item_id long, text string, doc_id int")
     got = sorted((x["doc_id"], x["item_id"], x["shared"], x["n_item"]) for x in decontaminate.contaminated_pairs(table(spark, texts), one).collect())
 
     def sh(t):
@@ -224,6 +226,18 @@ def test_contained_items(spark):
     assert left == set(range(len(texts))) - {d for d, *_ in want}
 
 
+def test_contained_items_of_repeated_and_nameless_rows(spark, monkeypatch):
+    item = " ".join(f"q{k}" for k in range(30))
+    d = table(spark, [item, item, "x " + item, item, "plain words"], [1, 1, 1, None, 2])
+    b = spark.createDataFrame([(None, item), (4, item), (4, item), (5, "zz")], "item_id long, text string")
+    for limit in (decontaminate.BLOCK_BYTES, 150):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", limit)
+        for parts in (1, 3):
+            got = [tuple(x) for x in decontaminate.contaminated_pairs(d.repartition(parts), b).collect()]
+            assert sorted(got, key=str) == sorted([(i, k, 26, 26) for i in (1, None) for k in (4, None)], key=str)
+            assert [x["doc_id"] for x in decontaminate.drop_contaminated(d, b.where("item_id is null")).collect()] == [2]
+
+
 # 4 top-k
 
 
@@ -521,12 +535,20 @@ def test_label_model_learns_accuracies():
 def test_quality_sample_of_any_size(spark, docs):
     for rows in (10**4, 16 * 10**9, 10**13):
         share = (quality.sample_bound(quality.SAMPLE, rows) + 2**63 + 1) / 2**64
-        assert share == pytest.approx(min(1, quality.SAMPLE / rows), rel=1e-6)
+        assert min(1, quality.SAMPLE / rows) <= share <= min(1, 1.1 * quality.SAMPLE / rows)
     assert quality.sample_bound(quality.SAMPLE, 10) == 2**63 - 1
     with pytest.raises(ValueError):
         quality.fit_quality(docs, sample=0)
 
 
+def test_copies_do_not_fill_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda rows: seen.append(rows) or (np.zeros(quality.FEATURES), 0.0))
+    texts = ["The same words again."] * 400 + [f"Here stand the words number {k}." for k in range(300)]
+    quality.fit_quality(table(spark, texts, [7] * len(texts)), sample=100)
+    assert 0 < len(seen[0]) <= 100 and max(Counter(seen[0]).values()) == 1
+
+
 # 10 mixing
 
 

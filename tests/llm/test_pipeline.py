@@ -56,6 +56,15 @@ def test_stages_take_odd_rows(spark, sf):
         assert stage(spark, empty, sf).count() == 0
 
 
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    plain = "Plain words stand here, and they end well, as all of them should."
+    docs = table(spark, [plain, plain, plain, "Other words are here, and these end as well.", None, plain], [3, 1, 1, 4, 5, None])
+    odd = docs.selectExpr("*", "'mine' as __kept", "3 as n", "4 as rest", "5 as _n")
+    got = P.near_dedup(spark, odd, None).collect()
+    assert sorted((r["doc_id"] or 0) for r in got) == [0, 1, 4, 5] and odd.columns == P.near_dedup(spark, odd, None).columns
+    assert {(r["__kept"], r["doc"], r["n"], r["rest"]) for r in got} == {("mine", 7, 3, 4)}
+
+
 def test_only_the_entry_guards_the_import():
     for path in ("corpus_pipeline.py", "tessera/llm/queries.py"):
         assert not re.search(r"except (ImportError|Exception|ModuleNotFoundError)", open(path).read())
