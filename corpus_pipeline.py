@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._pack import written
+from tessera.llm._pack import fresh, written
 from tessera.llm.decontaminate import drop_contaminated
 from tessera.llm.mixing import mixed
 from tessera.llm.near_dedup import near_duplicates
@@ -29,14 +29,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of rows that repeat a doc_id with its text the one with the smallest other columns stays (any of them if these
     can't be ordered). Rows with a null doc_id are linked with nothing and stay.
     """
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.join(kept.hint("merge"), F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
+    rows = near_duplicates(docs).where("kept and doc_id is not null")
+    own, n = fresh(docs, "doc"), fresh(docs, "n")
+    kept = rows.groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias(n)).hint("merge")
+    named = docs.join(kept, F.col("doc_id").cast("long") == F.col(own))
+    once = named.where(F.col(n) == 1).select(*docs.columns)
+    # texts are sorted and compared only for ids that repeat
+    many = named.where(F.col(n) > 1).select(*docs.columns)
     rest = [f.name for f in docs.schema if f.name not in ("doc_id", "text")]
     if rest and "map<" not in docs.select(*rest).schema.simpleString():
-        named = named.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("__rest")).select("doc_id", "text", "__rest.*").select(*docs.columns)
+        least = fresh(docs, "rest")
+        many = many.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias(least)).select("doc_id", "text", f"{least}.*").select(*docs.columns)
     else:
-        named = named.dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.where("doc_id is null"))
+        many = many.dropDuplicates(["doc_id", "text"])
+    return once.unionByName(many).unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
