@@ -114,6 +114,24 @@ def get_sorted(b: bytes, at: int = 0) -> tuple[np.ndarray, int]:
     return np.cumsum(d, dtype=np.uint64), at
 
 
+def put_ids(x: np.ndarray) -> bytes:
+    """Signed numbers, as planes above the smallest of them."""
+    low = x.min() if len(x) else np.int64(0)
+    return struct.pack("<q", int(low)) + planes(x.view(np.uint64) - np.asarray(low).view(np.uint64))
+
+
+def get_ids(b: bytes, at: int = 0) -> tuple[np.ndarray, int]:
+    low = np.frombuffer(b, np.int64, 1, at).view(np.uint64)
+    x, at = unplanes(b, at + 8)
+    return (x + low).view(np.int64), at
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different numbers of x, sorted."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def bucket_edges(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Where each of the equal hash ranges begins and ends in a sorted array."""
     first = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
@@ -130,9 +148,10 @@ def replies(rows: list[tuple[int, bytes]], bucket: int) -> pa.Table:
 
 
 def meet(sent: DataFrame, answer: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
-    """For each bucket, answer(payloads of all parts) gives one reply for each; the result is keyed by part."""
+    """For each bucket, answer(payloads of all parts, in the order of parts) gives one reply for each; the result is keyed by part."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.take(pa.array(np.argsort(t.column("part").to_numpy(), kind="stable")))
         parts = t.column("part").to_pylist()
         got = answer(t.column("payload").to_pylist())
         return replies(list(zip(parts, got, strict=True)), key[0].as_py())

@@ -1,20 +1,23 @@
-"""Substring dedup of windows of words, grouped by fingerprint and dealt by prefix.
+"""Substring dedup by prefix-partitioned suffix trees (after Mansour et al. 2011, ERA) over words.
 
-A window that occurs more than once is a repeat. No suffix tree is built: each suffix, cut off at ``window``
-words, goes to the group of its prefix, which is as long as it must be for the group to fit in memory, and
-there whole windows are compared by their fingerprints.
+A passage of at least ``window`` words that occurs more than once is a repeat: an internal node of the
+corpus' suffix tree at that depth or deeper. The tree is never built as a whole. Variable-length prefixes
+split the suffixes into groups that fit in memory, each group's subtrees are built by themselves, and their
+deep internal nodes are the repeats. Suffixes are cut off at ``window`` words, as deeper nodes cover nothing else.
 
 1. Every part sends the sorted fingerprints of its suffixes' shortest prefixes; a census adds up how
-   many different suffixes stand below each. A prefix with one suffix ends there. Other
-   prefixes get a length by their number of suffixes: SHORT words, then MIDDLE, then the whole window.
-2. The suffixes that are left are sent to the groups of their prefixes, with fingerprints of the window
-   and 16 bits of that of its first MIDDLE words. A group's task sorts them; neighbours with equal fingerprints are a
-   repeat, and the first of each (smallest document, then start) is the original.
+   many different suffixes stand below each. A prefix with one suffix can't hold a repeat and ends there.
+   Others get a length by their number of suffixes: SHORT words, then MIDDLE, then the whole window.
+2. The suffixes that are left are sent to the group of their prefix (prefixes are dealt to groups by ranges
+   of fingerprints, so a group holds many small subtrees), each with the labels of the words below the shortest
+   prefix, eight bits of each word. A group's task sorts them into its suffix array, takes the longest
+   common prefix of neighbours from the labels, and reads the internal nodes off these lengths. Of
+   a node of full depth the first leaf (smallest document, then start) is the original.
 3. Each part gets one bit for each suffix that it sent, and removes what repeated windows cover.
 
 Equal suffixes of a part are combined before they are sent, so a passage that a third of all rows hold
-costs a few bytes for each part. Windows have fingerprints of 64 bits, which with those of the
-prefix make two different windows equal with a chance of about 2**-64.
+costs a few bytes for each part. Eight bits of a word can be equal by chance: a node of full depth counts
+only if the fingerprints of the whole windows, 64 bits, are equal too.
 """
 
 from __future__ import annotations
@@ -48,13 +51,24 @@ class _Suffixes:
         self.start = self.at - (np.cumsum(self.counts) - self.counts)[owner]
         whole, head = T.windows(x, window), T.windows(x, short)
         self.whole, self.head = (whole[self.at], head[self.at]) if len(self.at) else (whole[:0], head[:0])
-        order = np.lexsort((self.start, self.doc, self.whole, self.head))
+        ascending = bool((self.doc[1:] > self.doc[:-1]).sum() + (owner[1:] == owner[:-1]).sum() == max(0, len(owner) - 1))
+        early = np.arange(len(owner)) if ascending else np.lexsort((self.start, self.doc))
+        order = early[np.argsort(self.whole[early], kind="stable")]
         new = np.ones(len(order), bool)
-        new[1:] = (self.whole[order[1:]] != self.whole[order[:-1]]) | (self.head[order[1:]] != self.head[order[:-1]])
-        self.first = order[new]  # of each class the earliest suffix; classes sorted by head
+        new[1:] = self.whole[order[1:]] != self.whole[order[:-1]]
+        first = order[new]  # of each class the earliest suffix
+        by_head = np.argsort(self.head[first], kind="stable")
+        self.first = first[by_head]  # classes sorted by head
+        place = np.empty(len(first), np.int64)
+        place[by_head] = np.arange(len(first))
         self.cls = np.empty(len(order), np.int64)
-        self.cls[order] = np.cumsum(new) - 1
+        self.cls[order] = place[np.cumsum(new) - 1]
         self.middle = T.windows(x, middle)
+        self.label = x.astype(np.uint8)
+
+    def labels(self, suffixes: np.ndarray, short: int, window: int) -> np.ndarray:
+        """Of each suffix the labels of the words below its shortest prefix, a byte each."""
+        return self.label[self.at[suffixes][:, None] + np.arange(short, window)]
 
 
 def _codes(payloads: list[bytes], limits: tuple[int, int]) -> list[bytes]:
@@ -79,25 +93,63 @@ def _read_codes(replies: list[bytes]) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _repeats(payloads: list[bytes]) -> list[bytes]:
+class Subtrees:
+    """The suffix trees of a group: leaves in the order of their labels, and the longest common prefix of each with the one before.
+
+    key: fingerprint of the prefix, whose first ``short`` words count as one edge; labels: a row of bytes for each
+    suffix, up to ``window`` words in all; tail: fingerprint of the whole window, the last label of a leaf.
+    """
+
+    def __init__(self, key: np.ndarray, labels: np.ndarray, tail: np.ndarray, doc: np.ndarray, start: np.ndarray, short: int, window: int):
+        rows, depth = labels.shape
+        wide = np.zeros((rows, -(-depth // 8) * 8), np.uint8)
+        wide[:, :depth] = labels
+        edges = wide.view(">u8").astype(np.uint64)
+        self.leaves = np.lexsort((start, doc, tail, *edges.T[::-1], key))
+        up, low = self.leaves[:-1], self.leaves[1:]
+        common = np.zeros(max(0, rows - 1), np.int64)
+        same = key[up] == key[low]
+        for k in range(depth):
+            common[same] += 1
+            same &= labels[up, k] == labels[low, k]
+        # where all labels are equal the windows must be
+        full = same & (tail[up] == tail[low])
+        self.lcp = np.where(common > 0, short + common - 1, 0)
+        self.lcp[full] = window
+
+    def internal_nodes(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first leaf, last leaf, depth) of the nodes at this depth or deeper, as places among the leaves."""
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
+        for d in np.unique(self.lcp[self.lcp >= least]).tolist():
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], (self.lcp >= d).astype(np.int8), [0]])))
+            a, z = edge[::2], edge[1::2]
+            here = np.minimum.reduceat(np.append(self.lcp, 1 << 40), np.stack([a, z], axis=1).reshape(-1))[::2] == d
+            for c, v in zip(out, (a[here], z[here], np.full(int(here.sum()), d)), strict=True):
+                c.append(v)
+        return tuple(np.concatenate(c) for c in out)
+
+
+def _repeats(payloads: list[bytes], short: int, window: int) -> list[bytes]:
     """Tells of each suffix of a group whether an earlier one has the same window."""
     cols: list[list[np.ndarray]] = [[] for _ in range(5)]
     for b in payloads:
         key, at = P.get_sorted(b)
-        cols[0].append(key)
-        for k in range(1, 5):
-            x, at = P.unplanes(b, at)
-            cols[k].append(x)
+        size = len(key) * (window - short)
+        labels = np.frombuffer(b, np.uint8, size, at).reshape(window - short, len(key)).T
+        tail, at = P.unplanes(b, at + size)
+        doc, at = P.get_ids(b, at)
+        start, at = P.unplanes(b, at)
+        for c, v in zip(cols, (key, labels, tail, doc, start), strict=True):
+            c.append(v)
     sizes = [len(k) for k in cols[0]]
-    key, mid, tail, doc, start = (np.concatenate(c) for c in cols)
-    suffix_array = np.lexsort((start, doc, tail, mid, key))
-    up, low = suffix_array[:-1], suffix_array[1:]
-    # equal windows stand next to each other
-    deep = (key[up] == key[low]) & (mid[up] == mid[low]) & (tail[up] == tail[low])
-    node_first = np.maximum.accumulate(np.where(np.concatenate([[True], ~deep]), np.arange(len(suffix_array)), 0))
-    original = suffix_array[node_first]
-    later = np.empty(len(key), bool)
-    later[suffix_array] = (doc[suffix_array] != doc[original]) | (start[suffix_array] != start[original])
+    key, labels, tail, doc, start = (np.concatenate(c) for c in cols)
+    tree = Subtrees(key, labels, tail, doc, start, short, window)
+    first, last, _ = tree.internal_nodes(window)
+    below = last - first + 1
+    leaf = tree.leaves[np.repeat(first - (np.cumsum(below) - below), below) + np.arange(int(below.sum()))]
+    original = np.repeat(tree.leaves[first], below)
+    later = np.zeros(len(key), bool)
+    later[leaf] = (doc[leaf] != doc[original]) | (start[leaf] != start[original])
     return [np.packbits(x).tobytes() + len(x).to_bytes(8, "little") for x in np.split(later, np.cumsum(sizes)[:-1])]
 
 
@@ -122,8 +174,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def heads(x: _Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct shortened prefixes, the suffixes below each, and each class's prefix."""
-        keys, back, n = np.unique(x.head[x.first] >> drop, return_inverse=True, return_counts=True)
-        return keys, n, back
+        cut = x.head[x.first] >> drop  # sorted, as the classes are
+        new = np.ones(len(cut), bool)
+        new[1:] = cut[1:] != cut[:-1]
+        at = np.flatnonzero(new)
+        return cut[at], np.diff(np.append(at, len(cut))), np.cumsum(new) - 1
 
     def census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -149,9 +204,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             x = _Suffixes(p, window, short, middle)
             cls, keys = chosen(x, _read_codes(P.replied(right)))
             at = x.first[cls]
-            mid = x.middle[x.at[at]] >> np.uint64(48) if len(at) else keys
+            labels = x.labels(at, short, window)
             cut = P.bucket_edges(keys, buckets)
-            out.append(P.send(part, {k: P.put_sorted(keys[i:j]) + b"".join(P.planes(c[i:j]) for c in (mid, x.whole[at], x.doc[at].astype(np.uint64), x.start[at])) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i}))
+            out.append(P.send(part, {k: P.put_sorted(keys[i:j]) + labels[i:j].T.tobytes() + P.planes(x.whole[at[i:j]]) + P.put_ids(x.doc[at[i:j]]) + P.planes(x.start[at[i:j]]) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i}))
         return pa.Table.from_batches(out, P.SENT_SCHEMA)
 
     def remove(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -174,7 +229,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     limits = (group, 20 * group)
     codes = P.meet(packed.mapInArrow(census, P.SENT), lambda b: _codes(b, limits))
-    flags = P.meet(packed.groupBy("part").cogroup(codes.groupBy("part")).applyInArrow(suffixes, P.SENT), _repeats)
+    flags = P.meet(packed.groupBy("part").cogroup(codes.groupBy("part")).applyInArrow(suffixes, P.SENT), lambda b: _repeats(b, short, window))
     both = codes.withColumn("kind", F.lit(0)).unionByName(flags.withColumn("kind", F.lit(1)))
     return packed.groupBy("part").cogroup(both.groupBy("part")).applyInArrow(remove, RESULT)
 
