@@ -22,6 +22,9 @@ _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = int(_RNG.integers(0, 2**61, dtype=np.uint64)) * 8 + 5
 _SLICE = 1 << 20
+_LONG = 1024
+#: Masks of the first k bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -60,14 +63,19 @@ def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit fingerprints of words, in slices cut between words."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(starts, starts[i] + _SLICE)))
-        lo, hi = int(starts[i]), int(ends[j - 1])
-        out[i:j] = range_hashes(_BYTE[buf[lo:hi]], starts[i:j] - lo, ends[i:j] - lo)
-        i = j
+    """64-bit fingerprints of words, eight bytes at a time; words of over _LONG bytes by a hash of all their bytes."""
+    raw = np.zeros(len(buf) + 8, np.uint8)
+    raw[: len(buf)] = buf
+    eight = np.ndarray((len(buf) + 1,), "<u8", buffer=raw, strides=(1,))
+    n = ends - starts
+    out = mix((eight[starts] & _FIRST[np.minimum(n, 8)]) + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    at, done = np.flatnonzero((n > 8) & (n <= _LONG)), 8
+    while len(at):
+        left = n[at] - done
+        out[at] = mix(out[at] * np.uint64(0xD6E8FEB86659FD93) + (eight[starts[at] + done] & _FIRST[np.minimum(left, 8)]))
+        at, done = at[left > 8], done + 8
+    for i in np.flatnonzero(n > _LONG):
+        out[i] = range_hashes(_BYTE[buf[starts[i] : ends[i]]], np.zeros(1, np.int64), n[i : i + 1])[0]
     return out
 
 

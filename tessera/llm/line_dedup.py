@@ -29,7 +29,7 @@ from tessera.llm import _pack as P
 from tessera.llm import _text as T
 
 SIMILARITY = (4, 5)
-LEAST_WORDS = 3
+LEAST_WORDS = 1
 BLOCK = 1024
 #: Lines of a word up to this number are verified pair by pair, more by matrix products.
 FEW = 48
@@ -74,7 +74,7 @@ class Lines:
         self.lead = order[head]  # of each class of the part the first line; classes sorted by fingerprint
         self.cls = np.full(len(self.start), -1)
         self.cls[order] = np.cumsum(head) - 1
-        # documents with the same lines, as sets and however often, are one class of documents
+        # documents with the same lines, as sets and each as often, are one class of documents
         rows = len(part.ids)
         total = np.zeros(rows, np.uint64)
         np.add.at(total, self.doc_row, T.mix(self.print ^ np.uint64(0x452821E638D01377)))
@@ -100,12 +100,12 @@ def _count(payloads: list[bytes]) -> list[bytes]:
     fps, docs, places, words, counts, prints, least = [], [], [], [], [], [], []
     for b in payloads:
         x, at = P.get_sorted(b)
-        d, at = P.unplanes(b, at)
+        d, at = P.get_ids(b, at)
         p, at = P.unplanes(b, at)
         w, at = P.get_sorted(b, at)
         n, at = P.unplanes(b, at)
         k, at = P.get_sorted(b, at)
-        m, at = P.unplanes(b, at)
+        m, at = P.get_ids(b, at)
         for c, v in zip((fps, docs, places, words, counts, prints, least), (x, d, p, w, n, k, m), strict=True):
             c.append(v)
     src = np.repeat(np.arange(len(payloads)), [len(x) for x in fps])
@@ -118,10 +118,10 @@ def _count(payloads: list[bytes]) -> list[bytes]:
     heads = np.split(first, np.cumsum([len(x) for x in fps])[:-1])
     dfs = np.split(df, np.cumsum([len(x) for x in words])[:-1])
     k, back = np.unique(np.concatenate(prints), return_inverse=True)
-    small = np.full(len(k), _NO_ID, np.uint64)
+    small = np.full(len(k), _NO_ID)
     np.minimum.at(small, back, np.concatenate(least))
     small = np.split(small[back], np.cumsum([len(x) for x in prints])[:-1])
-    return [P.planes(h.astype(np.uint64)) + P.planes(n) + P.planes(m) for h, n, m in zip(heads, dfs, small, strict=True)]
+    return [P.planes(h.astype(np.uint64)) + P.planes(n) + P.put_ids(m) for h, n, m in zip(heads, dfs, small, strict=True)]
 
 
 def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,11 +180,12 @@ def _matches(payloads: list[bytes], similarity: tuple[int, int]) -> list[bytes]:
         b = zstandard.ZstdDecompressor().decompress(b)
         x, at = P.get_sorted(b)
         cols[0].append(x)
-        for c in cols[1:]:
-            x, at = P.unplanes(b, at)
+        for k, c in enumerate(cols[1:], 1):
+            x, at = P.get_ids(b, at) if k == 3 else P.unplanes(b, at)
             c.append(x)
         sets.append(P.unplanes(b, at)[0])
     sizes = [len(x) for x in cols[0]]
+    src = np.repeat(np.arange(len(payloads)), sizes)
     word, n, pos, doc, place, line = (np.concatenate(c).astype(np.int64) for c in cols)
     token = np.concatenate(sets)
     off = np.cumsum(n) - n
@@ -199,7 +200,10 @@ def _matches(payloads: list[bytes], similarity: tuple[int, int]) -> list[bytes]:
         """Matches that count here: of each pair the later line has one that stands earlier."""
         np.add.at(links, a, 1)
         np.add.at(links, b, 1)
-        first = (doc[a] < doc[b]) | ((doc[a] == doc[b]) & (place[a] < place[b]))
+        first, same = np.zeros(len(a), bool), np.ones(len(a), bool)
+        for x in (doc, place, src, line):
+            first |= same & (x[a] < x[b])
+            same &= x[a] == x[b]
         early[b[first]] = True
         early[a[~first]] = True
 
@@ -271,12 +275,13 @@ def _matches(payloads: list[bytes], similarity: tuple[int, int]) -> list[bytes]:
     return out
 
 
-def _columns(replies: list[bytes], width: int) -> list[np.ndarray]:
-    out: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in range(width)]
+def _columns(replies: list[bytes], width: int, ids: int = -1) -> list[np.ndarray]:
+    """Columns of all replies; the one of number ``ids`` is signed."""
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64 if k == ids else np.uint64)] for k in range(width)]
     for b in replies:
         at = 0
-        for c in out:
-            x, at = P.unplanes(b, at)
+        for k, c in enumerate(out):
+            x, at = P.get_ids(b, at) if k == ids else P.unplanes(b, at)
             c.append(x)
     return [np.concatenate(c) for c in out]
 
@@ -286,14 +291,14 @@ class _Work:
 
     def __init__(self, part: P.Part, least: int, counted: list[bytes]):
         self.x = x = Lines(part, least)
-        first, self.rank, least_doc = _columns(counted, 3)
-        self.class_id = least_doc[x.doc_cls].astype(np.int64)
+        first, self.rank, least_doc = _columns(counted, 3, 2)
+        self.class_id = least_doc[x.doc_cls]
         self.lines = x.lead[first.astype(bool)]
 
     def by_rarity(self, some: np.ndarray) -> None:
         """Sets of some of the first lines, as token, rarity, owner (an index of some), with sizes n and offsets."""
         x = self.x
-        words = np.unique(x.token[_of(x, x.lead)])
+        words = P.distinct(x.token[_of(x, x.lead)])
         order = np.lexsort((words, self.rank))
         spot = np.empty(len(words), np.uint64)
         spot[order] = np.arange(len(words), dtype=np.uint64)
@@ -331,11 +336,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row for each row of docs: doc_id, n_lines (lines that aren't blank), n_removed, n_links, class_id, kept_text.
 
     n_links: matches of the document's lines with other sets, counted for each set at its first line.
-    class_id: the smallest doc_id with the same lines, as sets of words and in any order; documents without
+    class_id: the smallest doc_id with the same lines, as sets of words, each as often and in any order; documents without
     lines are such a class too. kept_text: kept lines, whole, joined by line feeds; blank lines go.
     Lines of fewer than ``least_words`` words are kept and match nothing. Null and empty texts have no lines.
-    A null doc_id is larger than all others. Rows that repeat a doc_id follow each other in the order of the
-    input, so the later row's lines go. Other columns are ignored; an empty table gives no rows.
+    A null doc_id is larger than all others. Lines of rows that repeat a doc_id are ordered by their place in
+    their rows; those at the same place by the order of the input's parts, within a part by fingerprint. Other
+    columns are ignored; an empty table gives no rows.
     """
     tokens = max(1, P.text_bytes(docs, text_col) // 6)
     buckets = max(12, -(-tokens // P.ENTRIES))
@@ -350,8 +356,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 fps = x.print[x.lead]
                 words, n = np.unique(x.token[_of(x, x.lead)], return_counts=True)
                 one, two, three = P.bucket_edges(fps, buckets), bounds(words), P.bucket_edges(x.doc_keys, buckets)
-                doc, place = x.doc[x.lead].astype(np.uint64), x.place[x.lead]
-                yield P.send(part, {k: P.put_sorted(fps[i:j]) + P.planes(doc[i:j]) + P.planes(place[i:j]) + P.put_sorted(words[g:h]) + P.planes(n[g:h]) + P.put_sorted(x.doc_keys[u:v]) + P.planes(x.doc_least[u:v]) for k, (i, j, g, h, u, v) in enumerate(zip(one[:-1], one[1:], two[:-1], two[1:], three[:-1], three[1:], strict=True)) if j > i or h > g or v > u})
+                doc, place = x.doc[x.lead], x.place[x.lead]
+                yield P.send(part, {k: P.put_sorted(fps[i:j]) + P.put_ids(doc[i:j]) + P.planes(place[i:j]) + P.put_sorted(words[g:h]) + P.planes(n[g:h]) + P.put_sorted(x.doc_keys[u:v]) + P.put_ids(x.doc_least[u:v]) for k, (i, j, g, h, u, v) in enumerate(zip(one[:-1], one[1:], two[:-1], two[1:], three[:-1], three[1:], strict=True)) if j > i or h > g or v > u})
 
     def prefixes(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -383,7 +389,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             order = np.argsort(token)
             token, own, pos = token[order], own[order], pos[order]
             place = w.lines[some][own]
-            cols = [w.n[own], pos, w.x.doc[place].astype(np.uint64), w.x.place[place], some[own]]
+            cols = [w.n[own], pos, w.x.doc[place], w.x.place[place], some[own]]
             cut = bounds(token)
             press = zstandard.ZstdCompressor(level=1).compress
 
@@ -391,7 +397,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 n = w.n[own[i:j]]
                 ends = np.cumsum(n)
                 sets = w.token[np.repeat(w.off[own[i:j]] - (ends - n), n) + np.arange(int(ends[-1]))]
-                return press(P.put_sorted(token[i:j]) + b"".join(P.planes(c[i:j]) for c in cols) + P.planes(sets))
+                return press(P.put_sorted(token[i:j]) + b"".join((P.put_ids if k == 2 else P.planes)(c[i:j]) for k, c in enumerate(cols)) + P.planes(sets))
 
             out.append(P.send(part, {k: body(i, j) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i}))
         return pa.Table.from_batches(out, P.SENT_SCHEMA)

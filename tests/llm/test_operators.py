@@ -299,6 +299,35 @@ def test_substrings_of_repeated_and_nameless_rows(spark):
     assert got == [("4", 0), ("4", 0), ("9", 25), ("None", 25), ("None", 25)]
 
 
+def test_substrings_of_negative_ids(spark):
+    t = " ".join(f"q{k}" for k in range(25))
+    for parts in (1, 2, 4):
+        d = table(spark, [t, t, t, "few words"], [3, -5, -4, -9]).repartition(parts)
+        got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.dedup_substrings(d).collect()}
+        assert got == {-9: 0, -5: 0, -4: 25, 3: 25}
+
+
+def test_internal_nodes_of_subtrees():
+    r = random.Random(12)
+    text = [r.randrange(3) for _ in range(160)]
+    text += text[20:50] + [0] + text[25:45] + [1] * 20
+    short, window = 2, 13
+    at = list(range(len(text) - window + 1))
+    key = np.array([hash(tuple(text[i : i + short])) % 2**60 for i in at], np.uint64)
+    labels = np.array([text[i + short : i + window] for i in at], np.uint8)
+    tail = np.array([hash(tuple(text[i : i + window])) % 2**60 for i in at], np.uint64)
+    tree = substring_dedup.Subtrees(key, labels, tail, np.zeros(len(at), np.int64), np.array(at), short, window)
+    for least in (short, 5, window):
+        got = {(d, tuple(sorted(at[k] for k in tree.leaves[a : z + 1]))) for a, z, d in zip(*(c.tolist() for c in tree.internal_nodes(least)), strict=True)}
+        want = set()  # runs that occur more than once and can't be made longer to the right without losing one
+        for d in range(least, window + 1):
+            of = defaultdict(list)
+            for i in at:
+                of[tuple(text[i : i + d])].append(i)
+            want |= {(d, tuple(v)) for v in of.values() if len(v) > 1 and (d == window or len({text[i + d] for i in v}) > 1)}
+        assert got == want and len(want) > 3
+
+
 # 6 near duplicates
 
 
@@ -392,12 +421,11 @@ def test_lines(spark):
             own.append(("  " if r.random() < 0.1 else "") + " ".join(w))
         texts.append("\n".join(own))
     texts += [None, "", "\n\n \n", texts[3], "A b c d e\na B c d e\nA b c d f"]
-    got = {x["doc_id"]: x for x in line_dedup.dedup_lines(table(spark, texts)).collect()}
+    got = {x["doc_id"] + 20: x for x in line_dedup.dedup_lines(table(spark, texts, [i - 20 for i in range(len(texts))])).collect()}
     rows = [(i, ln, frozenset(words(ln)), len(words(ln))) for i, t in enumerate(texts) for ln in (t or "").split("\n") if words(ln)]
     first, links, early = {}, Counter(), set()
     for k, (_, _, s, n) in enumerate(rows):
-        if n >= 3:
-            first.setdefault(s, k)
+        first.setdefault(s, k)
     kinds = sorted(first, key=first.get)
     for a in range(len(kinds)):
         for b in range(a):
@@ -409,9 +437,9 @@ def test_lines(spark):
     for k, (i, ln, s, n) in enumerate(rows):
         e = want[i]
         e[0] += 1
-        gone = n >= 3 and (first[s] != k or s in early)
+        gone = first[s] != k or s in early
         e[1] += gone
-        e[2] += links[s] if n >= 3 and first[s] == k else 0
+        e[2] += links[s] if first[s] == k else 0
         if not gone:
             e[3].append(ln)
     same = defaultdict(list)
@@ -420,10 +448,18 @@ def test_lines(spark):
     least = {i: min(g) for g in same.values() for i in g}
     for i in range(len(texts)):
         x, e = got[i], want[i]
-        assert (x["n_lines"], x["n_removed"], x["n_links"], x["kept_text"], x["class_id"]) == (e[0], e[1], e[2], "\n".join(e[3]), least[i])
+        assert (x["n_lines"], x["n_removed"], x["n_links"], x["kept_text"], x["class_id"] + 20) == (e[0], e[1], e[2], "\n".join(e[3]), least[i])
     assert sum(links.values()) > 20
 
 
+def test_lines_of_repeated_and_nameless_rows(spark):
+    a, b = "the first line stands here", "another one is below"
+    for parts in (1, 3):
+        d = table(spark, [a, a, f"{b}\n{a}", b, b, a], [None, 4, 4, -7, None, -8]).repartition(parts)
+        got = [(x["doc_id"], x["n_lines"], x["n_removed"]) for x in line_dedup.dedup_lines(d).collect()]
+        assert sorted(got, key=str) == sorted([(-8, 1, 0), (-7, 1, 0), (4, 1, 1), (4, 2, 2), (None, 1, 1), (None, 1, 1)], key=str)
+
+
 def test_short_lines_join_in_the_query(spark, tmp_path):
     r = random.Random(4)
     v = [f"u{k}" for k in range(12)]
@@ -592,7 +628,7 @@ def test_hot_words_take_products_and_others_merge(monkeypatch):
             entries.append((t[pos], len(t), pos, i, 0, i, t))
     entries.sort()
     cols = [np.array([e[k] for e in entries], np.uint64) for k in range(6)]
-    body = zstandard.ZstdCompressor().compress(P.put_sorted(cols[0]) + b"".join(P.planes(c) for c in cols[1:]) + P.planes(np.array([x for e in entries for x in e[6]], np.uint64)))
+    body = zstandard.ZstdCompressor().compress(P.put_sorted(cols[0]) + b"".join((P.put_ids(c.astype(np.int64)) if k == 2 else P.planes(c)) for k, c in enumerate(cols[1:])) + P.planes(np.array([x for e in entries for x in e[6]], np.uint64)))
     seen = []
     for few in (0, 5, 10**9):
         monkeypatch.setattr(line_dedup, "FEW", few)
