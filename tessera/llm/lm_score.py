@@ -9,8 +9,12 @@ share a weight; an unseen context has weight 0. The weights maximise the likelih
 training documents (the tuning fold) under counts from which that part is deleted, by
 expectation-maximisation; the scores then use the counts of all training documents.
 
-Counts come from a census (see ``_pack``): every part sends its distinct n-grams of each order and gets
-their corpus counts back in its own order. The text travels once, compressed.
+Counts come from two censuses (see ``_pack``). In the first every part sends its distinct words, as 64-bit
+fingerprints, and only the leading bits of those of its pairs and triples; back come the words' corpus
+counts, and for each pair and triple whether another part holds one with the same leading bits. Where none
+does, the corpus count is the part's own. For the others a second census gets the rest of the 64 bits and
+adds up the counts of equal fingerprints. So counts are those of whole fingerprints, while most triples, which occur
+in one part only, never travel as a whole. The text travels once, compressed.
 """
 
 from __future__ import annotations
@@ -73,34 +77,87 @@ def _distinct(grams: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.
     return [np.unique(h, return_inverse=True, return_counts=True) for h in grams]
 
 
-def _census(key: tuple, t: pa.Table) -> pa.Table:
-    """Sums of a hash range: for each part the counts of its entries in all training parts, and without the tuning fold."""
-    parts, sent = t.column("part").to_pylist(), t.column("payload").to_pylist()
-    unpress = zstandard.ZstdDecompressor().decompress
-    payloads = [b[:1] + unpress(b[1:]) for b in sent]
-    at, out, totals = [1] * len(parts), [b""] * len(parts), []
-    for order in range(ORDERS):
+def _sums(keys: list[np.ndarray], counts: list[np.ndarray], fold: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the distinct keys the counts in all training parts and without the tuning fold, and where each entry's key is."""
+    uniq, back = np.unique(np.concatenate(keys), return_inverse=True)
+    rest = np.bincount(back, np.concatenate([n * (f == TRAIN) for n, f in zip(counts, fold, strict=True)]), len(uniq))
+    every = rest + np.bincount(back, np.concatenate([n * (f == TUNE) for n, f in zip(counts, fold, strict=True)]), len(uniq))
+    return every.astype(np.uint64), rest.astype(np.uint64), back
+
+
+def _spread(every: np.ndarray, rest: np.ndarray, back: np.ndarray, keys: list[np.ndarray], fold: list[int]) -> list[bytes]:
+    """For each part the sums of its entries; of the tuning fold both kinds."""
+    ends = np.cumsum([len(x) for x in keys])
+    return [P.put_counts(every[back[i:j]]) + (P.put_counts(rest[back[i:j]]) if f == TUNE else b"") for i, j, f in zip(ends - [len(x) for x in keys], ends, fold, strict=True)]
+
+
+def _first_payloads(sent: list[bytes]) -> tuple[list[int], list[np.ndarray], list[np.ndarray], list[list[np.ndarray]]]:
+    """Folds, words, counts of words, and leading bits by order of what parts sent to the first census."""
+    fold, words, counts, leads = [], [], [], [[], []]
+    for b in sent:
+        fold.append(b[0])
+        x, at = P.get_sorted(b, 1)
+        n, at = P.get_counts(b, at)
+        words.append(x)
+        counts.append(n.astype(np.float64))
+        for c in leads:
+            x, at = P.get_sorted(b, at)
+            c.append(x)
+    return fold, words, counts, leads
+
+
+def _met(lead: list[np.ndarray]) -> list[np.ndarray]:
+    """For each part, which of its entries share their leading bits with another entry of any part."""
+    _, back, n = np.unique(np.concatenate(lead), return_inverse=True, return_counts=True)
+    return np.split(n[back] > 1, np.cumsum([len(x) for x in lead])[:-1])
+
+
+def _flags(x: np.ndarray) -> bytes:
+    return len(x).to_bytes(8, "little") + np.packbits(x).tobytes()
+
+
+def _unflags(b: bytes, at: int) -> tuple[np.ndarray, int]:
+    n = int.from_bytes(b[at : at + 8], "little")
+    return np.unpackbits(np.frombuffer(b, np.uint8, -(-n // 8), at + 8))[:n].astype(bool), at + 8 + -(-n // 8)
+
+
+def _first_census(key: tuple, t: pa.Table) -> pa.Table:
+    """Replies of a hash range: counts of words, flags of pairs and triples that met; and a row of totals."""
+    fold, words, counts, leads = _first_payloads(t.column("payload").to_pylist())
+    every, rest, back = _sums(words, counts, fold)
+    out = _spread(every, rest, back, words, fold)
+    for lead in leads:
+        out = [x + _flags(m) for x, m in zip(out, _met(lead), strict=True)]
+    totals = [int((every > 0).sum()), int(every.sum()), int((rest > 0).sum()), int(rest.sum())]
+    return P.replies([*zip(t.column("part").to_pylist(), out, strict=True), (-1, np.array(totals, np.int64).tobytes())], key[0].as_py())
+
+
+def _second_census(key: tuple, left: pa.Table, right: pa.Table, lead_bits: int) -> pa.Table:
+    """Replies of a hash range: counts of the pairs and triples that met, by their whole fingerprints."""
+    rest_of = dict(zip(right.column("part").to_pylist(), right.column("payload").to_pylist(), strict=True))
+    parts = left.column("part").to_pylist()
+    fold, _, _, leads = _first_payloads(left.column("payload").to_pylist())
+    at, out = [0] * len(parts), [b""] * len(parts)
+    for lead in leads:
         keys, counts = [], []
-        for k, b in enumerate(payloads):
-            x, at[k] = P.get_sorted(b, at[k])
-            n, at[k] = P.unplanes(b, at[k])
-            keys.append(x)
+        for k, (x, m) in enumerate(zip(lead, _met(lead), strict=True)):
+            b = rest_of[parts[k]]
+            tail, at[k] = P.get_bits(b, at[k], int(m.sum()), 64 - lead_bits)
+            n, at[k] = P.get_counts(b, at[k])
+            keys.append((x[m] << np.uint64(64 - lead_bits)) | tail)
             counts.append(n.astype(np.float64))
-        fold = [b[0] for b in payloads]
-        uniq, back = np.unique(np.concatenate(keys), return_inverse=True)
-        rest = np.bincount(back, np.concatenate([n * (f == TRAIN) for n, f in zip(counts, fold, strict=True)]), len(uniq))
-        every = rest + np.bincount(back, np.concatenate([n * (f == TUNE) for n, f in zip(counts, fold, strict=True)]), len(uniq))
-        if order == 0:
-            totals = [int((every > 0).sum()), int(every.sum()), int((rest > 0).sum()), int(rest.sum())]
-        ends = np.cumsum([len(x) for x in keys])
-        for k, (i, j) in enumerate(zip(ends - [len(x) for x in keys], ends, strict=True)):
-            out[k] += P.planes(every[back[i:j]].astype(np.uint64)) + (P.planes(rest[back[i:j]].astype(np.uint64)) if fold[k] == TUNE else b"")
-    out = list(map(zstandard.ZstdCompressor(level=1).compress, out))
-    return P.replies([*zip(parts, out, strict=True), (-1, np.array(totals, np.int64).tobytes())], key[0].as_py())
+        out = [a + b for a, b in zip(out, _spread(*_sums(keys, counts, fold), keys, fold), strict=True)]
+    return P.replies(list(zip(parts, out, strict=True)), key[0].as_py())
 
 
-def _press(columns: list[np.ndarray]) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(P.planes(c) for c in columns))
+def _press(grams: list[np.ndarray], back: list[np.ndarray]) -> bytes:
+    """Counts of the n-grams at each token; those of words as ranks among the different counts, the most frequent first."""
+    counts, at = np.unique(grams[0], return_inverse=True)
+    order = np.argsort(-np.bincount(at[back[0]], minlength=len(counts)), kind="stable")
+    rank = np.empty(len(counts), np.uint64)
+    rank[order] = np.arange(len(counts), dtype=np.uint64)
+    columns = [counts[order], rank[at][back[0]], *(c[b] for c, b in zip(grams[1:], back[1:], strict=True))]
+    return zstandard.ZstdCompressor(level=6).compress(b"".join(P.planes(c) for c in columns))
 
 
 def _unpress(b: bytes) -> list[np.ndarray]:
@@ -108,7 +165,7 @@ def _unpress(b: bytes) -> list[np.ndarray]:
     while at < len(raw):
         x, at = P.unplanes(raw, at)
         out.append(x)
-    return out
+    return [out[0][out[1].astype(np.int64)], *out[2:]]
 
 
 def counted(docs: DataFrame, id_col: str, text_col: str, fold: Column) -> DataFrame:
@@ -116,17 +173,50 @@ def counted(docs: DataFrame, id_col: str, text_col: str, fold: Column) -> DataFr
     parts of the tuning fold, without that fold (kept). Rows of fold -1 hold totals by hash range."""
     tokens = max(1, P.text_bytes(docs, text_col) // 6)
     buckets = max(12, -(-tokens * 2 // P.ENTRIES))
+    lead_bits = min(60, int(tokens).bit_length() + 4)
+    lead = np.uint64(64 - lead_bits)
     packed = P.pack(docs, id_col, text_col, fold).repartition("part")
 
+    def cut(keys: np.ndarray) -> list[tuple[int, int]]:
+        edges = P.bucket_edges(keys, buckets)
+        return list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, f, p in P.parts_of(b):
-                bodies = [b""] * buckets
-                for keys, _, n in _distinct(_ngrams(p)[0]):
-                    cut = P.bucket_edges(keys, buckets)
-                    bodies = [x + P.put_sorted(keys[i:j]) + P.planes(n[i:j] if f != TEST else np.zeros(j - i)) for x, i, j in zip(bodies, cut[:-1], cut[1:], strict=True)]
-                press = zstandard.ZstdCompressor(level=1).compress
-                yield P.send(part, {k: bytes([f]) + press(x) for k, x in enumerate(bodies)})
+                grams, _ = _ngrams(p)
+                words, n = np.unique(grams[0], return_counts=True)
+                n = n if f != TEST else np.zeros(len(n))
+                bodies = [bytes([f]) + P.put_sorted(words[i:j]) + P.put_counts(n[i:j]) for i, j in cut(words)]
+                for keys in map(P.distinct, grams[1:]):
+                    bodies = [x + P.put_sorted(keys[i:j] >> lead) for x, (i, j) in zip(bodies, cut(keys), strict=True)]
+                yield P.send(part, dict(enumerate(bodies)))
+
+    def met(replies: list[bytes], f: int) -> tuple[list[list[np.ndarray]], list[np.ndarray]]:
+        """Of the first census the words' counts of either kind, and the flags of pairs and triples."""
+        counts: list[list[np.ndarray]] = [[], []]
+        flags: list[list[np.ndarray]] = [[], []]
+        for b in replies:
+            at = 0
+            for kind in range(1 + (f == TUNE)):
+                x, at = P.get_counts(b, at)
+                counts[kind].append(x)
+            for c in flags:
+                x, at = _unflags(b, at)
+                c.append(x)
+        return counts, [np.concatenate(c) for c in flags]
+
+    def tell_more(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for part, f, p in P.parts_of(left):
+            flags = met(P.replied(right), f)[1]
+            bodies = [b""] * buckets
+            for h, m in zip(_ngrams(p)[0][1:], flags, strict=True):
+                keys, n = np.unique(h, return_counts=True)
+                keys, n = keys[m], n[m] if f != TEST else np.zeros(int(m.sum()))
+                bodies = [x + P.put_bits(keys[i:j], 64 - lead_bits) + P.put_counts(n[i:j]) for x, (i, j) in zip(bodies, cut(keys), strict=True)]
+            out.append(P.send(part, dict(enumerate(bodies))))
+        return pa.Table.from_batches(out, P.SENT_SCHEMA)
 
     def take(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
@@ -134,21 +224,35 @@ def counted(docs: DataFrame, id_col: str, text_col: str, fold: Column) -> DataFr
             rows = [[-1, -1, b"", b"", b"", b"", b"", np.frombuffer(x.as_py(), np.int64).tolist()] for x in right.column("payload")]
         for part, f, p in P.parts_of(left):
             grams, size = _ngrams(p)
-            got: list[list[np.ndarray]] = [[[] for _ in range(ORDERS)] for _ in range(2)]
-            unpress = zstandard.ZstdDecompressor().decompress
-            for b in map(unpress, P.replied(right)):
+            kind = right.column("kind").to_numpy()
+            words, flags = met(P.replied(right.filter(pa.array(kind == 0))), f)
+            found: list[list[list[np.ndarray]]] = [[[], []], [[], []]]
+            for b in P.replied(right.filter(pa.array(kind == 1))):
                 at = 0
-                for order in range(ORDERS):
-                    for kind in range(1 + (f == TUNE)):
-                        x, at = P.unplanes(b, at)
-                        got[kind][order].append(x)
-            back = [d[1] for d in _distinct(grams)]
-            seen, kept = ([np.concatenate(x)[i] for x, i in zip(got[k], back, strict=True)] if k == 0 or f == TUNE else [] for k in range(2))
-            rows.append([part, f, p.ids.tobytes(), p.nulls.tobytes(), size.tobytes(), _press(seen), _press(kept), []])
+                for order in range(2):
+                    for k in range(1 + (f == TUNE)):
+                        x, at = P.get_counts(b, at)
+                        found[k][order].append(x)
+            uniq = _distinct(grams)
+            pressed = [b"", b""]
+            for k in range(1 + (f == TUNE)):
+                each = [np.concatenate(words[k])]
+                for (_, _, n), m, got in zip(uniq[1:], flags, found[k], strict=True):
+                    # what no other part holds occurs here only: not at all in what is held out or without the tuning fold
+                    own = n.astype(np.uint64) if f != TEST and k == 0 else np.zeros(len(n), np.uint64)
+                    own[m] = np.concatenate(got)
+                    each.append(own)
+                pressed[k] = _press(each, [u[1] for u in uniq])
+            rows.append([part, f, p.ids.tobytes(), p.nulls.tobytes(), size.tobytes(), *pressed, []])
         return pa.table([pa.array(c, y.type) for c, y in zip(zip(*rows, strict=True), _COUNTED_SCHEMA, strict=True)], schema=_COUNTED_SCHEMA)
 
-    sums = packed.mapInArrow(tell, P.SENT).groupBy("bucket").applyInArrow(_census, P.SENT)
-    return P.written(packed.groupBy("part").cogroup(sums.groupBy("part")).applyInArrow(take, _COUNTED), "counted", by="fold")
+    step = packed.groupBy("part")
+    sent = packed.mapInArrow(tell, P.SENT)
+    first = sent.groupBy("bucket").applyInArrow(_first_census, P.SENT).repartition("part")
+    more = step.cogroup(first.groupBy("part")).applyInArrow(tell_more, P.SENT)
+    second = sent.groupBy("bucket").cogroup(more.groupBy("bucket")).applyInArrow(lambda k, a, b: _second_census(k, a, b, lead_bits), P.SENT)
+    both = first.withColumn("kind", F.lit(0)).unionByName(second.withColumn("kind", F.lit(1)))
+    return P.written(step.cogroup(both.groupBy("part")).applyInArrow(take, _COUNTED), "counted", by="fold")
 
 
 def _levels(counts: list[np.ndarray], size: np.ndarray, n: int, types: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
