@@ -183,17 +183,14 @@ def better_decoys(cases: DataFrame, pool: DataFrame) -> DataFrame:
     return found.groupBy("id").agg(F.min_by("decoy", "h").alias("decoy"))
 
 
-def materialise(cases: DataFrame, pool: DataFrame, decoy: DataFrame, budget: int = 20, by_text: bool = True) -> DataFrame:
+def materialise(cases: DataFrame, pool: DataFrame, decoy: DataFrame, budget: int = 20) -> DataFrame:
     """(case_id, pos, memory_id, priority) of cases (id, domain, no_evidence): the gold memory (0; left out without evidence), the decoy (1), fillers (3), up to the budget.
 
-    by_text: no-evidence cases also get no memory whose normalised text is that of one of their gold texts, and a
-    case with fewer than two memories or without its gold raises an error. Needs gold in cases and pool.
+    No-evidence cases get no memory whose normalised text is that of one of their gold texts, and a case with fewer
+    than two memories or without its gold raises an error. Needs gold in cases and pool.
     """
     gold = cases.where(~F.col("no_evidence")).select(F.col("id").alias("case_id"), F.col("id").alias("memory_id"), F.lit(0).alias("priority"), F.lit("").alias("ord"))
     must = decoy.join(cases.select("id"), "id", "left_semi").select(F.col("id").alias("case_id"), F.col("decoy").alias("memory_id"), F.lit(1).alias("priority"), F.lit("").alias("ord"))
-    if not by_text:
-        rest = fillers(cases, pool, budget).select("case_id", "memory_id", F.lit(3).alias("priority"), "ord")
-        return budgeted(gold.unionByName(must).unionByName(rest), budget)
     print_of = lambda x: F.sha2(T.norm(x), 256)
     barred = F.when(F.col("no_evidence"), F.transform("gold", print_of))
     pool = pool.withColumn("print", print_of(F.get("gold", F.lit(0))))

@@ -209,7 +209,7 @@ def user_turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _decoys(name: str, tag: str, same: str, different: str | None) -> None:
-    """Decoys from all valid bases. The SQL takes the first RESERVOIR of each domain: the same where no domain has more."""
+    """Decoys from all valid bases, in blocks; the SQL makes all pairs of a group."""
     keep = f"AND a.{different} <> b.{different}" if different else ""
     on = " AND ".join(f"a.{c} = b.{c}" for c in same.split(", "))
 
@@ -217,7 +217,7 @@ def _decoys(name: str, tag: str, same: str, different: str | None) -> None:
         return R.decoys(X.valid(bases(spark, sf)), tag, same.split(", "), different)
 
     run.__name__ = name
-    query(f"""WITH {BASES}, {RESERVOIR} SELECT a.id, min_by(b.id, {S.hashed("'decoy'", f"'{tag}'", 'a.id', 'b.source', 'b.id')}) AS decoy FROM rv a JOIN rv b ON {on} AND a.id <> b.id {keep} GROUP BY a.id""")(run)
+    query(f"""WITH {BASES} SELECT a.id, min_by(b.id, {S.hashed("'decoy'", f"'{tag}'", 'a.id', 'b.source', 'b.id')}) AS decoy FROM vb a JOIN vb b ON {on} AND a.id <> b.id {keep} GROUP BY a.id""")(run)
 
 
 _decoys("decoy_other_subject", "N3", "domain", "subject")
@@ -296,69 +296,65 @@ def union_by_name(spark: SparkSession, sf: str) -> DataFrame:
     return own.unionByName(r.select(F.lit(None).cast("int").alias("n_nationkey"), F.col("r_name").alias("n_name"), "r_name"))
 
 
-CASE_CAP = 25
-CASE_ROWS = f"""{RESERVOIR}, cs AS (SELECT *, rn % 3 = 0 AS no_evidence FROM rv WHERE rn <= {CASE_CAP})"""
+CASE_ROWS = f"""cs AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY {S.hashed("'n9-feasibility-reservoir'", 'domain', 'source', 'id')}) % 3 = 0 AS no_evidence FROM vb)"""
 
 
-def sampled_cases(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Cases (the first of each domain in hash order, every third without evidence) and all valid bases, of which the SQL takes RESERVOIR of each domain."""
+def all_cases(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Every valid base as a case (every third of a domain, in hash order, without evidence), and the valid bases."""
     pool = X.valid(bases(spark, sf))
     w = Window.partitionBy("domain").orderBy(T.stable_hash(F.lit("n9-feasibility-reservoir"), "domain", "source", "id"))
-    return pool.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= CASE_CAP).withColumn("no_evidence", F.col("rn") % 3 == 0), pool
+    return pool.withColumn("no_evidence", F.row_number().over(w) % 3 == 0), pool
 
 
-FILL = f"""fi AS (SELECT cs.id AS case_id, rv.id AS memory_id, {S.hashed("'filler'", 'cs.id', 'rv.source', 'rv.id')} AS ord FROM cs JOIN rv ON cs.domain = rv.domain AND cs.id <> rv.id),
+def _filler_sql(keep: str = "") -> str:
+    return f"""fi AS (SELECT cs.id AS case_id, vb.id AS memory_id, {S.hashed("'filler'", 'cs.id', 'vb.source', 'vb.id')} AS ord FROM cs JOIN vb ON cs.domain = vb.domain AND cs.id <> vb.id {keep}),
 fl20 AS (SELECT case_id, memory_id, ord FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY ord) AS k FROM fi) WHERE k <= 20)"""
 
 
-@query(f"WITH {BASES}, {CASE_ROWS}, {FILL} SELECT case_id, memory_id, ord FROM fl20")
+@query(f"WITH {BASES}, {CASE_ROWS}, {_filler_sql()} SELECT case_id, memory_id, ord FROM fl20")
 def same_domain_fillers(spark: SparkSession, sf: str) -> DataFrame:
-    return R.fillers(*sampled_cases(spark, sf))
+    return R.fillers(*all_cases(spark, sf))
 
 
-@query(f"""WITH {BASES}, {CASE_ROWS}, q9 AS (SELECT id, domain, unnest(list_distinct({S.tokens('query')})) AS t FROM cs), g9 AS (SELECT id AS decoy, domain, unnest(list_distinct({S.tokens('gold[1]')})) AS t FROM rv),
-c9 AS (SELECT id, decoy, count(*) AS c FROM q9 JOIN g9 USING (domain, t) GROUP BY ALL)
-SELECT id, min_by(decoy, {S.hashed("'decoy'", "'N9'", 'id', 'decoy')}) AS decoy FROM c9 LEFT JOIN (SELECT id, c AS own FROM c9 WHERE id = decoy) USING (id) WHERE id <> decoy AND c > coalesce(own, 0) GROUP BY id""")
-def decoy_better_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    return R.better_decoys(*sampled_cases(spark, sf))
+BETTER = f"""q9 AS (SELECT id, domain, unnest(list_distinct({S.tokens('query')})) AS t FROM cs), g9 AS (SELECT id AS decoy, domain, unnest(list_distinct({S.tokens('gold[1]')})) AS t FROM vb),
+c9 AS (SELECT id, decoy, count(*) AS c FROM q9 JOIN g9 USING (domain, t) GROUP BY ALL),
+b9 AS (SELECT id, min_by(decoy, {S.hashed("'decoy'", "'N9'", 'id', 'decoy')}) AS decoy FROM c9 LEFT JOIN (SELECT id, c AS own FROM c9 WHERE id = decoy) USING (id) WHERE id <> decoy AND c > coalesce(own, 0) GROUP BY id)"""
 
 
-@query(f"""WITH {BASES}, {CASE_ROWS}, {FILL}, dy AS (SELECT a.id, min_by(b.id, {S.hashed("'decoy'", "'N3'", 'a.id', 'b.source', 'b.id')}) AS decoy FROM rv a JOIN rv b ON a.domain = b.domain AND a.subject <> b.subject AND a.id <> b.id GROUP BY a.id),
-al AS (SELECT id AS case_id, id AS memory_id, 0 AS priority, '' AS ord FROM cs WHERE NOT no_evidence UNION ALL SELECT id, decoy, 1, '' FROM dy WHERE id IN (SELECT id FROM cs) UNION ALL SELECT case_id, memory_id, 3, ord FROM fl20),
-fo AS (SELECT case_id, memory_id, min(struct_pack(priority := priority, ord := ord)) AS at1 FROM al GROUP BY ALL)
-SELECT case_id, pos::INT AS pos, memory_id, priority::INT AS priority FROM (SELECT case_id, memory_id, at1.priority AS priority, row_number() OVER (PARTITION BY case_id ORDER BY at1.priority, at1.ord, memory_id) AS pos FROM fo) WHERE pos <= 20""")
-def materialised_cases(spark: SparkSession, sf: str) -> DataFrame:
-    cases, pool = sampled_cases(spark, sf)
-    return R.materialise(cases, pool, R.decoys(pool, "N3", ["domain"], "subject", cases), by_text=False)
+@query(f"WITH {BASES}, {CASE_ROWS}, {BETTER} SELECT id, decoy FROM b9")
+def decoy_better_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    return R.better_decoys(*all_cases(spark, sf))
 
 
-def all_cases(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Every valid base as a case (every third of a domain, in hash order, without evidence), and the valid bases."""
-    pool = X.valid(bases(spark, sf))
-    w = Window.partitionBy("domain").orderBy(T.stable_hash(F.lit("n9-feasibility-reservoir"), "domain", "source", "id"))
-    return pool.withColumn("no_evidence", F.row_number().over(w) % 3 == 0), pool
+FAMILY = {"n3": ("N3", ("domain",), "subject"), "n4": ("N4", ("subject",), "relation"), "n12": ("N12", ("subject", "relation"), None)}
 
 
-@query()
-def same_domain_fillers_all(spark: SparkSession, sf: str) -> DataFrame:
-    """same_domain_fillers of every valid base; the SQL there takes CASE_CAP of each domain, so there is none here."""
-    return R.fillers(*all_cases(spark, sf))
+def _family_sql(flag: str) -> str:
+    tag, same, different = FAMILY[flag]
+    on = " AND ".join([*(f"a.{c} = b.{c}" for c in same), *([f"a.{different} <> b.{different}"] if different else [])])
+    return f"""SELECT a.id, min_by(b.id, {S.hashed("'decoy'", f"'{tag}'", 'a.id', 'b.source', 'b.id')}) AS decoy FROM vb a JOIN vb b ON {on} AND a.id <> b.id WHERE a.id IN (SELECT id FROM fam WHERE family = '{flag}') GROUP BY a.id"""
 
 
-@query()
-def decoy_better_overlap_all(spark: SparkSession, sf: str) -> DataFrame:
-    """decoy_better_overlap of every valid base."""
-    return R.better_decoys(*all_cases(spark, sf))
+_FLAGGED = " UNION ALL ".join(f"SELECT id, '{f}' AS f FROM f2 {'JOIN nine USING (id) ' if f == 'n9' else ''}WHERE {f}" for f in ("n3", "n4", "n9", "n12"))
 
 
-@query()
-def materialised_cases_all(spark: SparkSession, sf: str) -> DataFrame:
+@query(f"""WITH {TEXT_FLAGS}, {NINE}, {CASE_ROWS}, {BETTER},
+fam AS (SELECT id, min_by(f, {S.hashed("'family'", 'id', 'f')}) AS family FROM ({_FLAGGED}) GROUP BY id),
+dy AS ({' UNION ALL '.join(map(_family_sql, FAMILY))} UNION ALL SELECT id, decoy FROM b9 WHERE id IN (SELECT id FROM fam WHERE family = 'n9')),
+pr AS (SELECT id, {S.norm('gold[1]')} AS g FROM vb),
+{_filler_sql(f"AND NOT (cs.no_evidence AND {S.norm('cs.gold[1]')} = {S.norm('vb.gold[1]')})")},
+al AS (SELECT id AS case_id, id AS memory_id, 0 AS priority, '' AS ord FROM cs WHERE NOT no_evidence
+  UNION ALL SELECT dy.id, dy.decoy, 1, '' FROM dy JOIN cs ON dy.id = cs.id JOIN pr a ON a.id = dy.id JOIN pr b ON b.id = dy.decoy WHERE NOT (cs.no_evidence AND a.g = b.g)
+  UNION ALL SELECT case_id, memory_id, 3, ord FROM fl20),
+fo AS (SELECT case_id, memory_id, min(struct_pack(priority := priority, ord := ord)) AS at1 FROM al GROUP BY ALL)
+SELECT case_id, pos::INT AS pos, memory_id, priority::INT AS priority FROM (SELECT case_id, memory_id, at1.priority AS priority, row_number() OVER (PARTITION BY case_id ORDER BY at1.priority, at1.ord, memory_id) AS pos FROM fo) WHERE pos <= 20""")
+def materialised_cases(spark: SparkSession, sf: str) -> DataFrame:
     """Cases of every valid base with the decoy of their family: of the flagged ones of N3, N4, N9 and N12 the one that hashes lowest."""
     cases, pool = all_cases(spark, sf)
     flagged = F.array(*(F.when(F.col(f), F.struct(T.stable_hash(F.lit("family"), "id", F.lit(f)).alias("h"), F.lit(f).alias("f"))) for f in ("n3", "n4", "n9", "n12")))
     family = X.all_flags(bases(spark, sf)).select("id", F.array_min(flagged)["f"].alias("family"))
     cases = cases.join(family, "id", "left")
-    of = {f: cases.where(F.col("family") == f) for f in ("n3", "n4", "n9", "n12")}
-    decoy = R.decoys(pool, "N3", ["domain"], "subject", of["n3"])
-    decoy = decoy.unionByName(R.decoys(pool, "N4", ["subject"], "relation", of["n4"])).unionByName(R.decoys(pool, "N12", ["subject", "relation"], None, of["n12"]))
-    return R.materialise(cases, pool, decoy.unionByName(R.better_decoys(of["n9"], pool)))
+    decoy = R.better_decoys(cases.where("family = 'n9'"), pool)
+    for flag, (tag, same, different) in FAMILY.items():
+        decoy = decoy.unionByName(R.decoys(pool, tag, list(same), different, cases.where(F.col("family") == flag)))
+    return R.materialise(cases, pool, decoy)

@@ -159,11 +159,12 @@ def test_fillers_and_better_decoys_come_from_all_bases(spark, crowded):
     got = {}
     for x in catalog.queries()["same_domain_fillers"](spark, sf).orderBy("ord").collect():
         got.setdefault(x["case_id"], []).append((x["memory_id"], x["ord"]))
-    for i, rows in got.items():
+    for i, rows in list(got.items())[::31]:
         assert rows == sorted(((b[0], hashed("filler", i, b[1], b[0])) for b in base if b[4] == own[i][4] and b[0] != i), key=lambda x: x[1])[:20]
     toks = {b[0]: (set(b[2].rstrip(".").lower().split()), set(b[3].lower().split())) for b in base}
     better = {x["id"]: x["decoy"] for x in catalog.queries()["decoy_better_overlap"](spark, sf).collect()}
-    for i in got:
+    assert len(better) > 125
+    for i in list(got)[::31]:
         q = toks[i][0]
         want = [b[0] for b in base if b[4] == own[i][4] and b[0] != i and len(q & toks[b[0]][1]) > len(q & toks[i][1])]
         assert better.get(i) == min(want, key=lambda b: hashed("decoy", "N9", i, b), default=None)
@@ -172,16 +173,10 @@ def test_fillers_and_better_decoys_come_from_all_bases(spark, crowded):
 def test_every_base_is_a_case(spark, crowded):
     sf, base = crowded
     fill = {}
-    for x in catalog.queries()["same_domain_fillers_all"](spark, sf).collect():
+    for x in catalog.queries()["same_domain_fillers"](spark, sf).collect():
         fill.setdefault(x["case_id"], set()).add(x["memory_id"])
     alone = [b[0] for b in base if b[4] == "D3"]
     assert sorted(fill) == sorted(b[0] for b in base if b[0] not in alone) and {len(x) for x in fill.values()} == {20}
-    toks = {b[0]: (set(b[2].rstrip(".").lower().split()), set(b[3].lower().split())) for b in base}
-    better = {x["id"]: x["decoy"] for x in catalog.queries()["decoy_better_overlap_all"](spark, sf).collect()}
-    assert len(better) > 125
-    for i, _, _, _, d in base[::31]:
-        want = [b[0] for b in base if b[4] == d and b[0] != i and len(toks[i][0] & toks[b[0]][1]) > len(toks[i][0] & toks[i][1])]
-        assert better.get(i) == min(want, key=lambda b: hashed("decoy", "N9", i, b), default=None)
 
 
 def test_no_evidence_cases_get_no_copy_of_their_gold(spark):
@@ -201,7 +196,7 @@ def test_no_evidence_cases_get_no_copy_of_their_gold(spark):
 
 
 def test_cases_get_the_decoy_of_their_family(spark, sf):
-    rows = catalog.queries()["materialised_cases_all"](spark, sf).collect()
+    rows = catalog.queries()["materialised_cases"](spark, sf).collect()
     base = {r["id"]: r for r in flags.valid(q_ops.bases(spark, sf)).collect()}
     assert {r["case_id"] for r in rows} == set(base)
     kinds = set()
