@@ -20,8 +20,8 @@ def conversation_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("conv_id").cast("string").alias("case_id"), pos.cast("long").alias("pos"), F.concat_ws(":", "conv_id", "turn").alias("memory_id"), "role", "text", F.format_string("2026-07-%02dT12:00:00+00:00", 1 + F.col("turn") % 28).alias("ts"), "query", (F.col("turn") == F.col("qt") - 1).alias("relevant"))
 
 
-# The adversarial set's templates; $r relation, $e entity, $v value, $i number, $3 number of three digits.
-NAMES = ("code", "email", "version", "provider", "owner", "status", "time", "location", "quantity", "price")
+# The adversarial set's templates; $r relation, $e entity, $v value, $o another relation, $i number, $2 and $3 number of two and three digits.
+RELATIONS = (("code", "QK-$3"), ("email", "desk$i@mail.test"), ("version", "V$2"), ("provider", "Supplier$i"), ("owner", "Person$i"), ("status", "ACTIVE"), ("time", "09:$2"), ("location", "Room C$2"), ("quantity", "4$2"), ("price", "7$2"))
 ANSWERABLE = (
     ("r", "The current $r for $e updated to $v.", 0),
     ("echo", "What is the current $r for $e?", 28),
@@ -30,7 +30,7 @@ ANSWERABLE = (
     ("wrongsubj", "The current $r for CLEANADV-X-$3 is DECOY-$i.", 31),
     ("stale", "The previous $r for $e was OLD-$i.", 27),
     ("noise1", "The current color for CLEANADV-N-$3 updated to amber.", 26),
-    ("noise2", "The current budget for CLEANADV-N-$3 updated to $b.", 25),
+    ("noise2", "The current budget for CLEANADV-N-$3 updated to 4$3.", 25),
 )
 CATEGORIES = {
     "agenda": ("The current $r for $e remains on the agenda only.",),
@@ -44,45 +44,51 @@ CATEGORIES = {
     "inference": ("The current $r for $e is probably GUESS-$i.",),
     "meta": ("We discussed the current $r for $e during planning.",),
 }
-NOISE = (("color", "blue"), ("budget", "$n"), ("owner", "Alex"), ("status", "READY"), ("provider", "Northwind"), ("code", "ZX-999"))
+NOISE = (("color", "blue"), ("budget", "5$3"), ("owner", "Alex"), ("status", "READY"), ("provider", "Northwind"), ("code", "ZX-999"))
+#: Questions with an answer among their memories, and without.
+N_ANSWERABLE, N_WITHOUT = 80, 40
+_TEMPLATE = "kind string, of string, name string, template string, day int, relevant boolean"
 
 
-def _value(r: str, i: int) -> str:
-    made = {"email": f"clean{i}@example.test", "time": f"{8 + i % 10:02d}:{i * 7 % 60:02d}", "location": f"Room {chr(65 + i % 20)}{i % 9 + 1}", "quantity": str(10 + i), "price": str(50 + i * 3), "provider": f"Provider{i}", "owner": f"Owner{i}", "status": ("READY", "ACTIVE", "PAUSED", "APPROVED")[i % 4], "version": f"V{i % 17 + 1}"}
-    return made.get(r, f"ZX-{100 + i}")
-
-
-def adversarial_rows() -> list[tuple]:
-    """(case_id, category, query, pos, memory_id, text, ts, relevant): 80 answerable cases and 40 without evidence."""
-    out: list[tuple] = []
-
-    def add(case: str, category: str, query: str, memories: list[tuple[str, str, int, bool]]) -> None:
-        out.extend((case, category, query, pos, m, text, f"2026-07-{day:02d}T12:00:00+00:00", rel) for pos, (m, text, day, rel) in enumerate(memories))
-
-    for i in range(1, 81):
-        r, e = NAMES[(i - 1) % 10], f"CLEANADV-A-{i:03d}"
-        fill = {"$r": r, "$e": e, "$v": _value(r, i), "$3": f"{i:03d}", "$i": str(i), "$b": str(4000 + i)}
-        add(f"answerable-{i:03d}", "adversarial_answerable", f"What is the current {r} for {e}?", [(f"ca{i}-{n}", _filled(t, fill), d or 10 + i % 8, n == "r") for n, t, d in ANSWERABLE])
-    for i in range(1, 41):
-        r, e, category = NAMES[(i - 1) % 10], f"CLEANADV-N-{i:03d}", list(CATEGORIES)[(i - 1) % 10]
-        fill = {"$r": r, "$e": e, "$o": "provider" if r != "provider" else "code", "$3": f"{i:03d}", "$i": str(i), "$n": str(5000 + i)}
-        rows = [(f"cn{i}-core{k}", _filled(t, fill), 20 + k, False) for k, t in enumerate(CATEGORIES[category])]
-        rows += [(f"cn{i}-n{k}", f"The current {a} for CLEANADV-O-{i:03d} updated to {_filled(b, fill)}.", 32 - k, False) for k, (a, b) in enumerate(NOISE, 1)]
-        add(f"noevidence-{i:03d}", category, f"What is the current {r} for {e}?", rows)
-    return out
-
-
-def _filled(text: str, values: dict[str, str]) -> str:
-    for k, v in values.items():
-        text = text.replace(k, v)
-    return text
+def _templates() -> list[tuple]:
+    """(kind, category or none for all, name, template, day or 0 for one by number, relevant) of all memories."""
+    out = [("answerable", None, name, text, day, name == "r") for name, text, day in ANSWERABLE]
+    out += [("noevidence", c, f"core{k}", text, 20 + k, False) for c, texts in CATEGORIES.items() for k, text in enumerate(texts)]
+    return out + [("noevidence", None, f"n{k}", f"The current {a} for CLEANADV-O-$3 updated to {b}.", 32 - k, False) for k, (a, b) in enumerate(NOISE, 1)]
 
 
 def adversarial_cases(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(adversarial_rows(), "case_id string, category string, query string, pos long, memory_id string, text string, ts string, relevant boolean")
+    """(case_id, category, query, pos, memory_id, text, ts, relevant): questions with one answering memory, and without.
+
+    Relations take turns, categories stand in runs; a case's memories are ordered by the hash of their id.
+    """
+    at = lambda values, k: F.element_at(F.array(*map(F.lit, values)), k.cast("int") + 1)
+    one = spark.range(1, N_ANSWERABLE + 1).select("id", F.lit("answerable").alias("kind"), F.lit("adversarial_answerable").alias("category"))
+    two = spark.range(1, N_WITHOUT + 1).select("id", F.lit("noevidence").alias("kind"), at(list(CATEGORIES), F.floor((F.col("id") - 1) * len(CATEGORIES) / N_WITHOUT)).alias("category"))
+    turn = (F.col("id") - 1) % len(RELATIONS)
+    x = one.unionByName(two).withColumns({"r": at([r for r, _ in RELATIONS], turn), "v": at([v for _, v in RELATIONS], turn), "e": F.format_string("CLEANADV-%s-%03d", F.upper(F.substring("kind", 1, 1)), "id")})
+    x = x.join(F.broadcast(spark.createDataFrame(_templates(), _TEMPLATE)), "kind").where("of is null or of = category")  # a fixed table of some 25 rows
+    text = F.col("template")
+    for mark, value in (("$v", "v"), ("$r", "r"), ("$e", "e"), ("$o", F.when(F.col("r") == "provider", "code").otherwise("provider")), ("$i", F.col("id").cast("string")), ("$2", F.format_string("%02d", F.col("id") % 60)), ("$3", F.format_string("%03d", "id"))):
+        text = F.replace(text, F.lit(mark), F.col(value) if isinstance(value, str) else value)
+    day = F.when(F.col("day") > 0, F.col("day").cast("long")).otherwise(10 + F.col("id") % 8)
+    x = x.select(F.format_string("%s-%03d", "kind", "id").alias("case_id"), "category", F.format_string("What is the current %s for %s?", "r", "e").alias("query"), F.concat(F.substring("kind", 1, 1), F.col("id"), F.lit("-"), "name").alias("memory_id"), text.alias("text"), F.format_string("2026-07-%02dT12:00:00+00:00", day).alias("ts"), "relevant")
+    pos = F.row_number().over(Window.partitionBy("case_id").orderBy(F.sha2("memory_id", 256))) - 1
+    return x.withColumn("pos", pos.cast("long")).select("case_id", "category", "query", "pos", "memory_id", "text", "ts", "relevant")
 
 
 def adversarial_sql() -> str:
     """The same rows as a CTE named av."""
-    rows = ", ".join("(" + ", ".join(str(v) if isinstance(v, (int, bool)) else "'" + v.replace("'", "''") + "'" for v in r) + ")" for r in adversarial_rows())
-    return f"av(case_id, category, query, pos, memory_id, text, ts, relevant) AS (VALUES {rows})"
+    quoted = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, bool)) else "'" + v.replace("'", "''") + "'"
+    rows = ", ".join("(" + ", ".join(map(quoted, t)) + ")" for t in _templates())
+    listed = lambda values: "[" + ", ".join(map(quoted, values)) + "]"
+    text = "template"
+    for mark, value in (("$v", "v"), ("$r", "r"), ("$e", "e"), ("$o", "CASE WHEN r = 'provider' THEN 'code' ELSE 'provider' END"), ("$i", "id::VARCHAR"), ("$2", "printf('%02d', id % 60)"), ("$3", "printf('%03d', id)")):
+        text = f"replace({text}, '{mark}', {value})"
+    return f"""mt(kind, of_category, name, template, day, relevant) AS (VALUES {rows}),
+aq AS (SELECT *, {listed([r for r, _ in RELATIONS])}[(id - 1) % {len(RELATIONS)} + 1] AS r, {listed([v for _, v in RELATIONS])}[(id - 1) % {len(RELATIONS)} + 1] AS v, printf('CLEANADV-%s-%03d', upper(kind[1]), id) AS e FROM (
+  SELECT unnest(range(1, {N_ANSWERABLE + 1})) AS id, 'answerable' AS kind, 'adversarial_answerable' AS category
+  UNION ALL SELECT id, 'noevidence', {listed(list(CATEGORIES))}[(id - 1) * {len(CATEGORIES)} // {N_WITHOUT} + 1] FROM (SELECT unnest(range(1, {N_WITHOUT + 1})) AS id))),
+am AS (SELECT printf('%s-%03d', kind, id) AS case_id, category, printf('What is the current %s for %s?', r, e) AS query, kind[1] || id || '-' || name AS memory_id, {text} AS text,
+  printf('2026-07-%02dT12:00:00+00:00', CASE WHEN day > 0 THEN day ELSE 10 + id % 8 END) AS ts, relevant FROM aq JOIN mt USING (kind) WHERE of_category IS NULL OR of_category = category),
+av AS (SELECT case_id, category, query, row_number() OVER (PARTITION BY case_id ORDER BY sha256(memory_id)) - 1 AS pos, memory_id, text, ts, relevant FROM am)"""

@@ -7,7 +7,7 @@ from tessera import catalog
 from tessera.operators import gate as G
 from tessera.operators import metrics as M
 from tessera.operators import rankers as R
-from tessera.plans.cases import adversarial_cases, adversarial_rows, conversation_cases
+from tessera.plans.cases import CATEGORIES, adversarial_cases, conversation_cases
 
 SCHEMA = "case_id string, pos long, memory_id string, text string, ts string, query string"
 
@@ -55,9 +55,11 @@ def test_a_distractor_changes_nothing_and_no_assertion_abstains(spark):
 
 
 def test_adversarial_set(spark):
-    rows = adversarial_rows()
-    assert len({r[0] for r in rows}) == 120 and sum(r[7] for r in rows) == 80
     c = adversarial_cases(spark)
+    rows = c.collect()
+    assert len({r["case_id"] for r in rows}) == 120 and sum(r["relevant"] for r in rows) == 80 and not any("$" in r["text"] for r in rows)
+    assert all(len({r["case_id"] for r in rows if r["category"] == k}) == 4 for k in CATEGORIES)
+    assert len({r["pos"] for r in rows if r["relevant"]}) == 8
     gold = c.where("relevant").select("case_id", F.col("memory_id").alias("id"))
     names = c.select("case_id").distinct()
     found = {}
