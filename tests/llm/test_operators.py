@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -270,16 +271,24 @@ def test_contained_items_of_repeated_and_nameless_rows(spark, monkeypatch):
 def test_top_k(spark):
     r = np.random.default_rng(2)
     rows = [(i, [float(x) for x in r.normal(0, 0.3, 8)]) for i in range(160)]
-    rows += [(200 + i, rows[5][1]) for i in range(12)] + [(300, None), (301, [1.0, None]), (302, [float("nan")] * 8), (303, [float("inf")] * 8), (None, rows[0][1]), (310, [0.5]), (320, []), (330, [0.0] * 8), (50, rows[7][1]), (340, [3e30] * 8)]
+    rows += [(200 + i, rows[5][1]) for i in range(12)] + [(300, None), (301, [1.0, None]), (302, [float("nan")] * 8), (303, [float("inf")] * 8), (None, rows[0][1]), (310, [0.5]), (320, []), (330, [0.0] * 8), (50, rows[7][1])]
+    # wide ones: components whose scaled squares no long holds, and numbers that lose their last bits when scaled
+    rows += [(340, [3e30] * 8), (341, [-1e300, 0.5]), (342, [1e7, 1.0]), (350, [1e7, -1e300, 2.0]), (351, [5000.00390625] * 3), (352, [float(2**52 + 1)])]
     v = spark.createDataFrame([(i, e, 1, "x") for i, e in rows], "vec_id long, embedding array<double>, block int, rank string").repartition(5)
     got = [(x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in topk_search.top_k(v, v["vec_id"] % 10 == 0).collect()]
-    good = [(i, [math.floor(256 * x) for x in e]) for i, e in rows if i is not None and e is not None and all(x is not None and math.isfinite(x) and abs(256 * x) < 2**31 for x in e)]
+    ok = [(i, e, [math.floor(Fraction(x) * 256) for x in e]) for i, e in rows if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)]
     want = []
-    for q in sorted({i for i, _ in good if i % 10 == 0}):
-        e = min(e for i, e in good if i == q)
-        s = sorted((-sum(a * b for a, b in zip(e, f, strict=False)), i) for i, f in good if i != q)[:5]
-        want += [(q, k + 1, i, -x) for k, (x, i) in enumerate(s)]
-    assert sorted(got) == sorted(want)
+    for q in sorted({i for i, _, _ in ok if i % 10 == 0}):
+        e = min((raw, e) for i, raw, e in ok if i == q)[1]
+        s = sorted((-sum(a * b for a, b in zip(e, f, strict=False)), i) for i, _, f in ok if i != q)[:5]
+        want += [(q, k + 1, i, max(-(2**63) + 1, min(2**63 - 1, -x))) for k, (x, i) in enumerate(s)]
+    assert sorted(got) == sorted(want) and max(x[3] for x in got) == 2**63 - 1
+
+
+def test_top_k_keeps_large_components(spark):
+    v = spark.createDataFrame([(0, [1.0, 1.0]), (1, [1e7, 1.0]), (2, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    got = [tuple(x) for x in topk_search.top_k(v, v["vec_id"] == 0).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 256 * 2560000000 + 65536), (0, 2, 2, 65536)]
 
 
 def test_bit_slices():
