@@ -74,7 +74,8 @@ def adversarial_cases(spark: SparkSession) -> DataFrame:
     day = F.when(F.col("day") > 0, F.col("day").cast("long")).otherwise(10 + F.col("id") % 8)
     x = x.select(F.format_string("%s-%03d", "kind", "id").alias("case_id"), "category", F.format_string("What is the current %s for %s?", "r", "e").alias("query"), F.concat(F.substring("kind", 1, 1), F.col("id"), F.lit("-"), "name").alias("memory_id"), text.alias("text"), F.format_string("2026-07-%02dT12:00:00+00:00", day).alias("ts"), "relevant")
     pos = F.row_number().over(Window.partitionBy("case_id").orderBy(F.sha2("memory_id", 256))) - 1
-    return x.withColumn("pos", pos.cast("long")).select("case_id", "category", "query", "pos", "memory_id", "text", "ts", "relevant")
+    x = x.withColumn("pos", pos.cast("long")).select("case_id", "category", "query", "pos", "memory_id", "text", "ts", "relevant")
+    return spark.createDataFrame(x.collect(), x.schema)  # some 900 rows, whatever the data: a local table for the many joins of the gate
 
 
 def adversarial_sql() -> str:
@@ -85,10 +86,10 @@ def adversarial_sql() -> str:
     text = "template"
     for mark, value in (("$v", "v"), ("$r", "r"), ("$e", "e"), ("$o", "CASE WHEN r = 'provider' THEN 'code' ELSE 'provider' END"), ("$i", "id::VARCHAR"), ("$2", "printf('%02d', id % 60)"), ("$3", "printf('%03d', id)")):
         text = f"replace({text}, '{mark}', {value})"
-    return f"""mt(kind, of_category, name, template, day, relevant) AS (VALUES {rows}),
-aq AS (SELECT *, {listed([r for r, _ in RELATIONS])}[(id - 1) % {len(RELATIONS)} + 1] AS r, {listed([v for _, v in RELATIONS])}[(id - 1) % {len(RELATIONS)} + 1] AS v, printf('CLEANADV-%s-%03d', upper(kind[1]), id) AS e FROM (
+    return f"""adv_t(kind, of_category, name, template, day, relevant) AS (VALUES {rows}),
+adv_q AS (SELECT *, {listed([r for r, _ in RELATIONS])}[(id - 1) % {len(RELATIONS)} + 1] AS r, {listed([v for _, v in RELATIONS])}[(id - 1) % {len(RELATIONS)} + 1] AS v, printf('CLEANADV-%s-%03d', upper(kind[1]), id) AS e FROM (
   SELECT unnest(range(1, {N_ANSWERABLE + 1})) AS id, 'answerable' AS kind, 'adversarial_answerable' AS category
   UNION ALL SELECT id, 'noevidence', {listed(list(CATEGORIES))}[(id - 1) * {len(CATEGORIES)} // {N_WITHOUT} + 1] FROM (SELECT unnest(range(1, {N_WITHOUT + 1})) AS id))),
-am AS (SELECT printf('%s-%03d', kind, id) AS case_id, category, printf('What is the current %s for %s?', r, e) AS query, kind[1] || id || '-' || name AS memory_id, {text} AS text,
-  printf('2026-07-%02dT12:00:00+00:00', CASE WHEN day > 0 THEN day ELSE 10 + id % 8 END) AS ts, relevant FROM aq JOIN mt USING (kind) WHERE of_category IS NULL OR of_category = category),
-av AS (SELECT case_id, category, query, row_number() OVER (PARTITION BY case_id ORDER BY sha256(memory_id)) - 1 AS pos, memory_id, text, ts, relevant FROM am)"""
+adv_m AS (SELECT printf('%s-%03d', kind, id) AS case_id, category, printf('What is the current %s for %s?', r, e) AS query, kind[1] || id || '-' || name AS memory_id, {text} AS text,
+  printf('2026-07-%02dT12:00:00+00:00', CASE WHEN day > 0 THEN day ELSE 10 + id % 8 END) AS ts, relevant FROM adv_q JOIN adv_t USING (kind) WHERE of_category IS NULL OR of_category = category),
+av AS (SELECT case_id, category, query, row_number() OVER (PARTITION BY case_id ORDER BY sha256(memory_id)) - 1 AS pos, memory_id, text, ts, relevant FROM adv_m)"""

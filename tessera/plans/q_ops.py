@@ -296,7 +296,7 @@ def union_by_name(spark: SparkSession, sf: str) -> DataFrame:
     return own.unionByName(r.select(F.lit(None).cast("int").alias("n_nationkey"), F.col("r_name").alias("n_name"), "r_name"))
 
 
-CASE_ROWS = f"""cs AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY {S.hashed("'n9-feasibility-reservoir'", 'domain', 'source', 'id')}) % 3 = 0 AS no_evidence FROM vb)"""
+CASE_ROWS = f"""vn AS MATERIALIZED (SELECT *, {S.norm('gold[1]')} AS gn FROM vb), cs AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY {S.hashed("'n9-feasibility-reservoir'", 'domain', 'source', 'id')}) % 3 = 0 AS no_evidence FROM vn)"""
 
 
 def all_cases(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -307,8 +307,8 @@ def all_cases(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _filler_sql(keep: str = "") -> str:
-    return f"""fi AS (SELECT cs.id AS case_id, vb.id AS memory_id, {S.hashed("'filler'", 'cs.id', 'vb.source', 'vb.id')} AS ord FROM cs JOIN vb ON cs.domain = vb.domain AND cs.id <> vb.id {keep}),
-fl20 AS (SELECT case_id, memory_id, ord FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY ord) AS k FROM fi) WHERE k <= 20)"""
+    return f"""fi AS (SELECT cs.id AS case_id, vn.id AS memory_id, {S.hashed("'filler'", 'cs.id', 'vn.source', 'vn.id')} AS ord FROM cs JOIN vn ON cs.domain = vn.domain AND cs.id <> vn.id {keep}),
+fl20 AS MATERIALIZED (SELECT case_id, memory_id, ord FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY ord) AS k FROM fi) WHERE k <= 20)"""
 
 
 @query(f"WITH {BASES}, {CASE_ROWS}, {_filler_sql()} SELECT case_id, memory_id, ord FROM fl20")
@@ -317,8 +317,8 @@ def same_domain_fillers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 BETTER = f"""q9 AS (SELECT id, domain, unnest(list_distinct({S.tokens('query')})) AS t FROM cs), g9 AS (SELECT id AS decoy, domain, unnest(list_distinct({S.tokens('gold[1]')})) AS t FROM vb),
-c9 AS (SELECT id, decoy, count(*) AS c FROM q9 JOIN g9 USING (domain, t) GROUP BY ALL),
-b9 AS (SELECT id, min_by(decoy, {S.hashed("'decoy'", "'N9'", 'id', 'decoy')}) AS decoy FROM c9 LEFT JOIN (SELECT id, c AS own FROM c9 WHERE id = decoy) USING (id) WHERE id <> decoy AND c > coalesce(own, 0) GROUP BY id)"""
+c9 AS MATERIALIZED (SELECT id, decoy, count(*) AS c FROM q9 JOIN g9 USING (domain, t) GROUP BY ALL),
+b9 AS MATERIALIZED (SELECT id, min_by(decoy, {S.hashed("'decoy'", "'N9'", 'id', 'decoy')}) AS decoy FROM c9 LEFT JOIN (SELECT id, c AS own FROM c9 WHERE id = decoy) USING (id) WHERE id <> decoy AND c > coalesce(own, 0) GROUP BY id)"""
 
 
 @query(f"WITH {BASES}, {CASE_ROWS}, {BETTER} SELECT id, decoy FROM b9")
@@ -339,12 +339,11 @@ _FLAGGED = " UNION ALL ".join(f"SELECT id, '{f}' AS f FROM f2 {'JOIN nine USING
 
 
 @query(f"""WITH {TEXT_FLAGS}, {NINE}, {CASE_ROWS}, {BETTER},
-fam AS (SELECT id, min_by(f, {S.hashed("'family'", 'id', 'f')}) AS family FROM ({_FLAGGED}) GROUP BY id),
+fam AS MATERIALIZED (SELECT id, min_by(f, {S.hashed("'family'", 'id', 'f')}) AS family FROM ({_FLAGGED}) GROUP BY id),
 dy AS ({' UNION ALL '.join(map(_family_sql, FAMILY))} UNION ALL SELECT id, decoy FROM b9 WHERE id IN (SELECT id FROM fam WHERE family = 'n9')),
-pr AS (SELECT id, {S.norm('gold[1]')} AS g FROM vb),
-{_filler_sql(f"AND NOT (cs.no_evidence AND {S.norm('cs.gold[1]')} = {S.norm('vb.gold[1]')})")},
+{_filler_sql("AND NOT (cs.no_evidence AND cs.gn = vn.gn)")},
 al AS (SELECT id AS case_id, id AS memory_id, 0 AS priority, '' AS ord FROM cs WHERE NOT no_evidence
-  UNION ALL SELECT dy.id, dy.decoy, 1, '' FROM dy JOIN cs ON dy.id = cs.id JOIN pr a ON a.id = dy.id JOIN pr b ON b.id = dy.decoy WHERE NOT (cs.no_evidence AND a.g = b.g)
+  UNION ALL SELECT dy.id, dy.decoy, 1, '' FROM dy JOIN cs ON dy.id = cs.id JOIN vn b ON b.id = dy.decoy WHERE NOT (cs.no_evidence AND cs.gn = b.gn)
   UNION ALL SELECT case_id, memory_id, 3, ord FROM fl20),
 fo AS (SELECT case_id, memory_id, min(struct_pack(priority := priority, ord := ord)) AS at1 FROM al GROUP BY ALL)
 SELECT case_id, pos::INT AS pos, memory_id, priority::INT AS priority FROM (SELECT case_id, memory_id, at1.priority AS priority, row_number() OVER (PARTITION BY case_id ORDER BY at1.priority, at1.ord, memory_id) AS pos FROM fo) WHERE pos <= 20""")
