@@ -11,6 +11,7 @@ row for each part and a hot key never fills a task.
 from __future__ import annotations
 
 import math
+import re
 import struct
 import uuid
 from collections.abc import Callable, Iterator
@@ -236,8 +237,13 @@ def fresh(docs: DataFrame, name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset, one under the warehouse, which all executors share too."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    """The folder of spark.checkpoint.dir; where it is unset, one under the warehouse, in local mode only: a cluster's
+    executors needn't share the warehouse's default folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     return base.rstrip("/")
 
 

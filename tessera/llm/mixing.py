@@ -9,6 +9,7 @@ the doc_id decides, so the sample doesn't depend on partitions.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,6 +43,8 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
     """cells (source, lang, topic, tokens) with factor and keep, the probability; targets: shares by dimension and value.
 
     Values that a given target doesn't name get none of it, so their documents go. Without cells, no rows.
+    Targets that can't be met together (a named value without cells, for instance) don't converge: after SWEEPS
+    a warning tells the largest relative distance from a target, and the last factors hold.
     """
     now = cells.where("tokens > 0")
     for d in DIMENSIONS:
@@ -69,6 +72,8 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
         if worst is None or worst < TOLERANCE:
             break
         now = now.drop("off")
+    else:
+        warnings.warn(f"raking ended after {SWEEPS} sweeps at a relative distance of {worst:.3g} from its targets", stacklevel=2)
     top = now.agg(F.max("factor").alias("top"))
     return now.join(F.broadcast(top)).select(*DIMENSIONS, "tokens", "factor", F.coalesce(F.col("factor") / F.nullif("top", F.lit(0.0)), F.lit(0.0)).alias("keep"))
 

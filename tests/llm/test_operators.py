@@ -638,6 +638,13 @@ def test_raking_meets_the_targets(spark):
     assert max(x["keep"] for x in rows) == pytest.approx(1)
 
 
+def test_raking_tells_of_targets_out_of_reach(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SWEEPS", 2)
+    df = spark.createDataFrame([("a", "x", "t", 10), ("b", "y", "t", 30)], "source string, lang string, topic string, tokens long")
+    with pytest.warns(UserWarning, match="2 sweeps"):
+        assert mixing.rake(df, {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.1, "y": 0.9}}).count() == 2
+
+
 def test_mixing_rows(spark, docs):
     x = mixing.mixed(docs)
     rows = x.collect()
