@@ -96,6 +96,25 @@ DOMAINS = {
     "D1": ("prefer", "preference", "favorite", "favourite", "like", "dislike", "love", "hate", "hobby", "hobbies", "taste"),
 }
 
+#: Words of a preference's topic by domain, in the order of priority.
+TOPICS = {
+    "D3": ("schedule", "calendar", "appointment", "meeting", "reservation", "booking", "deadline"),
+    "D4": ("subscription", "banking", "bank", "insurance", "billing", "payment", "streaming", "internet service", "utility", "phone plan", "financial service"),
+    "D5": ("travel", "trip", "flight", "airline", "airport", "hotel", "vacation", "destination", "transportation", "rental car"),
+    "D6": ("technology", "tech", "device", "computer", "laptop", "phone", "smartphone", "tablet", "software", "app", "camera", "browser"),
+    "D7": ("project", "membership", "club", "organization", "community", "research", "certification", "volunteer", "initiative"),
+    "D2": ("work", "job", "career", "employer", "occupation", "professional", "education", "school", "college", "university", "study"),
+    "D8": ("routine", "exercise", "fitness", "workout", "sleep", "daily habit", "weekly habit", "practice", "wellness"),
+    "D1": ("preference", "favorite", "favourite", "food", "music", "hobby", "hobbies", "sport", "sports", "style", "taste"),
+}
+
+#: Services of dialogues by domain; a service's name up to its first underscore.
+SERVICES = {
+    "D3": ("Calendar", "Events"),
+    "D4": ("Banks", "Media", "Messaging", "Movies", "Music", "Payment", "Services"),
+    "D5": ("Buses", "Flights", "Hotels", "RentalCars", "Ridesharing", "Trains", "Travel"),
+}
+
 #: Thresholds by stage: section, metric and bound; a name's end says whether it is the least or the most.
 THRESHOLDS = {
     "ev_b": {

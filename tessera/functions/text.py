@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -88,10 +88,10 @@ def has_phrase(text: Column, phrase: str) -> Column:
     return text.contains(phrase) if " " in phrase else text.rlike(rf"(^|[^a-z0-9_]){phrase}([^a-z0-9_]|$)")
 
 
-def domain_of(text: Column | str, fallback: Column | str) -> Column:
-    """The first domain, by priority, of which text holds a phrase."""
+def domain_of(text: Column | str, fallback: Column | str, table: Mapping[str, Iterable[str]] = L.DOMAINS) -> Column:
+    """The first domain, by priority (the table's order), of which text holds a phrase."""
     n, out = norm(text), None
-    for domain, phrases in L.DOMAINS.items():
+    for domain, phrases in table.items():
         many = [p for p in phrases if " " in p]
         single = "|".join(p for p in phrases if " " not in p)
         hit = n.rlike(rf"(^|[^a-z0-9_])({single})([^a-z0-9_]|$)")

@@ -22,8 +22,8 @@ def boundaries(x: Column) -> Column:
     return F.length(x) - F.length(F.translate(x, ",;()", ""))
 
 
-def text_flags(base: DataFrame, temporal: Column | None = None, contradiction: Column | None = None, plain_source: Column | None = None) -> DataFrame:
-    """base with the flags that follow from its own texts."""
+def text_flags(base: DataFrame, temporal: Column | None = None, contradiction: Column | None = None, plain_source: Column | None = None, carried: Column | None = None) -> DataFrame:
+    """base with the flags that follow from its own texts; carried: questions that are fragments in any case."""
     no = F.lit(False)
     x = base.withColumns({"q": T.tokens("query"), "qn": T.norm("query"), "all": T.tokens(F.concat_ws(" ", "query", F.array_join("gold", " ")))})
     x = x.withColumns({"n6": F.coalesce(temporal, no) if temporal is not None else no, "n7": F.coalesce(contradiction, no) if contradiction is not None else no, "bounds": boundaries(F.col("query")), "ends": F.rtrim(F.regexp_replace("query", T.SPACES, " ")).endswith("?")})
@@ -33,6 +33,7 @@ def text_flags(base: DataFrame, temporal: Column | None = None, contradiction: C
         marked = marked | F.contains("qn", F.lit(m))
     first = F.get("q", F.lit(0))
     fragment = (F.size("q") <= 12) & (~F.col("ends") | F.coalesce(F.array_contains(T.words(L.COREFERENCE), first), no) | F.contains("query", F.lit("...")) | F.contains("query", F.lit("…")))
+    fragment = fragment | F.coalesce(carried, no) if carried is not None else fragment
     x = x.withColumns({"n2": (F.size("q") >= 18) | (F.col("bounds") >= 2) | marked, "n5": coref, "n8": F.arrays_overlap("all", T.words(L.MODALITY)), "n10": F.lit(True), "n11": fragment, "multi_clause": F.col("bounds") >= 2})
     plain = (plain_source if plain_source is not None else F.lit(True)) & (F.size("gold") == 1) & F.size("q").between(3, 30) & F.col("ends")
     for f in ("n2", "n5", "n6", "n7", "n8", "n11"):
