@@ -73,6 +73,20 @@ def decision_aggregates() -> dict[str, Column]:
     }
 
 
+#: Frame metrics: the primary family of the cases that count, and whether a gold text at rank 1 is what is counted.
+FRAMES = {"temporal_scope_accuracy": ("N6", True), "contradiction_handling_accuracy": ("N7", True), "discourse_contamination_rate": ("N2", False)}
+
+
+def frame_metrics(results: DataFrame) -> DataFrame:
+    """One row: shares of the answerable cases of a primary family (column family) with, or without, a gold text at rank 1; 0 for none."""
+    first = F.coalesce(F.col("first_rank") == 1, F.lit(False))
+    out = []
+    for name, (family, hit) in FRAMES.items():
+        asked = F.col("answerable") & (F.col("family") == family)
+        out.append(ratio(F.count_if(asked & (first if hit else ~first)), F.count_if(asked)).alias(name))
+    return results.agg(*out)
+
+
 def decision_metrics(results: DataFrame) -> DataFrame:
     return results.agg(*(v.alias(k) for k, v in decision_aggregates().items()))
 

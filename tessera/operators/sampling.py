@@ -113,10 +113,14 @@ def draw(cases: DataFrame, families: Mapping[str, int], sources: Mapping[str, in
 
 
 def stages(cases: DataFrame, plans: Sequence[tuple[str, Mapping[str, int], Mapping[str, int], Mapping[str, int]]]) -> list[DataFrame]:
-    """Samples of stages in order; a stage doesn't get what an earlier one has taken."""
+    """Samples of stages in order; a stage doesn't get what an earlier one has taken.
+
+    If cases have a column stress, ev_b takes the least stressed of a class first and ev_c the most stressed.
+    """
+    orders = {"ev_b": F.col("stress"), "ev_c": -F.col("stress")} if "stress" in cases.columns else {}
     out: list[DataFrame] = []
     for name, families, sources, domains in plans:
-        got = draw(cases, families, sources, domains, name)
+        got = draw(cases, families, sources, domains, name, orders.get(name))
         if got is None:
             raise ValueError(f"the quotas of {name} can't be met")
         out.append(got)

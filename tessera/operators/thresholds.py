@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,15 +25,20 @@ def check(measured: DataFrame, limits: DataFrame) -> DataFrame:
     return limits.join(measured, "metric").select("stage", "metric", "measured", "bound", ok.alias("passed"))
 
 
-def unpivoted(one: DataFrame) -> DataFrame:
-    """The single row of decision metrics as (metric, measured)."""
-    return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(c).cast("double").alias("measured")) for n, c in NAMES.items()))).alias("m")).select("m.*")
+def unpivoted(one: DataFrame, names: Mapping[str, str] = NAMES) -> DataFrame:
+    """A single row of metrics as (metric, measured)."""
+    return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(c).cast("double").alias("measured")) for n, c in names.items()))).alias("m")).select("m.*")
 
 
 def aggregate_checks(one: DataFrame) -> DataFrame:
     return check(unpivoted(one), bounds(one.sparkSession))
 
 
+def frame_checks(one: DataFrame) -> DataFrame:
+    """Frame metrics, one row, against the bounds of the stages that have any."""
+    return check(unpivoted(one, {c: c for c in one.columns}), bounds(one.sparkSession, "frame"))
+
+
 def structural_checks(groups: DataFrame, stage: str = "ev_b") -> DataFrame:
     """(value, decision_accuracy, bound, passed) of the family axis: its own floor, or the catastrophic one."""
     floors = L.THRESHOLDS[stage]["structural"]
@@ -48,6 +55,37 @@ def anti_collapse(one: DataFrame, groups: DataFrame) -> DataFrame:
     return x.select(F.col("p").alias("retrieval_share"), (F.col("p") >= 1 - 1e-12).alias("universal_retrieval"), (F.col("p") <= 1e-12).alias("universal_abstention"), single.alias("single_class_collapse"), "domains_below", (~single & (F.size("domains_below") == 0)).alias("passed"))
 
 
+def guardrail_checks(left: DataFrame, right: DataFrame, limits: Mapping[str, tuple[str, float]]) -> DataFrame:
+    """(metric, difference, bound, passed): right minus left, a row of decision metrics each, against ('min' or 'max', bound)."""
+    rows = [(m, kind == "min", float(b)) for m, (kind, b) in limits.items()]
+    names = {m: m for m in limits}
+    both = unpivoted(left, names).join(unpivoted(right, names).withColumnRenamed("measured", "then"), "metric").join(F.broadcast(left.sparkSession.createDataFrame(rows, "metric string, least boolean, bound double")), "metric")
+    off = F.round(F.col("then") - F.col("measured"), 9)
+    return both.select("metric", off.alias("difference"), "bound", F.when(F.col("least"), off >= F.col("bound")).otherwise(off <= F.col("bound")).alias("passed"))
+
+
+def stress_dimensions(measured: DataFrame, reserve: int = 100, saturated: float = 0.98, gain: float = 0.01) -> DataFrame:
+    """measured (dimension, before, after, reserve) with kind and passed: too few cases, saturated, or to gain by at least ``gain``."""
+    few, full = F.col("reserve") < reserve, F.col("before") > saturated
+    kind = F.when(few, "insufficient_reserve_not_testable").when(full, "saturated_not_testable").otherwise("testable")
+    ok = F.when(few, True).when(full, F.col("after") + 1e-12 >= F.col("before")).otherwise(F.col("after") - F.col("before") >= gain - 1e-12)
+    return measured.withColumns({"kind": kind, "passed": ok})
+
+
+def stress_passes(dimensions: DataFrame, least: int = 4) -> DataFrame:
+    """One row: how many dimensions are testable, and whether they suffice and none fails."""
+    n = F.count_if(F.col("kind") == "testable")
+    return dimensions.agg(n.alias("testable"), (F.coalesce(F.bool_and("passed"), F.lit(True)) & (n >= least)).alias("passed"))
+
+
+def stage_decisions(checks: DataFrame, integrity: DataFrame, collapse: DataFrame) -> DataFrame:
+    """(stage, integrity, collapse, performance, decision) of checks (stage, passed) and two tables of one row with passed."""
+    x = checks.groupBy("stage").agg(F.bool_and("passed").alias("performance"))
+    x = x.join(F.broadcast(integrity.select(F.col("passed").alias("integrity")))).join(F.broadcast(collapse.select(F.col("passed").alias("collapse"))))  # one row each
+    label = F.when(~F.col("integrity"), "INVALID").when(~F.col("collapse"), "FAIL_COLLAPSE").when(F.col("performance"), "PASS").otherwise("FAIL_PERFORMANCE")
+    return x.select("stage", "integrity", "collapse", "performance", label.alias("decision"))
+
+
 def decide(integrity: bool, collapse: bool, performance: bool) -> str:
     """The label of a stage: integrity first, then collapse, then performance."""
     if not integrity:

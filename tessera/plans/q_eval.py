@@ -12,10 +12,11 @@ from tessera.operators import gate as G
 from tessera.operators import metrics as M
 from tessera.operators import rankers as R
 from tessera.operators import thresholds as X
+from tessera.operators.flags import boundaries
 from tessera.plans import sql_parts as S
 from tessera.plans.cases import adversarial_cases, adversarial_sql, conversation_cases
 from tessera.plans.q_rank import BM25, V2, V2_SCORE, _scored, benchmark_hits
-from tessera.plans.registry import query, table
+from tessera.plans.registry import SQL, query, table
 
 GOLD = f"""ig AS (SELECT item_id, unnest(list_distinct({S.grams('k')})) AS g FROM (SELECT item_id, {S.audit('text')} AS k FROM benchmark)), dg AS (SELECT doc_id, unnest(list_distinct({S.grams('k')})) AS g FROM (SELECT doc_id, {S.audit('text')} AS k FROM documents)),
 gold AS (SELECT item_id, doc_id, count(*)::DOUBLE / n AS coverage FROM ig JOIN dg USING (g) JOIN (SELECT item_id, count(*) AS n FROM ig GROUP BY item_id) USING (item_id) GROUP BY item_id, doc_id, n HAVING count(*)::DOUBLE / n >= {A.COVERAGE})"""
@@ -160,6 +161,99 @@ def anti_collapse(spark: SparkSession, sf: str) -> DataFrame:
     return X.anti_collapse(M.decision_metrics(r), M.breakdown(r, "lang")).withColumn("retrieval_share", F.round("retrieval_share", 6))
 
 
+# Primary families of the items: by clauses and digits of their texts.
+FAMILY = """CASE WHEN length(text) - length(translate(text, ',;()', '')) >= 2 THEN 'N2' WHEN regexp_matches(text, '[0-9]') THEN 'N6' ELSE 'N7' END"""
+FRAMED = f"{PC}, pf AS (SELECT pc.* REPLACE (b.f AS family) FROM pc JOIN (SELECT item_id, {FAMILY} AS f FROM benchmark) b USING (item_id))"
+_FIRST = {True: "coalesce(first_rank = 1, false)", False: "NOT coalesce(first_rank = 1, false)"}
+FRAME = ", ".join(f"count(*) FILTER (answerable AND family = '{f}' AND {_FIRST[hit]}) / greatest(1, count(*) FILTER (answerable AND family = '{f}'))::DOUBLE AS {name}" for name, (f, hit) in M.FRAMES.items())
+
+
+def framed(spark: SparkSession, sf: str) -> DataFrame:
+    family = F.when(boundaries(F.col("text")) >= 2, "N2").when(F.col("text").rlike("[0-9]"), "N6").otherwise("N7")
+    return results(spark, sf).drop("family").join(table(spark, sf, "benchmark").select(F.col("item_id").alias("case_id"), family.alias("family")), "case_id")
+
+
+@query(f"WITH {FRAMED}, fm AS (SELECT {FRAME} FROM pf) SELECT {', '.join(f'round({m}, 6) AS {m}' for m in M.FRAMES)} FROM fm")
+def frame_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return M.frame_metrics(framed(spark, sf)).select(*(F.round(m, 6).alias(m) for m in M.FRAMES))
+
+
+_BOUNDS = ", ".join(f"('{k[:-4]}', {k.endswith('_min')}, {v}::DOUBLE)" for k, v in L.THRESHOLDS["ev_b"]["frame"].items())
+FRAME_CHECKS = f"""SELECT 'ev_b' AS stage, metric, round(measured, 6) AS measured, bound, CASE WHEN least THEN measured >= bound ELSE measured <= bound END AS passed
+FROM (SELECT unnest([{', '.join(f"'{m}'" for m in M.FRAMES)}]) AS metric, unnest([{', '.join(M.FRAMES)}]) AS measured FROM (SELECT {FRAME} FROM pf)) m JOIN (VALUES {_BOUNDS}) t(metric, least, bound) USING (metric)"""
+
+
+@query(f"WITH {FRAMED} {FRAME_CHECKS}")
+def frame_checks(spark: SparkSession, sf: str) -> DataFrame:
+    return X.frame_checks(M.frame_metrics(framed(spark, sf))).withColumn("measured", F.round("measured", 6))
+
+
+_FLOORS = ", ".join(f"('ev_b', '{f}', {v}::DOUBLE)" for f, v in L.THRESHOLDS["ev_b"]["structural"].items()) + "".join(f", ('ev_c', '{f}', {L.CATASTROPHIC}::DOUBLE)" for f in L.THRESHOLDS["ev_b"]["structural"])
+FLOOR_CHECKS = f"""SELECT stage, family AS value, round(acc, 6) AS decision_accuracy, bound, acc >= bound AS passed
+FROM (SELECT family, (hit_1 * answerable + (1 - false_retrieval) * no_evidence) / n AS acc FROM (SELECT family, {DECISIONS} FROM pf GROUP BY family)) JOIN (VALUES {_FLOORS}) t(stage, family, bound) USING (family)"""
+
+
+def _floors(rows: DataFrame) -> DataFrame:
+    groups = M.breakdown(rows, "family")
+    by = [X.structural_checks(groups, s).withColumn("stage", F.lit(s)) for s in L.THRESHOLDS]
+    return by[0].unionByName(by[1])
+
+
+@query(f"WITH {FRAMED} {FLOOR_CHECKS}")
+def structural_floors(spark: SparkSession, sf: str) -> DataFrame:
+    return _floors(framed(spark, sf)).select("stage", "value", F.round("decision_accuracy", 6).alias("decision_accuracy"), "bound", "passed")
+
+
+@query(f"""WITH {FRAMED}, ck AS (SELECT stage, passed FROM ({SQL['threshold_checks']}) UNION ALL SELECT stage, passed FROM ({FRAME_CHECKS}) UNION ALL SELECT stage, passed FROM ({FLOOR_CHECKS})),
+g AS (SELECT NOT EXISTS (SELECT 1 FROM r WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS integrity, (SELECT passed FROM ({SQL['anti_collapse']})) AS collapse), st AS (SELECT stage, bool_and(passed) AS performance FROM ck GROUP BY stage)
+SELECT stage, integrity, collapse, performance, CASE WHEN NOT integrity THEN 'INVALID' WHEN NOT collapse THEN 'FAIL_COLLAPSE' WHEN performance THEN 'PASS' ELSE 'FAIL_PERFORMANCE' END AS decision FROM st, g""")
+def stage_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Integrity: no result comes from outside the documents."""
+    rows = framed(spark, sf)
+    one = M.decision_metrics(rows)
+    checks = [X.aggregate_checks(one), X.frame_checks(M.frame_metrics(rows)), _floors(rows)]
+    outside = benchmark_hits(spark, sf).join(table(spark, sf, "documents").select("doc_id"), "doc_id", "left_anti").agg((F.count("*") == 0).alias("passed"))
+    passed = [c.select("stage", "passed") for c in checks]
+    return X.stage_decisions(passed[0].unionByName(passed[1]).unionByName(passed[2]), outside, X.anti_collapse(one, M.breakdown(rows, "lang")))
+
+
+# The smallest or largest difference that a deeper ranking may make to a metric.
+LIMITS = {"answerable_recall": ("min", 0.01), "hit_1": ("min", 0.0), "false_retrieval": ("max", 0.0), "abstention_correct": ("min", 0.05)}
+
+
+@query(f"""WITH {BM25}, {GOLD}, {_results('a', 'r', 1)}, {_results('b', 'r', 5)}, da AS (SELECT {DECISIONS} FROM a), db AS (SELECT {DECISIONS} FROM b),
+gd AS ({' UNION ALL '.join(f"SELECT '{m}' AS metric, round(db.{m} - da.{m}, 9) AS difference, {b}::DOUBLE AS bound, {kind == 'min'} AS least FROM da, db" for m, (kind, b) in LIMITS.items())})
+SELECT metric, round(difference, 6) AS difference, bound, CASE WHEN least THEN difference >= bound ELSE difference <= bound END AS passed FROM gd""")
+def guardrail_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """BM25 cut at depth 5 against depth 1."""
+    hits = benchmark_hits(spark, sf).select(F.col("item_id").alias("case_id"), "rank", F.col("doc_id").alias("id"))
+    cases = table(spark, sf, "benchmark").select(F.col("item_id").alias("case_id"))
+    gold = judged(spark, sf).select(F.col("item_id").alias("case_id"), F.col("doc_id").alias("id"))
+    one, five = (M.decision_metrics(M.per_case(cases, h, gold)) for h in (hits.where("rank = 1"), hits))
+    return X.guardrail_checks(one, five, LIMITS).withColumn("difference", F.round("difference", 6))
+
+
+STRESS = """ms AS (SELECT lang AS dimension, avg((quality = 1)::INT) AS before, avg((toxic = 0)::INT) AS after, count(*) AS reserve FROM labels JOIN documents USING (doc_id) GROUP BY lang),
+sd AS (SELECT *, CASE WHEN reserve < 100 THEN 'insufficient_reserve_not_testable' WHEN before > 0.98 THEN 'saturated_not_testable' ELSE 'testable' END AS kind,
+CASE WHEN reserve < 100 THEN true WHEN before > 0.98 THEN after + 1e-12 >= before ELSE after - before >= 0.01 - 1e-12 END AS passed FROM ms)"""
+
+
+def _dimensions(spark: SparkSession, sf: str) -> DataFrame:
+    """Languages as dimensions: the share of good documents before, of harmless ones after."""
+    x = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", F.col("lang").alias("dimension")), "doc_id")
+    return X.stress_dimensions(x.groupBy("dimension").agg(F.avg((F.col("quality") == 1).cast("int")).alias("before"), F.avg((F.col("toxic") == 0).cast("int")).alias("after"), F.count("*").alias("reserve")))
+
+
+@query(f"WITH {STRESS} SELECT dimension, round(before, 6) AS before, round(after, 6) AS after, reserve, kind, passed FROM sd")
+def stress_dimensions(spark: SparkSession, sf: str) -> DataFrame:
+    return _dimensions(spark, sf).withColumns({"before": F.round("before", 6), "after": F.round("after", 6)})
+
+
+@query(f"WITH {STRESS} SELECT count(*) FILTER (kind = 'testable') AS testable, coalesce(bool_and(passed), true) AND count(*) FILTER (kind = 'testable') >= 4 AS passed FROM sd")
+def stress_gate(spark: SparkSession, sf: str) -> DataFrame:
+    return X.stress_passes(_dimensions(spark, sf))
+
+
 AUD = f"""h AS (SELECT text FROM benchmark), hg AS (SELECT DISTINCT unnest({S.grams('k')}) AS g FROM (SELECT {S.audit('text')} AS k FROM h)), own AS (SELECT doc_id, unnest({S.grams('k')}) AS g FROM (SELECT doc_id, {S.audit('text')} AS k FROM documents)),
 cv AS (SELECT doc_id, count(*) AS n, count(hg.g)::DOUBLE / count(*) AS coverage FROM own LEFT JOIN hg USING (g) GROUP BY doc_id),
 fl AS (SELECT doc_id, trim(text) <> '' AND trim(text) IN (SELECT trim(text) FROM h) AS exact, {S.norm('text')} <> '' AND {S.norm('text')} IN (SELECT {S.norm('text')} FROM h) AS normalised, coalesce(coverage, 0) AS coverage,

@@ -197,6 +197,7 @@ def united(*bases: DataFrame) -> DataFrame:
 
 
 def flagged(bases: DataFrame) -> DataFrame:
-    """All structural flags, with those that a corpus states."""
+    """All structural flags, with those that a corpus states; other relations and repeats of a subject count in preferences alone."""
     x = flags.all_flags(bases, temporal=F.col("temporal"), contradiction=F.col("contradiction"), carried=F.col("carried"), plain_source=F.col("source") != "sgd-carryover")
-    return x.withColumn("n4", F.col("n4") | F.col("several"))
+    people = F.col("source") == "personamem-v2"
+    return x.withColumns({"n4": F.col("several") | (people & F.col("n4")), "n12": people & F.col("n12")})
