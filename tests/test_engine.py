@@ -72,6 +72,13 @@ def test_stratified_sample(spark):
     assert len({r["id"] for r in two}) == len(two)
 
 
+def test_order_of_a_stage_follows_stress(spark):
+    cases = spark.createDataFrame([(f"c{k}", "s", "d", True, k) for k in range(9)], "id string, source string, domain string, n10 boolean, stress int")
+    quota = ({"n10": 3}, {"s": 3}, {"d": 3})
+    got = sampling.stages(cases, [(name, *quota) for name in ("ev_b", "ev_c", "ev_a")])
+    assert [sorted(r["id"] for r in g.collect()) for g in got] == [["c0", "c1", "c2"], ["c6", "c7", "c8"], ["c3", "c4", "c5"]]
+
+
 def test_stress_gate_and_decisions():
     g = sampling.stress_gate({"a": 0.5, "b": 0.99, "c": 0.2}, {"a": 0.6, "b": 0.99, "c": 0.2}, {"a": 500, "b": 500, "c": 5}, 1)
     assert g["pass"] and g["dimensions"]["c"][0].startswith("insufficient")
