@@ -15,6 +15,7 @@ from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.quality import classify
 from tessera.llm.sharding import SHARDS, SLOTS, assign_shards, fill_table
 from tessera.llm.substring_dedup import dedup_substrings
+from tessera.llm.token_alignment import alignment_digests
 from tessera.llm.token_packing import pack_tokens
 from tessera.llm.topk_search import top_k
 
@@ -68,6 +69,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *(F.col(f"mix_{d}").alias(d) for d in DIMENSIONS), F.col("mix_tokens").alias("tokens"), F.round("mix_keep", 6).alias("keep"), F.col("mix_kept").alias("kept"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_digests(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_lm_score, op3_decontamination, op4_topk_search, op5_substring_dedup, op6_near_dedup, op7_line_dedup, op8_token_packing, op9_quality, op10_mixing, pipeline)}
+    return {f.__name__: f for f in (op1_sharding, op2_lm_score, op3_decontamination, op4_topk_search, op5_substring_dedup, op6_near_dedup, op7_line_dedup, op8_token_packing, op9_quality, op10_mixing, op13_token_alignment, pipeline)}
 
 
 OP1_SQL = f"""
