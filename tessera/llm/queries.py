@@ -13,6 +13,7 @@ from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.lm_score import score_documents
 from tessera.llm.mixing import DIMENSIONS, TEMPER, mixed
 from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.phrases import collocations
 from tessera.llm.quality import classify
 from tessera.llm.sharding import SHARDS, SLOTS, assign_shards, fill_table
 from tessera.llm.substring_dedup import dedup_substrings
@@ -70,6 +71,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *(F.col(f"mix_{d}").alias(d) for d in DIMENSIONS), F.col("mix_tokens").alias("tokens"), F.round("mix_keep", 6).alias("keep"), F.col("mix_kept").alias("kept"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(with_hostile(table(spark, sf_dir, "conversations"))))
 
@@ -85,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_lm_score, op3_decontamination, op4_topk_search, op5_substring_dedup, op6_near_dedup, op7_line_dedup, op8_token_packing, op9_quality, op10_mixing, op12_chat_format, op13_token_alignment, pipeline)}
+    return {f.__name__: f for f in (op1_sharding, op2_lm_score, op3_decontamination, op4_topk_search, op5_substring_dedup, op6_near_dedup, op7_line_dedup, op8_token_packing, op9_quality, op10_mixing, op11_phrases, op12_chat_format, op13_token_alignment, pipeline)}
 
 
 OP1_SQL = f"""
@@ -187,6 +192,36 @@ FROM s JOIN (SELECT node, min(seen) AS m FROM r GROUP BY node) c ON s.doc_id = c
 """
 
 
+OP11_SQL = r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), p AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t
+), one AS (
+  SELECT lang, x, count(*)::HUGEINT AS f FROM (SELECT lang, unnest(w) AS x FROM p) GROUP BY ALL
+), two AS (
+  SELECT lang, g[1] AS x, g[2] AS y, count(*)::HUGEINT AS f FROM (SELECT lang, unnest([[w[i], w[i + 1]] for i in range(1, len(w))]) AS g FROM p) GROUP BY ALL HAVING count(*) >= 10
+), three AS (
+  SELECT lang, g[1] AS x, g[2] AS y, g[3] AS z, count(*)::HUGEINT AS f FROM (SELECT lang, unnest([[w[i], w[i + 1], w[i + 2]] for i in range(1, len(w) - 1)]) AS g FROM p) GROUP BY ALL HAVING count(*) >= 10
+), around AS (
+  SELECT lang, x, y, max(f) AS f FROM (SELECT lang, x, y, f FROM three UNION ALL SELECT lang, y, z, f FROM three) GROUP BY ALL
+), c AS (
+  SELECT two.lang, two.x || ' ' || two.y AS phrase, two.f AS a, l.f AS l, r.f AS r
+  FROM two JOIN one l ON l.lang = two.lang AND l.x = two.x JOIN one r ON r.lang = two.lang AND r.x = two.y
+  LEFT JOIN around ON around.lang = two.lang AND around.x = two.x AND around.y = two.y
+  WHERE around.f IS NULL OR 100 * around.f < 50 * two.f
+  UNION ALL
+  SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END FROM (
+    SELECT *, 1000000 * a * a // (l1 * r1) AS s1, 1000000 * a * a // (l2 * r2) AS s2 FROM (
+      SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z AS phrase, t.f AS a, l1.f AS l1, r1.f AS r1, l2.f AS l2, r2.f AS r2
+      FROM three t JOIN one l1 ON l1.lang = t.lang AND l1.x = t.x JOIN two r1 ON r1.lang = t.lang AND r1.x = t.y AND r1.y = t.z
+      JOIN two l2 ON l2.lang = t.lang AND l2.x = t.x AND l2.y = t.y JOIN one r2 ON r2.lang = t.lang AND r2.x = t.z))
+), n AS (SELECT lang, sum(f)::BIGINT AS n FROM one GROUP BY lang
+), s AS (SELECT *, 1000000 * a * a // (l * r) AS score FROM c
+), k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM s)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM k JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 OP12_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r, text AS t FROM conversations
@@ -202,4 +237,4 @@ FROM c GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": OP1_SQL, "op10_mixing": OP10_SQL, "op12_chat_format": OP12_SQL, "op3_decontamination": OP3_SQL, "op4_topk_search": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op6_near_dedup": OP6_SQL}
+    return {"op1_sharding": OP1_SQL, "op10_mixing": OP10_SQL, "op11_phrases": OP11_SQL, "op12_chat_format": OP12_SQL, "op3_decontamination": OP3_SQL, "op4_topk_search": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op6_near_dedup": OP6_SQL}

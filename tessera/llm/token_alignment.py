@@ -18,6 +18,7 @@ higher-order functions and DataFrames:
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
@@ -34,9 +35,11 @@ TOKENIZER_B = "/opt/tokenizers/piece_bpe_32k.model"
 #: Tokens of both sides after which a new segment begins at the next word.
 SEGMENT = 1 << 16
 #: Words that a worker process remembers.
-WORDS = 600_000
+WORDS = 300_000
 #: Bytes of text whose documents share a row.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
+#: Characters of new words that are tokenised in one run.
+RUN = 1 << 18
 #: Pairs of one group beyond which its ids are counted before they are paired.
 DENSE = 64
 #: Rows of the table of id pairs up to which it is broadcast: about 100 MB in an executor.
@@ -117,21 +120,26 @@ class Words:
     def learn(self, new: list[str]) -> None:
         """Numbers for new words; those that begin and end without white space are tokenised in one run, as their texts are."""
         plain = [w for w in new if w and not (w[0].isspace() or w[-1].isspace())]
-        whole = next(self.both.encode([" ".join(plain)])) if plain else None
-        if whole is None:
-            plain = []
-        else:
-            ends = np.cumsum([1 + len(w.encode()) for w in plain])
-            for pool, ids, size in zip((self.a, self.b), whole, (self.both.a_len, self.both.b_len), strict=True):
-                x = np.array(ids, np.int32)
-                pool.add(x, np.diff(np.searchsorted(np.cumsum(size[x], dtype=np.int64), ends) + 1, prepend=0))
-            self.known.update(zip(plain, range(self.a.words - len(plain), self.a.words), strict=True))
+        sizes = np.cumsum([len(w) for w in plain]) // RUN
+        cuts = [*np.flatnonzero(np.diff(sizes, prepend=-1)).tolist(), len(plain)]
+        for i, j in itertools.pairwise(cuts):
+            self.learn_run(plain[i:j])
         rest = [w for w in new if w not in self.known]
         for w, x in zip(rest, self.both.encode(rest), strict=True):
             self.known[w] = self.a.words if x else -1
             for pool, ids in zip((self.a, self.b), x or (), strict=False):
                 pool.add(np.array(ids, np.int32), np.array([len(ids)]))
 
+    def learn_run(self, plain: list[str]) -> None:
+        whole = next(self.both.encode([" ".join(plain)]))
+        if whole is None:
+            return
+        ends = np.cumsum([1 + len(w.encode()) for w in plain])
+        for pool, ids, size in zip((self.a, self.b), whole, (self.both.a_len, self.both.b_len), strict=True):
+            x = np.array(ids, np.int32)
+            pool.add(x, np.diff(np.searchsorted(np.cumsum(size[x], dtype=np.int64), ends) + 1, prepend=0))
+        self.known.update(zip(plain, range(self.a.words - len(plain), self.a.words), strict=True))
+
     def numbers(self, texts: list[str]) -> list[np.ndarray | None]:
         """The words of each text; none if one of them doesn't come back as it was."""
         if self.clear:
