@@ -5,11 +5,11 @@ higher-order functions and DataFrames:
 
 1. Texts are cut into words where a single space stands between two others than white space. Tokens of both
    tokenizers begin there, so a text's tokens are those of its words in a row. A few megabytes of documents are one
-   row: their different words, in segments of a bounded number of tokens, each with the ids of both tokenizers (A and B)
-   and the byte offsets at which their tokens end, and each document as numbers of its words.
-2. array_intersect of the two arrays of ends gives the cuts of a segment. A cut's place among the ends
-   follows from the sorted union of both: of the j-th number that stands there twice, at place k, it is k - j.
-   transform and sequence make groups of ids from the places.
+   row: their different words, each with the ids of both tokenizers (A and B) and the byte offsets at which their
+   tokens end, and each document as numbers of its words.
+2. array_intersect of the two arrays of ends gives the cuts of a word. transform and sequence make groups of ids from
+   the cuts' places among the ends. In a long word a cut's place follows from the sorted union of both arrays: of the
+   j-th number that stands there twice, at place k, it is k - j. Where both arrays are equal every end is a cut.
 3. The links of a group are all pairs of an A and a B token of it. A group with many pairs counts the different ids
    of either side first, by runs in a sorted array, and multiplies. A document's groups and links are those of its words.
 4. Documents are counted by id pair, each A id's highest count is found, and both come back to the documents by a
@@ -19,7 +19,6 @@ higher-order functions and DataFrames:
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,25 +31,32 @@ from tessera.llm import _text as T
 
 TOKENIZER_A = "/opt/tokenizers/byte_bpe_50k.json"
 TOKENIZER_B = "/opt/tokenizers/piece_bpe_32k.model"
-#: Tokens of both sides after which a new segment begins at the next word.
-SEGMENT = 1 << 16
-#: Words that a worker process remembers.
-WORDS = 300_000
+#: Words that a worker process remembers, by 64-bit fingerprints.
+WORDS = 600_000
 #: Bytes of text whose documents share a row.
-BLOCK = 2 << 20
+BLOCK = 5 << 20
 #: Characters of new words that are tokenised in one run.
 RUN = 1 << 18
+#: Tokens of either side up to which a cut is looked for from the first end on.
+SHORT = 64
 #: Pairs of one group beyond which its ids are counted before they are paired.
 DENSE = 64
 #: Rows of the table of id pairs up to which it is broadcast: about 100 MB in an executor.
 PAIRS = 1_000_000
 
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_COLUMNS = ("a_ids", "a_ends", "b_ids", "b_ends", "word_ends")
-_BLOCK = f"docs array<struct<doc_id:long,n_a:long,n_b:long,words:array<int>>>, segments array<struct<{','.join(f'{c}:array<int>' for c in _COLUMNS)}>>"
+# Bytes that begin or end a character that is no white space. Those of some characters are left out, as they can also be white
+# space's: a space beside them cuts nothing, which only makes longer words.
+_BEGINS = np.zeros(256, bool)
+_BEGINS[[*range(0x21, 0x7F), *range(0xC3, 0xE0)]] = True
+_ENDS = np.zeros(256, bool)
+_ENDS[0x21:0x7F] = True
+_TWO = np.zeros(256, bool)
+_TWO[0xC3:0xE0] = True
+_COLUMNS = ("a_ids", "a_ends", "b_ids", "b_ends")
+_BLOCK = f"docs array<struct<doc_id:long,n_a:long,n_b:long,words:array<int>>>, words array<struct<{','.join(f'{c}:array<int>' for c in _COLUMNS)}>>"
 _INTS = pa.list_(pa.int32())
 _DOCS = pa.list_(pa.struct([("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("words", _INTS)]))
-_SEGMENTS = pa.list_(pa.struct([(c, _INTS) for c in _COLUMNS]))
+_WORDS = pa.list_(pa.struct([(c, _INTS) for c in _COLUMNS]))
 
 
 def byte_table() -> dict[str, int]:
@@ -111,46 +117,73 @@ class _Pool:
         return self.ids[np.repeat(self.first[words] - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
+def word_cuts(buf: np.ndarray) -> np.ndarray:
+    """Single spaces between two others than white space."""
+    at = np.flatnonzero(buf == 0x20)
+    at = at[(at > 1) & (at < len(buf) - 1)]
+    before = buf[at - 1]
+    return at[_BEGINS[buf[at + 1]] & (_ENDS[before] | ((before >= 0x80) & _TWO[buf[at - 2]]))]
+
+
 class Words:
-    """Words that were tokenised, each with a number."""
+    """Words that were tokenised, each with a number, or -1 if it doesn't come back as it was."""
 
     def __init__(self, both: Tokenizers):
         self.both, self.clear = both, True
 
-    def learn(self, new: list[str]) -> None:
-        """Numbers for new words; those that begin and end without white space are tokenised in one run, as their texts are."""
-        plain = [w for w in new if w and not (w[0].isspace() or w[-1].isspace())]
-        sizes = np.cumsum([len(w) for w in plain]) // RUN
+    def learn(self, new: list[str]) -> np.ndarray:
+        """Numbers for new words; those that begin and end without white space are tokenised in runs, as their texts are."""
+        out = np.full(len(new), -1, np.int64)
+        plain = [k for k, w in enumerate(new) if not (w[0].isspace() or w[-1].isspace())]
+        sizes = np.cumsum([len(new[k]) for k in plain]) // RUN
         cuts = [*np.flatnonzero(np.diff(sizes, prepend=-1)).tolist(), len(plain)]
         for i, j in itertools.pairwise(cuts):
-            self.learn_run(plain[i:j])
-        rest = [w for w in new if w not in self.known]
-        for w, x in zip(rest, self.both.encode(rest), strict=True):
-            self.known[w] = self.a.words if x else -1
-            for pool, ids in zip((self.a, self.b), x or (), strict=False):
-                pool.add(np.array(ids, np.int32), np.array([len(ids)]))
-
-    def learn_run(self, plain: list[str]) -> None:
-        whole = next(self.both.encode([" ".join(plain)]))
+            self.learn_run(new, plain[i:j], out)
+        rest = np.flatnonzero(out < 0).tolist()
+        for k, x in zip(rest, self.both.encode([new[k] for k in rest]), strict=True):
+            if x:
+                out[k] = self.a.words
+                for pool, ids in zip((self.a, self.b), x, strict=True):
+                    pool.add(np.array(ids, np.int32), np.array([len(ids)]))
+        return out
+
+    def learn_run(self, new: list[str], run: list[int], out: np.ndarray) -> None:
+        whole = next(self.both.encode([" ".join([new[k] for k in run])]))
         if whole is None:
             return
-        ends = np.cumsum([1 + len(w.encode()) for w in plain])
+        out[run] = np.arange(self.a.words, self.a.words + len(run))
+        ends = np.cumsum([1 + len(new[k].encode()) for k in run])
         for pool, ids, size in zip((self.a, self.b), whole, (self.both.a_len, self.both.b_len), strict=True):
             x = np.array(ids, np.int32)
             pool.add(x, np.diff(np.searchsorted(np.cumsum(size[x], dtype=np.int64), ends) + 1, prepend=0))
-        self.known.update(zip(plain, range(self.a.words - len(plain), self.a.words), strict=True))
 
-    def numbers(self, texts: list[str]) -> list[np.ndarray | None]:
+    def numbers(self, texts: list[bytes]) -> list[np.ndarray]:
         """The words of each text; none if one of them doesn't come back as it was."""
         if self.clear:
-            self.known, self.a, self.b, self.clear = {}, _Pool(), _Pool(), False
-        cut = [_CUT.split(t) for t in texts]
-        new = list({w: None for words in cut for w in words if w not in self.known})
-        if new:
-            self.learn(new)
+            self.a, self.b, self.clear = _Pool(), _Pool(), False
+            self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        full = [t for t in texts if t]
+        if not full:
+            return [none] * len(texts)
+        buf = np.frombuffer(b"\n".join(full), np.uint8)
+        last = np.cumsum([len(t) + 1 for t in full]) - 1
+        cuts = word_cuts(buf)
+        ends = np.sort(np.concatenate([cuts, last]))
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        words, first, at = np.unique(T.word_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.known, words)
+        new = np.ones(len(words), bool)
+        near = place < len(self.known)
+        new[near] = self.known[place[near]] != words[near]
+        if new.any():
+            got = self.learn([buf[i:j].tobytes().decode() for i, j in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            self.known, self.number = np.insert(self.known, place[new], words[new]), np.insert(self.number, place[new], got)
         self.clear = len(self.known) > WORDS
-        out = [np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)) for words in cut]
-        return [x if x.min() >= 0 else None for x in out]
+        of = self.number[np.searchsorted(self.known, words)][at]
+        each = iter(np.split(of, np.searchsorted(ends, last)[:-1] + 1))
+        got = [next(each) if t else none for t in texts]
+        return [x if len(x) and x.min() >= 0 else none for x in got]
 
 
 def _lists(values: np.ndarray, firsts: np.ndarray) -> pa.Array:
@@ -162,53 +195,44 @@ def _one(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def _block(words: Words, ids: pa.Array, rows: list[np.ndarray], segment: int) -> pa.RecordBatch:
-    """Documents as numbers of their different words, and these words' tokens in segments."""
+def _block(words: Words, ids: pa.Array, rows: list[np.ndarray]) -> pa.RecordBatch:
+    """Documents as numbers of their different words, and these words' tokens."""
     known, at = np.unique(np.concatenate([*rows, np.zeros(0, np.int64)]), return_inverse=True)
     first = np.cumsum([0, *map(len, rows)])
-    n_a, n_b = words.a.counts(known), words.b.counts(known)
-    of_docs = [np.diff(np.append(0, np.cumsum(n[at]))[first]) for n in (n_a, n_b)]
-    both = n_a + n_b
-    part = (np.cumsum(both) - both) // segment
-    start = np.flatnonzero(np.diff(part, prepend=-1))
+    counts = [pool.counts(known) for pool in (words.a, words.b)]
+    of_docs = [np.diff(np.append(0, np.cumsum(n[at]))[first]) for n in counts]
     cols = []
-    for pool, n, size in ((words.a, n_a, words.both.a_len), (words.b, n_b, words.both.b_len)):
+    for pool, n, size in zip((words.a, words.b), counts, (words.both.a_len, words.both.b_len), strict=True):
         tokens = pool.take(known, n)
-        begin = (np.cumsum(n) - n)[start]
+        begin = np.cumsum(n) - n
         ends = np.cumsum(size[tokens], dtype=np.int64)
-        base = np.append(0, ends)[begin]
-        cols += [_lists(tokens, begin), _lists(ends - np.repeat(base, np.diff(np.append(begin, len(tokens)))), begin)]
-    word_ends = ends[np.cumsum(n_b) - 1] - np.repeat(base, np.diff(np.append(start, len(known)))) if len(known) else np.zeros(0, np.int64)
+        cols += [_lists(tokens, begin), _lists(ends - np.repeat(np.append(0, ends)[begin], n), begin)]
     docs = pa.StructArray.from_arrays([ids, pa.array(of_docs[0]), pa.array(of_docs[1]), _lists(at, first[:-1])], ["doc_id", "n_a", "n_b", "words"])
-    segments = pa.StructArray.from_arrays([*cols, _lists(word_ends, start)], list(_COLUMNS))
-    return pa.RecordBatch.from_arrays([_one(docs).cast(_DOCS), _one(segments).cast(_SEGMENTS)], ["docs", "segments"])
+    return pa.RecordBatch.from_arrays([_one(docs).cast(_DOCS), _one(pa.StructArray.from_arrays(cols, list(_COLUMNS))).cast(_WORDS)], ["docs", "words"])
 
 
 _made: dict[int, Words] = {}
 
 
-def tokenised(docs: DataFrame, id_col: str, text_col: str, a: str, b: str, segment: int) -> DataFrame:
-    """Blocks of rows: docs (doc_id, numbers of tokens, words) and segments of the words' tokens."""
+def tokenised(docs: DataFrame, id_col: str, text_col: str, a: str, b: str) -> DataFrame:
+    """Blocks of rows: docs (doc_id, numbers of tokens, words) and the tokens of these words."""
     with open(a, "rb") as f, open(b, "rb") as g:  # on the driver, which sends the vocabularies to the tasks
         files = f.read(), g.read()
 
-    def read(raw: bytes | None) -> str:
+    def valid(raw: bytes | None) -> bytes:
         try:
-            return raw.decode() if raw else ""
+            return raw if raw and raw.decode() else b""
         except UnicodeDecodeError:
-            return ""
+            return b""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = hash(files)
         if key not in _made:
             _made[key] = Words(Tokenizers(*files))
-        words, none = _made[key], np.zeros(0, np.int64)  # a worker process remembers words from task to task
+        words = _made[key]  # a worker process remembers words from task to task
         for batch in batches:
             for i, j, raw in T.slices(batch.column(1), BLOCK):
-                texts = list(map(read, raw))
-                got = iter(words.numbers([t for t in texts if t]))
-                rows = [(next(got) if t else None) for t in texts]
-                yield _block(words, batch.column(0).slice(i, j - i), [none if x is None else x for x in rows], segment)
+                yield _block(words, batch.column(0).slice(i, j - i), words.numbers(list(map(valid, raw))))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, _BLOCK)
@@ -219,29 +243,26 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def places(ends: Column, cuts: Column) -> Column:
-    """Where in ``ends`` each of ``cuts`` stands; both ascend, and all cuts are ends."""
+def places(ends: Column, cuts: Column, short: int = SHORT) -> Column:
+    """Where in ``ends`` each of ``cuts`` stands, from 0; both ascend, and all cuts are ends."""
     twice = lambda m: F.filter(F.sequence(F.lit(0), F.size(m) - 2), lambda k: m[k] == m[k + 1])
-    return let(F.sort_array(F.concat(ends, cuts)), lambda m: F.transform(twice(m), lambda k, j: k - j))
-
+    long = let(F.sort_array(F.concat(ends, cuts)), lambda m: F.transform(twice(m), lambda k, j: k - j))
+    return F.when(F.size(ends) <= short, F.transform(cuts, lambda c: F.array_position(ends, c).cast("int") - 1)).otherwise(long)
 
-def _part(array: Column, before: Column, last: Column) -> Column:
-    """The elements of array after one place up to another. slice() costs far more than an access, and most parts are one element."""
-    return F.when(last - before == 1, F.array(array[last])).otherwise(F.slice(array, before + 2, last - before))
 
+def _part(ids: Column, before: Column, last: Column) -> Column:
+    """The ids after one place up to another. slice() costs far more than an access, and most parts are one id."""
+    return F.when(last - before == 1, F.array(ids[last])).otherwise(F.slice(ids, before + 2, last - before))
 
-def _after(ends: Column, cuts: Column) -> Column:
-    """places, with -1 before them."""
-    return F.concat(F.array(F.lit(-1)), places(ends, cuts))
 
+def token_groups(w: Column, short: int = SHORT) -> Column:
+    """The groups of a word: struct<a,b> of the ids on either side."""
 
-def token_groups(s: Column, cuts: Column) -> Column:
-    """The groups of a segment that its cuts make: struct<a,b> of the ids on either side."""
+    def made(p: Column, q: Column) -> Column:
+        before = lambda x, g: F.when(g == 0, F.lit(-1)).otherwise(x[g - 1])
+        return F.transform(p, lambda x, g: F.struct(_part(w["a_ids"], before(p, g), x).alias("a"), _part(w["b_ids"], before(q, g), q[g]).alias("b")))
 
-    def made(p: Column, before: Column, q: Column) -> Column:
-        return F.transform(p, lambda x, g: F.struct(_part(s["a_ids"], before[g], x).alias("a"), _part(s["b_ids"], q[g], F.element_at(q, g + 2)).alias("b")))
-
-    return let(places(s["a_ends"], cuts), lambda p: let(F.concat(F.array(F.lit(-1)), p), lambda before: let(_after(s["b_ends"], cuts), lambda q: made(p, before, q))))
+    return let(F.array_intersect(w["a_ends"], w["b_ends"]), lambda c: let(places(w["a_ends"], c, short), lambda p: let(places(w["b_ends"], c, short), lambda q: made(p, q))))
 
 
 def _runs(values: Column) -> Column:
@@ -259,31 +280,38 @@ def _pair(a: Column, b: Column) -> Column:
     return F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
 
 
-def _aligned(s: Column, dense: int) -> Column:
-    """Of each word of a segment: its groups, these as text, the links of groups of up to ``dense`` pairs one by one, those of others by id pair and number."""
-    single = lambda x: (F.size(x["a"]) == 1) & (F.size(x["b"]) == 1)
-    many = lambda x: (F.size(x["a"]) > 1) & (F.size(x["b"]) > 1) & (F.size(x["a"]).cast("long") * F.size(x["b"]) > dense)
-    listed = lambda ids: F.array_join(ids.cast("array<string>"), ",")
-    text = lambda x: F.when(single(x), F.concat(x["a"][0].cast("string"), F.lit("|"), x["b"][0].cast("string"))).otherwise(F.concat(listed(x["a"]), F.lit("|"), listed(x["b"])))
+def _aligned(w: Column, dense: int, short: int) -> Column:
+    """Of a word: its groups, these as text, the links of groups of up to ``dense`` pairs one by one, those of others by id pair and number."""
+    many = lambda x: F.size(x["a"]).cast("long") * F.size(x["b"]) > dense
     every = lambda x: F.flatten(F.transform(x["a"], lambda y: F.transform(x["b"], lambda z: _pair(y, z))))
-    none = F.array().cast("array<bigint>")
-    pairs = lambda x: F.when(single(x), F.array(_pair(x["a"][0], x["b"][0]))).when(many(x), none).otherwise(every(x))
     product = lambda x: F.flatten(F.transform(_runs(x["a"]), lambda y: F.transform(_runs(x["b"]), lambda z: F.struct(_pair(y["v"], z["v"]).alias("pair"), (y["n"] * z["n"]).alias("n")))))
+    none = F.array().cast("array<struct<pair:bigint,n:bigint>>")
+    marks = ("{[", "]}, {[", "], [", "]}")
+
+    def made(groups: Column, text: Column, links: Column, wide: Column) -> Column:
+        return F.struct(F.size(groups).alias("n_groups"), text.alias("text"), links.alias("links"), wide.alias("wide"))
+
+    def plain(g: Column) -> Column:
+        return made(g, _written(g, marks), F.flatten(F.transform(g, every)), none)
 
-    def word(own: Column, some: Column) -> Column:
-        wide = F.when(some, F.flatten(F.transform(F.filter(own, many), product))).otherwise(F.array().cast("array<struct<pair:bigint,n:bigint>>"))
-        return F.struct(F.size(own).alias("n_groups"), F.array_join(F.transform(own, text), ";").alias("text"), F.flatten(F.transform(own, pairs)).alias("links"), wide.alias("wide"))
+    def long(g: Column) -> Column:
+        return made(g, _written(g, marks), F.flatten(F.transform(F.filter(g, lambda x: ~many(x)), every)), F.flatten(F.transform(F.filter(g, many), product)))
 
-    def all_words(g: Column, e: Column) -> Column:
-        return let(F.exists(g, many), lambda some: F.transform(s["word_ends"], lambda _, k: let(_part(g, e[k], F.element_at(e, k + 2)), lambda own: word(own, some))))
+    same = made(w["a_ids"], _written(F.arrays_zip(w["a_ids"], w["b_ids"]), ("{", "}, {", ", ", "}")), F.zip_with(w["a_ids"], w["b_ids"], _pair), none)
+    few = F.size(w["a_ids"]).cast("long") * F.size(w["b_ids"]) <= dense
+    return F.when(w["a_ends"] == w["b_ends"], same).otherwise(let(token_groups(w, short), lambda g: F.when(few, plain(g)).otherwise(long(g))))
 
-    def words(c: Column) -> Column:
-        return let(token_groups(s, c), lambda g: let(_after(c, s["word_ends"]), lambda e: all_words(g, e)))
 
-    return let(F.array_intersect(s["a_ends"], s["b_ends"]), words)
+def _written(groups: Column, marks: tuple[str, str, str, str]) -> Column:
+    """Groups as ``a1,a2|b1;a3|b2,b3``, from how Spark writes an array: what stands before the first group, between groups,
+    between a group's sides and behind the last group is told by marks."""
+    first, between, sides, last = marks
+    x = F.replace(F.replace(groups.cast("string"), F.lit(between), F.lit(";")), F.lit(sides), F.lit("|"))
+    x = F.replace(x, F.lit(", "), F.lit(",")) if sides != ", " else x
+    return let(x, lambda y: F.substr(y, F.lit(len(first) + 2), F.length(y) - len(first) - len(last) - 2))
 
 
-def align_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a: str = TOKENIZER_A, b: str = TOKENIZER_B, segment: int = SEGMENT, dense: int = DENSE) -> DataFrame:
+def align_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a: str = TOKENIZER_A, b: str = TOKENIZER_B, dense: int = DENSE, short: int = SHORT) -> DataFrame:
     """One row for each document: doc_id, n_a, n_b, n_groups, n_links, groups (the text ``a1,a2|b1;a3|b2,b3``), links (of
     groups of up to ``dense`` pairs, each link: a's id times 2^32 plus b's), wide (of other groups, each id pair with the
     number ``n`` of its links).
@@ -293,8 +321,8 @@ def align_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the space and the text (those with U+2581) have no tokens: zeros, '' and no links. Null and repeated ids are rows each
     for itself. Other columns are ignored. An empty table gives no rows.
     """
-    blocks = tokenised(docs, id_col, text_col, a, b, segment)
-    words = F.flatten(F.transform("segments", lambda s: _aligned(s, dense)))
+    blocks = tokenised(docs, id_col, text_col, a, b)
+    words = F.transform("words", lambda w: _aligned(w, dense, short))
     total = lambda col, of: F.aggregate(col, F.lit(0).cast("long"), lambda acc, x: acc + of(x))
 
     def document(d: Column, w: Column, some: Column) -> Column:

@@ -187,7 +187,7 @@ def aligned_rows():
     return [(None if k == 5 else 3 if k == 6 else k, t) for k, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("options", [{}, {"segment": 7, "dense": 1, "pairs_at_most": 0}])
+@pytest.mark.parametrize("options", [{}, {"short": 2, "dense": 1, "pairs_at_most": 0}])
 def test_alignment(spark, aligned_rows, options):
     docs = spark.createDataFrame([(i, t, "en", 1, 2, "n", 3, 4) for i, t in aligned_rows], DOCS).repartition(3)
     got = sorted(map(tuple, token_alignment.alignment_digests(docs, **options).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256").collect()), key=str)
@@ -203,6 +203,6 @@ def test_words_are_texts_tokens(spark, sf):
     both = both_tokenizers()
     words = token_alignment.Words(both)
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect() if r.text]
-    for t, got in zip(texts, words.numbers(texts), strict=True):
+    for t, got in zip(texts, words.numbers([t.encode() for t in texts]), strict=True):
         a, b = next(both.encode([t]))
         assert words.a.take(got, words.a.counts(got)).tolist() == list(a) and words.b.take(got, words.b.counts(got)).tolist() == list(b)
