@@ -42,9 +42,15 @@ def text_flags(base: DataFrame, temporal: Column | None = None, contradiction: C
 
 
 def group_flags(base: DataFrame) -> DataFrame:
-    """base with n3 (another subject in the domain), n4 (another relation of the subject), n12 (the same subject and relation twice): minima and maxima by group, no pairs."""
-    d, s, sr = (Window.partitionBy(*c) for c in (("domain",), ("subject",), ("subject", "relation")))
-    return base.withColumns({"n3": F.min("subject").over(d) != F.max("subject").over(d), "n4": F.min("relation").over(s) != F.max("relation").over(s), "n12": F.count("*").over(sr) >= 2})
+    """base with n3 (another subject in the domain), n4 (another relation of the subject), n12 (the same subject and relation
+    twice): aggregates of the keys alone, joined back. Subjects and relations are compared by their normal form but for n3."""
+    x = base.withColumns({"_s": T.norm("subject"), "_r": T.norm("relation")})
+    domains = base.groupBy(F.col("domain").alias("_d")).agg((F.min("subject") != F.max("subject")).alias("n3"))
+    pairs = x.groupBy("_s", "_r").agg((F.count("*") >= 2).alias("n12"))
+    subjects = pairs.groupBy("_s").agg((F.count("*") >= 2).alias("n4"))
+    x = x.join(domains, F.col("domain").eqNullSafe(F.col("_d")), "left").join(subjects, "_s", "left").join(pairs, ["_s", "_r"], "left")
+    no = F.lit(False)
+    return x.select(*base.columns, *(F.coalesce(f, no).alias(f) for f in ("n3", "n4", "n12")))
 
 
 def reservoir(base: DataFrame, tag: str, cap: int, *key: str) -> DataFrame:
@@ -58,7 +64,8 @@ def better_elsewhere(base: DataFrame, cap: int = RESERVOIR) -> DataFrame:
 
     Any better one shares a token, so an inverted index of the reservoir's distinct gold tokens finds it.
     """
-    r = reservoir(base, "n9-feasibility-reservoir", cap, "source", "id")
+    keys = reservoir(base.select("id", "source", "domain"), "n9-feasibility-reservoir", cap, "source", "id")
+    r = base.join(keys.select("id"), "id", "left_semi")
     q = r.select("id", "domain", F.explode(F.array_distinct(T.tokens("query"))).alias("t"))
     size = r.select("id", F.greatest(F.lit(1), F.size(F.array_distinct(T.tokens("query")))).alias("m"))
     g = r.select(F.col("id").alias("other"), "domain", F.posexplode("gold").alias("ord", "text")).select("other", "domain", "ord", F.explode(F.array_distinct(T.tokens("text"))).alias("t"))

@@ -107,25 +107,35 @@ def coverage(cases: DataFrame, ranked: DataFrame) -> DataFrame:
 
 
 def requirement_states(covered: DataFrame) -> DataFrame:
-    """(case_id, requirement, state): the latest resolving values decide, else those that aren't stale."""
-    latest = covered.groupBy("case_id", "requirement").agg(F.max(F.when(F.col("resolving"), F.col("at"))).alias("latest"))
-    x = covered.join(latest, ["case_id", "requirement"])
-    g = x.groupBy("case_id", "requirement").agg(
-        F.count("memory_id").alias("n"),
-        F.max("latest").alias("latest"),
-        F.count_distinct(F.when(F.col("resolving") & (F.col("at") == F.col("latest")), F.col("value"))).alias("resolved"),
-        F.count_distinct(F.when(F.col("scope") != "STALE", F.col("value"))).alias("values"),
-    )
-    state = F.when(F.col("n") == 0, "INSUFFICIENT").when(F.col("latest").isNotNull(), F.when(F.col("resolved") > 1, "AMBIGUOUS").otherwise("SUPPORTED")).when(F.col("values") > 1, "CONTRADICTED").otherwise("SUPPORTED")
-    return g.select("case_id", "requirement", state.alias("state"))
+    """(case_id, requirement, state, selected): what is asserted for a requirement, from one aggregate; selected are the ids of the memories that decide.
+
+    The latest resolving assertions decide; without any, those that aren't stale; without these, all. Ranked memories
+    alone are gathered, so a list is never longer than the ranking.
+    """
+    seen = F.collect_list(F.when(F.col("memory_id").isNotNull(), F.struct("at", "memory_id", "value", "scope", F.coalesce("resolving", F.lit(False)).alias("resolving"))))
+    x = covered.groupBy("case_id", "requirement").agg(seen.alias("seen"))
+    x = x.withColumns({"resolved": F.filter("seen", lambda s: s["resolving"]), "fresh": F.filter("seen", lambda s: s["scope"] != "STALE")})
+    latest = F.array_max(F.transform("resolved", lambda s: s["at"]))
+    x = x.withColumn("latest", latest).withColumn("resolved", F.filter("resolved", lambda s: s["at"] == F.col("latest")))
+    chosen = F.when(F.size("resolved") > 0, F.col("resolved")).when(F.size("fresh") > 0, F.col("fresh")).otherwise(F.col("seen"))
+    different = lambda c: F.size(F.array_distinct(F.transform(c, lambda s: s["value"])))
+    state = F.when(F.size("seen") == 0, "INSUFFICIENT").when(F.size("resolved") > 0, F.when(different("resolved") > 1, "AMBIGUOUS").otherwise("SUPPORTED")).when(different("fresh") > 1, "CONTRADICTED").otherwise("SUPPORTED")
+    return x.select("case_id", "requirement", state.alias("state"), F.array_sort(F.array_distinct(F.transform(chosen, lambda s: s["memory_id"]))).alias("selected"))
 
 
 def verdicts(cases: DataFrame, ranked: DataFrame) -> DataFrame:
-    """(case_id, verdict, requirements, missing): a missing requirement first, else the first that fails, in their order."""
+    """(case_id, verdict, requirements, missing, selected): a missing requirement first, else the first that fails, in their order.
+
+    selected: of a supported case the deciding memories, as requirement=memory_id.
+    """
     s = requirement_states(coverage(cases, ranked))
+    failed = F.when(F.col("state").isin("AMBIGUOUS", "CONTRADICTED"), F.col("requirement"))
     g = s.groupBy("case_id").agg(
         F.sort_array(F.collect_list("requirement")).alias("requirements"),
         F.sort_array(F.collect_list(F.when(F.col("state") == "INSUFFICIENT", F.col("requirement")))).alias("missing"),
-        F.min_by(F.when(F.col("state").isin("AMBIGUOUS", "CONTRADICTED"), F.col("state")), F.when(F.col("state").isin("AMBIGUOUS", "CONTRADICTED"), F.col("requirement"))).alias("failed"),
+        F.min_by("state", failed).alias("failed"),
+        F.array_sort(F.flatten(F.collect_list(F.transform("selected", lambda m: F.concat_ws("=", "requirement", m))))).alias("selected"),
     )
-    return g.select("case_id", F.when(F.size("missing") > 0, "INSUFFICIENT").otherwise(F.coalesce("failed", F.lit("SUPPORTED"))).alias("verdict"), "requirements", "missing")
+    verdict = F.when(F.size("missing") > 0, "INSUFFICIENT").otherwise(F.coalesce("failed", F.lit("SUPPORTED")))
+    none = F.array().cast("array<string>")
+    return g.withColumn("verdict", verdict).select("case_id", "verdict", "requirements", "missing", F.when(F.col("verdict") == "SUPPORTED", F.col("selected")).otherwise(none).alias("selected"))

@@ -77,10 +77,16 @@ def decision_aggregates() -> dict[str, Column]:
 FRAMES = {"temporal_scope_accuracy": ("N6", True), "contradiction_handling_accuracy": ("N7", True), "discourse_contamination_rate": ("N2", False)}
 
 
+#: Binding metrics: the attribute of the first result and the column that says what it should be.
+BINDINGS = {"subject_binding_accuracy": ("subject", "wanted_subject"), "relation_binding_accuracy": ("relation", "wanted_relation")}
+
+
 def frame_metrics(results: DataFrame) -> DataFrame:
-    """One row: shares of the answerable cases of a primary family (column family) with, or without, a gold text at rank 1; 0 for none."""
+    """One row: of the answerable cases with a result the shares whose first result has the wanted subject and relation, and
+    shares of the answerable cases of a primary family (column family) with, or without, a gold text at rank 1; 0 for none."""
     first = F.coalesce(F.col("first_rank") == 1, F.lit(False))
-    out = []
+    got = F.col("answerable") & (F.col("n_returned") > 0)
+    out = [ratio(F.count_if(got & (F.col(a) == F.col(wanted))), F.count_if(got)).alias(name) for name, (a, wanted) in BINDINGS.items()]
     for name, (family, hit) in FRAMES.items():
         asked = F.col("answerable") & (F.col("family") == family)
         out.append(ratio(F.count_if(asked & (first if hit else ~first)), F.count_if(asked)).alias(name))

@@ -144,14 +144,14 @@ def fillers(cases: DataFrame, pool: DataFrame, budget: int = 20) -> DataFrame:
 
 
 def better_decoys(cases: DataFrame, pool: DataFrame) -> DataFrame:
-    """(id, decoy): of the pool's members of the domain whose first gold text overlaps the query more than the case's own, the one that hashes lowest.
+    """(id, decoy): of the pool's members of the domain whose first gold text overlaps the query more than any of the case's own, the one that hashes lowest.
 
     Overlaps of a block are a matrix product over the tokens of its queries.
     """
     kind = pool.schema["id"].dataType.simpleString()
     first = F.array_distinct(T.tokens(F.get("gold", F.lit(0))))
     q = F.array_distinct(T.tokens("query"))
-    left = _named(cases, ["domain"], id=F.col("id"), q=q, own=F.size(F.array_intersect(q, first)))
+    left = _named(cases, ["domain"], id=F.col("id"), q=q, own=F.array_max(F.transform("gold", lambda g: F.size(F.array_intersect(q, F.array_distinct(T.tokens(g)))))))
     right = _named(pool, ["domain"], decoy=F.col("id"), g=first)
 
     def pick(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:

@@ -20,9 +20,11 @@ def bounds(spark: SparkSession, section: str = "aggregate") -> DataFrame:
 
 
 def check(measured: DataFrame, limits: DataFrame) -> DataFrame:
-    """measured (metric, measured) against limits: one row for each bound, with passed."""
+    """measured (metric, measured) against limits: one row for each bound, with passed. A bound without a measurement is an error."""
     ok = F.when(F.col("least"), F.col("measured") >= F.col("bound")).otherwise(F.col("measured") <= F.col("bound"))
-    return limits.join(measured, "metric").select("stage", "metric", "measured", "bound", ok.alias("passed"))
+    x = limits.join(measured, "metric", "left")
+    known = F.coalesce("measured", F.raise_error(F.concat(F.lit("no measurement of "), "metric")).cast("double"))
+    return x.withColumn("measured", known).select("stage", "metric", "measured", "bound", ok.alias("passed"))
 
 
 def unpivoted(one: DataFrame, names: Mapping[str, str] = NAMES) -> DataFrame:
@@ -46,13 +48,20 @@ def structural_checks(groups: DataFrame, stage: str = "ev_b") -> DataFrame:
     return groups.where("axis = 'family'").select("value", "decision_accuracy", floor.alias("bound")).where("bound is not null").withColumn("passed", F.col("decision_accuracy") >= F.col("bound"))
 
 
-def anti_collapse(one: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row: share of cases with a result, the collapse flags, groups below the catastrophic floor, and passed."""
+def anti_collapse(one: DataFrame, groups: DataFrame, family: str = "family", domain: str = "domain") -> DataFrame:
+    """One row: shares of cases with and without a result, the seven collapse flags, families and domains below the
+    catastrophic floor, and passed. groups: a breakdown with the axes ``family`` and ``domain``."""
     share = (F.col("answerable") * (1 - F.col("false_abstention")) + F.col("no_evidence") * F.col("false_retrieval")) / F.greatest(F.lit(1), F.col("n"))
-    low = groups.agg(F.sort_array(F.collect_list(F.when(F.col("decision_accuracy") < L.CATASTROPHIC, F.coalesce("value", F.lit("none"))))).alias("domains_below"))
-    x = one.select(share.alias("p")).join(F.broadcast(low))  # one row each
-    single = (F.col("p") >= L.NEAR_UNIVERSAL) | (1 - F.col("p") >= L.NEAR_UNIVERSAL)
-    return x.select(F.col("p").alias("retrieval_share"), (F.col("p") >= 1 - 1e-12).alias("universal_retrieval"), (F.col("p") <= 1e-12).alias("universal_abstention"), single.alias("single_class_collapse"), "domains_below", (~single & (F.size("domains_below") == 0)).alias("passed"))
+    low = lambda axis: F.sort_array(F.collect_list(F.when((F.col("axis") == axis) & (F.col("decision_accuracy") < L.CATASTROPHIC), F.coalesce("value", F.lit("none")))))
+    below = groups.agg(low(family).alias("families_below"), low(domain).alias("domains_below"))
+    x = one.select(share.alias("retrieval_share")).join(F.broadcast(below))  # one row each
+    p = F.col("retrieval_share")
+    x = x.withColumns({"abstention_share": 1 - p, "universal_retrieval": p >= 1 - 1e-12, "universal_abstention": 1 - p >= 1 - 1e-12, "near_universal_retrieval": p >= L.NEAR_UNIVERSAL, "near_universal_abstention": 1 - p >= L.NEAR_UNIVERSAL})
+    x = x.withColumns({"single_class_collapse": F.col("near_universal_retrieval") | F.col("near_universal_abstention"), "structural_family_collapse": F.size("families_below") > 0, "domain_specific_collapse": F.size("domains_below") > 0})
+    failed = F.col("universal_retrieval") | F.col("universal_abstention")
+    for f in ("single_class_collapse", "structural_family_collapse", "domain_specific_collapse"):
+        failed = failed | F.col(f)
+    return x.withColumn("passed", ~failed)
 
 
 def guardrail_checks(left: DataFrame, right: DataFrame, limits: Mapping[str, tuple[str, float]]) -> DataFrame:

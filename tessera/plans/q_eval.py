@@ -151,36 +151,51 @@ def threshold_checks(spark: SparkSession, sf: str) -> DataFrame:
     return X.aggregate_checks(M.decision_metrics(results(spark, sf))).withColumn("measured", F.round("measured", 6))
 
 
-@query(f"""WITH {PC}, dm AS (SELECT {DECISIONS} FROM pc), b AS (SELECT lang, (count(*) FILTER (answerable AND first_rank = 1) + count(*) FILTER (NOT answerable AND n_returned = 0)) / count(*)::DOUBLE AS acc FROM pc GROUP BY lang),
-f AS (SELECT (answerable * (1 - false_abstention) + no_evidence * false_retrieval) / greatest(1, n) AS p FROM dm)
-SELECT round(p, 6) AS retrieval_share, p >= 1 - 1e-12 AS universal_retrieval, p <= 1e-12 AS universal_abstention, p >= {L.NEAR_UNIVERSAL} OR 1 - p >= {L.NEAR_UNIVERSAL} AS single_class_collapse,
-coalesce((SELECT list_sort(list(coalesce(lang, 'none'))) FROM b WHERE acc < {L.CATASTROPHIC}), []) AS domains_below,
-NOT (p >= {L.NEAR_UNIVERSAL} OR 1 - p >= {L.NEAR_UNIVERSAL} OR EXISTS (SELECT 1 FROM b WHERE acc < {L.CATASTROPHIC})) AS passed FROM f""")
-def anti_collapse(spark: SparkSession, sf: str) -> DataFrame:
-    r = results(spark, sf)
-    return X.anti_collapse(M.decision_metrics(r), M.breakdown(r, "lang")).withColumn("retrieval_share", F.round("retrieval_share", 6))
-
-
 # Primary families of the items: by clauses and digits of their texts.
 FAMILY = """CASE WHEN length(text) - length(translate(text, ',;()', '')) >= 2 THEN 'N2' WHEN regexp_matches(text, '[0-9]') THEN 'N6' ELSE 'N7' END"""
-FRAMED = f"{PC}, pf AS (SELECT pc.* REPLACE (b.f AS family) FROM pc JOIN (SELECT item_id, {FAMILY} AS f FROM benchmark) b USING (item_id))"
+FRAMED = f"""{PC}, wt AS (SELECT item_id, min(source) AS wanted_subject, min(lang) AS wanted_relation FROM gold JOIN documents USING (doc_id) GROUP BY item_id),
+pf AS (SELECT pc.* REPLACE (b.f AS family), pc.source AS subject, pc.lang AS relation, wanted_subject, wanted_relation FROM pc JOIN (SELECT item_id, {FAMILY} AS f FROM benchmark) b USING (item_id) LEFT JOIN wt USING (item_id))"""
 _FIRST = {True: "coalesce(first_rank = 1, false)", False: "NOT coalesce(first_rank = 1, false)"}
-FRAME = ", ".join(f"count(*) FILTER (answerable AND family = '{f}' AND {_FIRST[hit]}) / greatest(1, count(*) FILTER (answerable AND family = '{f}'))::DOUBLE AS {name}" for name, (f, hit) in M.FRAMES.items())
+_GOT = "answerable AND n_returned > 0"
+FRAME = ", ".join(f"count(*) FILTER ({_GOT} AND {a} = {w}) / greatest(1, count(*) FILTER ({_GOT}))::DOUBLE AS {name}" for name, (a, w) in M.BINDINGS.items()) + ", " + ", ".join(f"count(*) FILTER (answerable AND family = '{f}' AND {_FIRST[hit]}) / greatest(1, count(*) FILTER (answerable AND family = '{f}'))::DOUBLE AS {name}" for name, (f, hit) in M.FRAMES.items())
+
+
+MEASURED = (*M.BINDINGS, *M.FRAMES)
 
 
 def framed(spark: SparkSession, sf: str) -> DataFrame:
+    """Results with primary families; the first document's source and language are the subject and relation, those of the gold
+    documents (the smallest, if there are several) the wanted ones."""
     family = F.when(boundaries(F.col("text")) >= 2, "N2").when(F.col("text").rlike("[0-9]"), "N6").otherwise("N7")
-    return results(spark, sf).drop("family").join(table(spark, sf, "benchmark").select(F.col("item_id").alias("case_id"), family.alias("family")), "case_id")
+    wanted = judged(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source", "lang"), "doc_id").groupBy(F.col("item_id").alias("case_id")).agg(F.min("source").alias("wanted_subject"), F.min("lang").alias("wanted_relation"))
+    x = results(spark, sf).drop("family").join(table(spark, sf, "benchmark").select(F.col("item_id").alias("case_id"), family.alias("family")), "case_id")
+    return x.withColumns({"subject": F.col("source"), "relation": F.col("lang")}).join(wanted, "case_id", "left")
+
+
+_ACCURACY = "(count(*) FILTER (answerable AND first_rank = 1) + count(*) FILTER (NOT answerable AND n_returned = 0)) / count(*)::DOUBLE"
+_NEAR = f"p >= {L.NEAR_UNIVERSAL} OR 1 - p >= {L.NEAR_UNIVERSAL}"
+
+
+@query(f"""WITH {FRAMED}, dm AS (SELECT {DECISIONS} FROM pf), f AS (SELECT (answerable * (1 - false_abstention) + no_evidence * false_retrieval) / greatest(1, n) AS p FROM dm),
+lo AS (SELECT coalesce((SELECT list_sort(list(v)) FROM (SELECT family AS v, {_ACCURACY} AS acc FROM pf GROUP BY family) WHERE acc < {L.CATASTROPHIC}), []) AS families_below,
+  coalesce((SELECT list_sort(list(coalesce(v, 'none'))) FROM (SELECT lang AS v, {_ACCURACY} AS acc FROM pf GROUP BY lang) WHERE acc < {L.CATASTROPHIC}), []) AS domains_below)
+SELECT round(p, 6) AS retrieval_share, round(1 - p, 6) AS abstention_share, p >= 1 - 1e-12 AS universal_retrieval, 1 - p >= 1 - 1e-12 AS universal_abstention, p >= {L.NEAR_UNIVERSAL} AS near_universal_retrieval, 1 - p >= {L.NEAR_UNIVERSAL} AS near_universal_abstention,
+{_NEAR} AS single_class_collapse, len(families_below) > 0 AS structural_family_collapse, len(domains_below) > 0 AS domain_specific_collapse, families_below, domains_below, NOT ({_NEAR}) AND len(families_below) = 0 AND len(domains_below) = 0 AS passed FROM f, lo""")
+def anti_collapse(spark: SparkSession, sf: str) -> DataFrame:
+    """The policy's flags; languages stand for domains."""
+    r = framed(spark, sf)
+    x = X.anti_collapse(M.decision_metrics(r), M.breakdown(r, "family", "lang"), domain="lang")
+    return x.withColumns({c: F.round(c, 6) for c in ("retrieval_share", "abstention_share")})
 
 
-@query(f"WITH {FRAMED}, fm AS (SELECT {FRAME} FROM pf) SELECT {', '.join(f'round({m}, 6) AS {m}' for m in M.FRAMES)} FROM fm")
+@query(f"WITH {FRAMED}, fm AS (SELECT {FRAME} FROM pf) SELECT {', '.join(f'round({m}, 6) AS {m}' for m in MEASURED)} FROM fm")
 def frame_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return M.frame_metrics(framed(spark, sf)).select(*(F.round(m, 6).alias(m) for m in M.FRAMES))
+    return M.frame_metrics(framed(spark, sf)).select(*(F.round(m, 6).alias(m) for m in MEASURED))
 
 
 _BOUNDS = ", ".join(f"('{k[:-4]}', {k.endswith('_min')}, {v}::DOUBLE)" for k, v in L.THRESHOLDS["ev_b"]["frame"].items())
 FRAME_CHECKS = f"""SELECT 'ev_b' AS stage, metric, round(measured, 6) AS measured, bound, CASE WHEN least THEN measured >= bound ELSE measured <= bound END AS passed
-FROM (SELECT unnest([{', '.join(f"'{m}'" for m in M.FRAMES)}]) AS metric, unnest([{', '.join(M.FRAMES)}]) AS measured FROM (SELECT {FRAME} FROM pf)) m JOIN (VALUES {_BOUNDS}) t(metric, least, bound) USING (metric)"""
+FROM (SELECT unnest([{', '.join(f"'{m}'" for m in MEASURED)}]) AS metric, unnest([{', '.join(MEASURED)}]) AS measured FROM (SELECT {FRAME} FROM pf)) m JOIN (VALUES {_BOUNDS}) t(metric, least, bound) USING (metric)"""
 
 
 @query(f"WITH {FRAMED} {FRAME_CHECKS}")
@@ -214,7 +229,7 @@ def stage_decisions(spark: SparkSession, sf: str) -> DataFrame:
     checks = [X.aggregate_checks(one), X.frame_checks(M.frame_metrics(rows)), _floors(rows)]
     outside = benchmark_hits(spark, sf).join(table(spark, sf, "documents").select("doc_id"), "doc_id", "left_anti").agg((F.count("*") == 0).alias("passed"))
     passed = [c.select("stage", "passed") for c in checks]
-    return X.stage_decisions(passed[0].unionByName(passed[1]).unionByName(passed[2]), outside, X.anti_collapse(one, M.breakdown(rows, "lang")))
+    return X.stage_decisions(passed[0].unionByName(passed[1]).unionByName(passed[2]), outside, X.anti_collapse(one, M.breakdown(rows, "family", "lang"), domain="lang"))
 
 
 # The smallest or largest difference that a deeper ranking may make to a metric.

@@ -136,8 +136,8 @@ _MARK = " OR ".join(f"contains(qn, '{m}')" for m in L.DISCOURSE_MARKERS)
 TEXT_FLAGS = BASES + f""", f0 AS (SELECT *, {S.tokens('query')} AS q, {S.norm('query')} AS qn, {S.tokens("query || ' ' || gold[1]")} AS alls, length(query) - length(translate(query, ',;()', '')) AS bounds, ends_with(query, '?') AS ends FROM vb),
 f1 AS (SELECT *, len(q) >= 18 OR bounds >= 2 OR {_MARK} AS n2, list_has_any(q, {S.listed(L.COREFERENCE)}) AND (coalesce(subject, '') = '' OR NOT contains(qn, {S.norm('subject')})) AS n5, list_has_any(alls, {S.listed(L.MODALITY)}) AS n8,
   len(q) <= 12 AND (NOT ends OR coalesce(list_contains({S.listed(L.COREFERENCE)}, q[1]), false) OR contains(query, '...') OR contains(query, '…')) AS n11, bounds >= 2 AS multi_clause FROM f0),
-f2 AS (SELECT *, len(gold) = 1 AND len(q) BETWEEN 3 AND 30 AND ends AND NOT (n2 OR n5 OR n8 OR n11) AS n1, min(subject) OVER (PARTITION BY domain) <> max(subject) OVER (PARTITION BY domain) AS n3,
-  min(relation) OVER (PARTITION BY subject) <> max(relation) OVER (PARTITION BY subject) AS n4, count(*) OVER (PARTITION BY subject, relation) >= 2 AS n12 FROM f1)"""
+f2 AS (SELECT *, len(gold) = 1 AND len(q) BETWEEN 3 AND 30 AND ends AND NOT (n2 OR n5 OR n8 OR n11) AS n1, coalesce(min(subject) OVER (PARTITION BY domain) <> max(subject) OVER (PARTITION BY domain), false) AS n3,
+  min(rn) OVER (PARTITION BY sn) <> max(rn) OVER (PARTITION BY sn) AS n4, count(*) OVER (PARTITION BY sn, rn) >= 2 AS n12 FROM (SELECT *, """ + S.norm("subject") + " AS sn, " + S.norm("relation") + """ AS rn FROM f1))"""
 RESERVOIR = f"""rv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY {S.hashed("'n9-feasibility-reservoir'", 'domain', 'source', 'id')}) AS rn FROM vb) WHERE rn <= {X.RESERVOIR})"""
 NINE = f"""{RESERVOIR}, rq AS (SELECT id, domain, unnest(list_distinct({S.tokens('query')})) AS t FROM rv), rg AS (SELECT id AS other, domain, unnest(list_distinct({S.tokens('gold[1]')})) AS t FROM rv),
 ov AS (SELECT id, other, count(*) AS c FROM rq JOIN rg USING (domain, t) GROUP BY ALL), nine AS (SELECT id, coalesce(max(c) FILTER (id <> other), 0) > coalesce(max(c) FILTER (id = other), 0) AS n9 FROM ov GROUP BY id)"""
