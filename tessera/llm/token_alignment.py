@@ -32,11 +32,11 @@ from tessera.llm import _text as T
 TOKENIZER_A = "/opt/tokenizers/byte_bpe_50k.json"
 TOKENIZER_B = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words that a worker process remembers, by 64-bit fingerprints.
-WORDS = 600_000
+WORDS = 400_000
 #: Bytes of text whose documents share a row.
-BLOCK = 5 << 20
+BLOCK = 4 << 20
 #: Characters of new words that are tokenised in one run.
-RUN = 1 << 18
+RUN = 1 << 16
 #: Tokens of either side up to which a cut is looked for from the first end on.
 SHORT = 64
 #: Pairs of one group beyond which its ids are counted before they are paired.
@@ -231,8 +231,16 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, a: str, b: str) -> Da
             _made[key] = Words(Tokenizers(*files))
         words = _made[key]  # a worker process remembers words from task to task
         for batch in batches:
-            for i, j, raw in T.slices(batch.column(1), BLOCK):
-                yield _block(words, batch.column(0).slice(i, j - i), words.numbers(list(map(valid, raw))))
+            first, held, size = 0, [], 0
+            for _, j, raw in T.slices(batch.column(1)):  # words are looked up a megabyte at a time
+                if words.clear and held:
+                    yield _block(words, batch.column(0).slice(first, len(held)), held)
+                    first, held, size = first + len(held), [], 0
+                held += words.numbers(list(map(valid, raw)))
+                size += sum(len(x) for x in raw if x)
+                if size >= BLOCK or j == len(batch.column(1)):
+                    yield _block(words, batch.column(0).slice(first, len(held)), held)
+                    first, held, size = first + len(held), [], 0
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, _BLOCK)
