@@ -68,8 +68,9 @@ def evidence(cases: DataFrame) -> DataFrame:
     found = []
     for pattern, at in L.assertion_patterns():
         part = {k: F.regexp_extract("text", pattern, g) for k, g in at.items()}
-        found.append(F.struct(F.lower(part["subject"]).alias("subject"), F.lower(part["relation"]).alias("alias"), value(part["value"]).alias("value"), part.get("scope", F.lit("")).alias("scope")))
-    x = x.withColumn("slots", F.array(*found))
+        # groups are taken only of texts that match: most don't, and each group is a search of its own
+        found.append(F.when(F.col("text").rlike(pattern), F.struct(F.lower(part["subject"]).alias("subject"), F.lower(part["relation"]).alias("alias"), value(part["value"]).alias("value"), part.get("scope", F.lit("")).alias("scope"))))
+    x = x.withColumn("slots", F.array_compact(F.array(*found)))
     named = F.transform("slots", lambda s: F.struct(s["subject"].alias("subject"), F.expr("1").alias("one"), s["alias"].alias("alias"), s["value"].alias("value"), s["scope"].alias("scope")))
     x = x.withColumn("slots", named).withColumn("slots", F.expr(f"transform(slots, s -> struct(s.subject AS subject, {RELATION_OF.format(x='s.alias')} AS predicate, s.value AS value, s.scope AS scope))"))
     fits = F.filter("slots", lambda s: (s["value"] != "") & s["predicate"].isNotNull() & ((F.size("asked") == 0) | F.array_contains("asked", s["predicate"])) & ((F.size("names") == 0) | F.array_contains("names", s["subject"])))
@@ -78,8 +79,7 @@ def evidence(cases: DataFrame) -> DataFrame:
     parsed = claims & F.col("slot").isNotNull()
     both = F.array_intersect("asked", relations(F.col("text")))
     named_first = F.get(F.filter("names", lambda a: F.contains(T.casefold("text"), a)), F.lit(0))
-    return x.select(
-        *cases.columns,
+    fields = (
         F.when(claims & ~parsed, "UNKNOWN").otherwise(F.col("d")["role"]).alias("role"),
         F.when(parsed, "ASSERTED_VALUE").otherwise(F.col("d")["kind"]).alias("assertion_type"),
         F.when(parsed, F.col("slot")["subject"]).when(~claims, named_first).alias("subject"),
@@ -90,6 +90,8 @@ def evidence(cases: DataFrame) -> DataFrame:
         F.when(parsed, "PARSED").when(claims, "FAIL_CLOSED").otherwise("NON_ASSERTION").alias("status"),
         (parsed & _any(F.col("stems"), L.RESOLUTION)).alias("resolving"),
     )
+    # one row for each memory, through a generator: a filter on top then doesn't repeat all of the above inside its condition
+    return x.select(*cases.columns, F.explode(F.array(F.struct(*fields))).alias("_e")).select(*cases.columns, "_e.*")
 
 
 def requirements(cases: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from tessera.operators import rankers as R
 from tessera.operators import thresholds as X
 from tessera.operators.flags import boundaries
 from tessera.plans import sql_parts as S
-from tessera.plans.cases import adversarial_cases, adversarial_sql, conversation_cases
+from tessera.plans.cases import ACCOUNT_SQL, account_cases, conversation_cases, customer_cases, customer_sql
 from tessera.plans.q_rank import BM25, V2, V2_SCORE, _scored, benchmark_hits
 from tessera.plans.registry import SQL, query, table
 
@@ -333,67 +333,60 @@ evd AS (SELECT case_id, category, query, pos, memory_id, text, ts, relevant, CAS
 FIELDS = "role, assertion_type, subject, predicate, value, polarity, scope, status, resolving"
 
 
-@query(f"WITH {adversarial_sql()}, {EVIDENCE} SELECT case_id, pos, {FIELDS} FROM evd")
-def gate_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    return G.evidence(adversarial_cases(spark)).select("case_id", "pos", *FIELDS.split(", "))
-
-
-RANKED = f"{adversarial_sql()}, cm AS (SELECT * FROM av), {V2}, {_scored(V2_SCORE, 'v3').replace('SELECT case_id, rank', ', rk AS (SELECT case_id, rank', 1)})"
+_RANKED = f"{V2}, {_scored(V2_SCORE, 'v3').replace('SELECT case_id, rank', ', rk AS (SELECT case_id, rank', 1)})"
+#: Cases as av and cm, and their ranking as rk: of accounts, of customers by the adversarial templates, of conversations.
+ACCOUNTS = f"{ACCOUNT_SQL}, cm AS (SELECT * FROM av), {_RANKED}"
+CUSTOMERS = f"{customer_sql()}, cm AS (SELECT * FROM av), {_RANKED}"
+TALKS = f"{S.CASES}, av AS (SELECT case_id, '' AS category, query, pos, memory_id, text, ts, relevant FROM cm), {_RANKED}"
 VERDICT = f"""{EVIDENCE}, rq AS (SELECT case_id, unnest(CASE WHEN len(r) = 0 THEN ['generic'] ELSE r END) AS requirement FROM (SELECT case_id, {_relations('min(query)')} AS r FROM av GROUP BY case_id)),
 us AS (SELECT case_id, predicate, memory_id, value, scope, resolving, {S.parse_time('ts')} AS tm FROM evd WHERE (case_id, memory_id) IN (SELECT case_id, memory_id FROM rk) AND assertion_type = 'ASSERTED_VALUE' AND NOT ({_hits(S.stems(S.tokens('query')), L.CURRENT)} AND scope = 'STALE')),
 cg AS (SELECT rq.case_id, requirement, memory_id, value, scope, resolving, tm FROM rq LEFT JOIN us ON rq.case_id = us.case_id AND (requirement = 'generic' OR requirement = predicate)),
 lt AS (SELECT case_id, requirement, max(tm) FILTER (resolving) AS latest FROM cg GROUP BY ALL),
 sg AS (SELECT case_id, requirement, CASE WHEN count(memory_id) = 0 THEN 'INSUFFICIENT' WHEN max(latest) IS NOT NULL THEN CASE WHEN count(DISTINCT value) FILTER (resolving AND tm = latest) > 1 THEN 'AMBIGUOUS' ELSE 'SUPPORTED' END
   WHEN count(DISTINCT value) FILTER (scope <> 'STALE') > 1 THEN 'CONTRADICTED' ELSE 'SUPPORTED' END AS state FROM cg JOIN lt USING (case_id, requirement) GROUP BY ALL),
-vd AS (SELECT case_id, CASE WHEN bool_or(state = 'INSUFFICIENT') THEN 'INSUFFICIENT' ELSE coalesce(min_by(state, requirement) FILTER (state IN ('AMBIGUOUS', 'CONTRADICTED')), 'SUPPORTED') END AS verdict,
-  list_sort(list(requirement)) AS requirements, coalesce(list_sort(list(requirement) FILTER (state = 'INSUFFICIENT')), []) AS missing FROM sg GROUP BY case_id)"""
-
-
-@query(f"WITH {RANKED} SELECT case_id, rank, memory_id, score FROM rk")
-def rank_v2_adversarial(spark: SparkSession, sf: str) -> DataFrame:
-    return R.v2_rank(adversarial_cases(spark))
-
+sl AS (SELECT case_id, list_sort(list(DISTINCT requirement || '=' || memory_id)) AS selected FROM (SELECT cg.*, latest, coalesce(bool_or(scope <> 'STALE') OVER (PARTITION BY case_id, requirement), false) AS fresh FROM cg JOIN lt USING (case_id, requirement) WHERE memory_id IS NOT NULL)
+  WHERE CASE WHEN latest IS NOT NULL THEN resolving AND tm = latest WHEN fresh THEN scope <> 'STALE' ELSE true END GROUP BY case_id),
+vx AS (SELECT case_id, CASE WHEN bool_or(state = 'INSUFFICIENT') THEN 'INSUFFICIENT' ELSE coalesce(min_by(state, requirement) FILTER (state IN ('AMBIGUOUS', 'CONTRADICTED')), 'SUPPORTED') END AS verdict,
+  list_sort(list(requirement)) AS requirements, coalesce(list_sort(list(requirement) FILTER (state = 'INSUFFICIENT')), []) AS missing FROM sg GROUP BY case_id),
+vd AS (SELECT case_id, verdict, requirements, missing, CASE WHEN verdict = 'SUPPORTED' THEN coalesce(selected, []) ELSE [] END AS selected FROM vx LEFT JOIN sl USING (case_id))"""
 
-@query(f"WITH {RANKED}, {VERDICT} SELECT case_id, verdict, requirements, missing FROM vd")
-def gate_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    c = adversarial_cases(spark)
-    return G.verdicts(c, R.v2_rank(c))
 
+def _gate(suffix: str, ranked: str, cases) -> None:
+    """The four queries of the gate over a table of cases."""
 
-@query(f"WITH {RANKED}, {VERDICT} SELECT case_id, requirement, memory_id, value, scope, coalesce(resolving, false) AS resolving FROM cg")
-def gate_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    c = adversarial_cases(spark)
-    return G.coverage(c, R.v2_rank(c)).select("case_id", "requirement", "memory_id", "value", "scope", F.coalesce("resolving", F.lit(False)).alias("resolving"))
+    def evidence(spark: SparkSession, sf: str) -> DataFrame:
+        return G.evidence(cases(spark, sf)).select("case_id", "pos", *FIELDS.split(", "))
 
+    def coverage(spark: SparkSession, sf: str) -> DataFrame:
+        c = cases(spark, sf)
+        return G.coverage(c, R.v2_rank(c)).select("case_id", "requirement", "memory_id", "value", "scope", F.coalesce("resolving", F.lit(False)).alias("resolving"))
 
-@query(f"WITH {RANKED}, {VERDICT} SELECT case_id, rank, memory_id, score FROM rk WHERE case_id IN (SELECT case_id FROM vd WHERE verdict = 'SUPPORTED')")
-def rank_v6(spark: SparkSession, sf: str) -> DataFrame:
-    return R.v6_rank(adversarial_cases(spark))
+    def verdicts(spark: SparkSession, sf: str) -> DataFrame:
+        c = cases(spark, sf)
+        return G.verdicts(c, R.v2_rank(c))
 
+    def ranking(spark: SparkSession, sf: str) -> DataFrame:
+        return R.v6_rank(cases(spark, sf))
 
-# The gate over the conversations of a table; the queries above run on the adversarial set, as their SQL.
+    sql = {
+        "gate_evidence": (evidence, f"WITH {ranked}, {EVIDENCE} SELECT case_id, pos, {FIELDS} FROM evd"),
+        "gate_coverage": (coverage, f"WITH {ranked}, {VERDICT} SELECT case_id, requirement, memory_id, value, scope, coalesce(resolving, false) AS resolving FROM cg"),
+        "gate_verdicts": (verdicts, f"WITH {ranked}, {VERDICT} SELECT case_id, verdict, requirements, missing, selected FROM vd"),
+        "rank_v6": (ranking, f"WITH {ranked}, {VERDICT} SELECT case_id, rank, memory_id, score FROM rk WHERE case_id IN (SELECT case_id FROM vd WHERE verdict = 'SUPPORTED')"),
+    }
+    for name, (f, text) in sql.items():
+        f.__name__ = f"{name}{suffix}"
+        query(text)(f)
 
 
-@query()
-def gate_evidence_cases(spark: SparkSession, sf: str) -> DataFrame:
-    return G.evidence(conversation_cases(spark, sf).drop("role")).select("case_id", "pos", *FIELDS.split(", "))
+_gate("", ACCOUNTS, account_cases)
+_gate("_adversarial", CUSTOMERS, customer_cases)
+_gate("_cases", TALKS, lambda spark, sf: conversation_cases(spark, sf).drop("role"))
 
 
-@query()
-def gate_verdicts_cases(spark: SparkSession, sf: str) -> DataFrame:
-    c = conversation_cases(spark, sf).drop("role")
-    return G.verdicts(c, R.v2_rank(c))
-
-
-@query()
-def gate_coverage_cases(spark: SparkSession, sf: str) -> DataFrame:
-    c = conversation_cases(spark, sf).drop("role")
-    return G.coverage(c, R.v2_rank(c)).select("case_id", "requirement", "memory_id", "value", "scope", F.coalesce("resolving", F.lit(False)).alias("resolving"))
-
-
-@query()
-def rank_v6_cases(spark: SparkSession, sf: str) -> DataFrame:
-    return R.v6_rank(conversation_cases(spark, sf).drop("role"))
+@query(f"WITH {CUSTOMERS} SELECT case_id, rank, memory_id, score FROM rk")
+def rank_v2_adversarial(spark: SparkSession, sf: str) -> DataFrame:
+    return R.v2_rank(customer_cases(spark, sf))
 
 
 @query(f"""WITH {BM25}, tp AS (SELECT r.item_id, d.source FROM r JOIN documents d USING (doc_id) WHERE rank = 1), wt AS (SELECT item_id, min(source) AS wanted FROM gold JOIN documents USING (doc_id) GROUP BY item_id)

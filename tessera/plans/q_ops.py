@@ -73,16 +73,17 @@ def phrase_matches(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select(DOC, T.norm("text").alias("n")).select(DOC, T.has_phrase(F.col("n"), "the").alias("word"), T.has_phrase(F.col("n"), "of the").alias("phrase"))
 
 
-RANGES = ("1,3-5", "7-3, 2", "x,4-4", "10-2000,9", "", "5,5,1-2", "1 - 3,a-b")
-_VALUES = ", ".join(f"({k}, '{r}')" for k, r in enumerate(RANGES))
-
-
-@query(f"""WITH r(k, x) AS (VALUES {_VALUES}), p AS (SELECT k, unnest(string_split(x, ',')) AS s FROM r), v AS (SELECT k, regexp_replace(s, '[ \\t]+', '', 'g') AS s FROM p),
-b AS (SELECT k, split_part(s, '-', 1)::INT AS lo, CASE WHEN contains(s, '-') THEN split_part(s, '-', 2) ELSE s END::INT AS hi FROM v WHERE regexp_full_match(s, '[0-9]{{1,9}}(-[0-9]{{1,9}})?')),
-e AS (SELECT DISTINCT k, unnest(range(lo, hi + 1))::INT AS i FROM b WHERE hi >= lo AND hi - lo <= 1000) SELECT k, i FROM e""")
+@query(r"""WITH r AS (SELECT l_orderkey, l_linenumber, CASE l_linestatus WHEN 'O' THEN l_suppkey || '-' || (l_suppkey + l_linenumber) ELSE l_suppkey || ' - ' || l_linenumber END || CASE l_returnflag WHEN 'R' THEN ',x' WHEN 'A' THEN ', ' || l_suppkey ELSE ',0-' || l_partkey END AS x FROM lineitem),
+p AS (SELECT l_orderkey, l_linenumber, unnest(string_split(x, ',')) AS s FROM r), v AS (SELECT l_orderkey, l_linenumber, regexp_replace(s, '[ \t]+', '', 'g') AS s FROM p),
+b AS (SELECT l_orderkey, l_linenumber, split_part(s, '-', 1)::INT AS lo, CASE WHEN contains(s, '-') THEN split_part(s, '-', 2) ELSE s END::INT AS hi FROM v WHERE regexp_full_match(s, '[0-9]{1,9}(-[0-9]{1,9})?')),
+e AS (SELECT DISTINCT l_orderkey, l_linenumber, unnest(range(lo, hi + 1))::INT AS i FROM b WHERE hi >= lo AND hi - lo <= 1000)
+SELECT l_orderkey, l_linenumber, count(*) AS n, sum(i)::BIGINT AS total FROM e GROUP BY ALL""")
 def index_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    x = spark.createDataFrame(list(enumerate(RANGES)), "k int, x string")
-    return x.select("k", F.explode(T.index_ranges("x")).alias("i"))
+    """Ranges written from the numbers of every line: forward, backward, too wide and no number."""
+    one = F.when(F.col("l_linestatus") == "O", F.concat("l_suppkey", F.lit("-"), F.col("l_suppkey") + F.col("l_linenumber"))).otherwise(F.concat("l_suppkey", F.lit(" - "), "l_linenumber"))
+    two = F.when(F.col("l_returnflag") == "R", ",x").when(F.col("l_returnflag") == "A", F.concat(F.lit(", "), "l_suppkey")).otherwise(F.concat(F.lit(",0-"), "l_partkey"))
+    x = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.explode(T.index_ranges(F.concat(one, two))).alias("i")).distinct()
+    return x.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.sum(F.col("i").cast("long")).alias("total"))
 
 
 @query("SELECT conv_id, sha256(string_agg(role || ': ' || text, chr(10) ORDER BY turn, text)) AS h, count(*) AS n FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
@@ -111,13 +112,13 @@ def recencies(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.round(T.recency(F.col("ts").cast("timestamp")), 9).alias("recency"))
 
 
-TIMES = ("2026-07-01T12:00:00+00:00", "2026-07-01T12:00:00", "2026-07-01", "1:56 pm on 8 May, 2023", "", "2026-07-01T12:00:00Z")
-_TIMES = ", ".join(f"({k}, '{t}')" for k, t in enumerate(TIMES))
-
-
-@query(f"WITH r(k, x) AS (VALUES {_TIMES}) SELECT k, epoch({S.parse_time('x')})::BIGINT AS t FROM r")
+@query(f"""WITH r AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') WHEN 2 THEN strftime(ts, '%Y-%m-%d') WHEN 3 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' ELSE event_type END AS x FROM events)
+SELECT event_id, epoch({S.parse_time('x')})::BIGINT AS t FROM r""")
 def parsed_times(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(TIMES)), "k int, x string").select("k", F.unix_seconds(T.parse_time("x")).alias("t"))
+    """The events' times written in four forms, and every fifth as no time at all."""
+    k, second = F.col("event_id") % 5, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    x = F.when(k == 0, F.concat(second, F.lit("+00:00"))).when(k == 1, second).when(k == 2, F.date_format("ts", "yyyy-MM-dd")).when(k == 3, F.concat(second, F.lit("Z"))).otherwise(F.col("event_type"))
+    return table(spark, sf, "events").select("event_id", F.unix_seconds(T.parse_time(x)).alias("t"))
 
 
 BASES = r"""base AS (SELECT doc_id AS id, source, trim(regexp_extract(text, '^[^.!?\n]*[.!?]?')) AS query, source AS subject, lang AS relation, [substr(text, length(regexp_extract(text, '^[^.!?\n]*[.!?]?')) + 1)] AS gold, CASE lang WHEN 'en' THEN 'D1' WHEN 'de' THEN 'D2' WHEN 'fr' THEN 'D3' WHEN 'es' THEN 'D4' ELSE 'D5' END AS domain FROM documents),
@@ -203,6 +204,11 @@ def sole_event_type(spark: SparkSession, sf: str) -> DataFrame:
     return R.sole_value(table(spark, sf, "events"), "user_id", "event_type")
 
 
+@query("SELECT l_orderkey, min(l_linestatus) AS l_linestatus FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_linestatus) = 1")
+def sole_line_status(spark: SparkSession, sf: str) -> DataFrame:
+    return R.sole_value(table(spark, sf, "lineitem"), "l_orderkey", "l_linestatus")
+
+
 @query("SELECT conv_id, turn, text FROM conversations WHERE role = 'user'")
 def user_turns(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", "text")

@@ -50,9 +50,13 @@ def hashed(*parts: str) -> str:
     return "sha256(concat_ws(chr(31), " + ", ".join(f"({p})::VARCHAR" for p in parts) + "))"
 
 
-def domain(x: str, fallback: str) -> str:
+def stripped(x: str) -> str:
+    return rf"regexp_replace(coalesce({x}, ''), '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g')"
+
+
+def domain(x: str, fallback: str, table: dict = L.DOMAINS) -> str:
     out = []
-    for d, phrases in L.DOMAINS.items():
+    for d, phrases in table.items():
         single = "|".join(p for p in phrases if " " not in p)
         tests = [rf"regexp_matches({norm(x)}, '(^|[^a-z0-9_])({single})([^a-z0-9_]|$)')", *(f"contains({norm(x)}, '{p}')" for p in phrases if " " in p)]
         out.append(f"WHEN {' OR '.join(tests)} THEN '{d}'")
