@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._pack import fresh, written
 from tessera.llm.decontaminate import drop_contaminated
-from tessera.llm.mixing import mixed
+from tessera.llm.mixing import ADDED, mixed
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.quality import keep_good
 from tessera.llm.sharding import assign_shards
@@ -51,8 +51,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose tokens have tempered shares of sources, languages and topics."""
-    return mixed(docs).where("mix_kept").select(*docs.columns)
+    """A sample whose tokens have tempered shares of sources, languages and topics. Columns named as what the operator adds come back unchanged."""
+    quoted = {c: "`" + c.replace("`", "``") + "`" for c in docs.columns}
+    aside = {c: fresh(docs, f"own_{c.lower()}") for c in docs.columns if c.lower() in ADDED}
+    kept = mixed(docs.select(*(F.col(q).alias(aside.get(c, c)) for c, q in quoted.items()))).where("mix_kept")
+    return kept.select(*(F.col(aside.get(c, q)).alias(c) for c, q in quoted.items()))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

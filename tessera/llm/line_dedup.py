@@ -39,6 +39,22 @@ _TOKEN = 40
 _RESULT = "doc_id long, n_lines long, n_removed long, n_links long, class_id long, kept_text string"
 _RESULT_SCHEMA = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_lines", "n_removed", "n_links", "class_id")), ("kept_text", pa.string())])
 _NO_ID = np.iinfo(np.int64).max
+#: Lines of a part up to which a line's number and a word fit one number.
+_PACKED = 1 << (64 - _TOKEN)
+
+
+def _sets(line: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lines and their different tokens, sorted by both."""
+    if not len(line):
+        return line.astype(np.int64), token
+    if line.max() < _PACKED:
+        key = np.sort((line.astype(np.uint64) << np.uint64(_TOKEN)) | token)
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+        return (key >> np.uint64(_TOKEN)).astype(np.int64), key & np.uint64((1 << _TOKEN) - 1)
+    order = np.lexsort((token, line))
+    line, token = line[order].astype(np.int64), token[order]
+    new = np.concatenate([[True], (line[1:] != line[:-1]) | (token[1:] != token[:-1])])
+    return line[new], token[new]
 
 
 class Lines:
@@ -55,10 +71,7 @@ class Lines:
         full = words > 0
         self.start, self.end = start[full], feeds[full]
         new = np.cumsum(full) - 1
-        key = np.sort((new[line].astype(np.uint64) << np.uint64(_TOKEN)) | x) if len(x) else x
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-        self.token = key & np.uint64((1 << _TOKEN) - 1)
-        self.line = (key >> np.uint64(_TOKEN)).astype(np.int64)
+        self.line, self.token = _sets(new[line], x)
         self.size = np.bincount(self.line, minlength=len(self.start))
         self.off = np.concatenate([[0], np.cumsum(self.size)])
         self.doc_row = np.searchsorted(part.starts, self.start, "right") - 1

@@ -79,14 +79,15 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
 
 
 def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, temper: float = TEMPER, id_col: str = "doc_id", text_col: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None, salt: str = ":mix") -> DataFrame:
-    """docs, all columns (those of the following names are replaced), with mix_source, mix_lang, mix_topic, mix_tokens (words), mix_keep (probability), mix_kept.
+    """docs, all columns (those of the following names, in any case, are replaced), with mix_source, mix_lang, mix_topic, mix_tokens (words), mix_keep (probability), mix_kept.
 
     Null sources, languages and topics are values of their own, written as an empty text. Null and empty
     texts have no tokens: they weigh nothing and are dropped (probability 0) if no other document of the
     cell has tokens, else sampled like the cell's other documents. Rows that repeat a doc_id are kept or
     dropped together; a null doc_id counts as an empty text. An empty table gives no rows.
     """
-    docs = docs.select(*(c for c in docs.columns if c not in ADDED))
+    own = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c.lower() not in ADDED]  # names differ by more than case, and may hold dots
+    docs = docs.select(*own)
     value = {"source": F.col(source).cast("string"), "lang": F.col(lang).cast("string"), "topic": form_of(F.col(text_col)) if topic is None else topic.cast("string")}
     rows = docs.select("*", *(F.coalesce(v, F.lit("")).alias(f"mix_{d}") for d, v in value.items()), F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("mix_tokens"))
     cells = rows.groupBy(*(F.col(f"mix_{d}").alias(d) for d in DIMENSIONS)).agg(F.sum("mix_tokens").alias("tokens"))
@@ -95,4 +96,4 @@ def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
     few = keep.count() <= BROADCAST_CELLS
     joined = rows.join(F.broadcast(keep) if few else keep.hint("merge"), [f"mix_{d}" for d in DIMENSIONS], "left")
     chance = F.coalesce("mix_keep", F.lit(0.0))
-    return joined.select(*(joined[c] for c in docs.columns), *(f"mix_{d}" for d in DIMENSIONS), "mix_tokens", chance.alias("mix_keep"), (uniform_of(F.col(id_col), salt) < chance).alias("mix_kept"))
+    return joined.select(*own, *(f"mix_{d}" for d in DIMENSIONS), "mix_tokens", chance.alias("mix_keep"), (uniform_of(F.col(id_col), salt) < chance).alias("mix_kept"))

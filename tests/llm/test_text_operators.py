@@ -206,3 +206,28 @@ def test_words_are_texts_tokens(spark, sf):
     for t, got in zip(texts, words.numbers([t.encode() for t in texts]), strict=True):
         a, b = next(both.encode([t]))
         assert words.a.take(got, words.a.counts(got)).tolist() == list(a) and words.b.take(got, words.b.counts(got)).tolist() == list(b)
+
+
+def test_line_sets_beyond_packed_numbers(monkeypatch):
+    import numpy as np
+
+    from tessera.llm import line_dedup
+
+    r = np.random.default_rng(1)
+    line, token = np.sort(r.integers(0, 50, 4000)), r.integers(0, 30, 4000).astype(np.uint64)
+    want = line_dedup._sets(line, token)
+    monkeypatch.setattr(line_dedup, "_PACKED", 4)
+    got = line_dedup._sets(line, token)
+    assert all((a == b).all() for a, b in zip(got, want, strict=True)) and len(set(zip(*(x.tolist() for x in got), strict=True))) == len(got[0])
+
+
+def test_mixing_leaves_names_alone(spark):
+    import corpus_pipeline
+    from tessera.llm.mixing import mixed
+
+    rows = [(k, f"some words {k}", f"s{k % 2}", "en", "mine", k, "dot") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, MIX_KEEP string, mix_tokens long, `a.b` string")
+    assert [c for c in mixed(docs).columns if c.lower() == "mix_keep"] == ["mix_keep"] and "a.b" in mixed(docs).columns
+    kept = corpus_pipeline.mixing(spark, docs, "")
+    assert kept.columns == docs.columns and 0 < kept.count() <= 30
+    assert all(r["MIX_KEEP"] == "mine" and r["mix_tokens"] == r["doc_id"] and r["a.b"] == "dot" for r in kept.collect())
