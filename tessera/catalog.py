@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.plans import registry
 
 FLAGSHIP = "rank_bm25"
-MODULES = ("q_rank", "q_eval", "q_ops", "q_sampling", "q_cases", "q_corpora")
+MODULES = ("q_rank", "q_eval", "q_ops", "q_sampling", "q_cases", "q_corpora", "q_checks")
 
 for _name in MODULES:
     importlib.import_module(f"tessera.plans.{_name}")

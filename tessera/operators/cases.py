@@ -55,8 +55,10 @@ def decoys(asking: DataFrame, bases: DataFrame) -> DataFrame:
 
     N3: another subject of the domain; N4: another relation of the subject, not if the relation is implicit; N12: the same
     subject and relation; N9: a base of the domain whose first gold text shares more words with the query than any
-    of the own gold texts does. Other families have none.
+    of the own gold texts does. Other families have none. A null subject or relation is an empty one.
     """
+    filled = {c: F.coalesce(c, F.lit("")) for c in ("subject", "relation")}
+    asking, bases = asking.withColumns(filled), bases.withColumns(filled)
     pool = first_gold(bases)
     found = []
     for family, (same, different) in FAMILIES.items():
