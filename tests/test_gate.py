@@ -95,3 +95,18 @@ def test_the_gate_meets_the_conversations(spark, tmp_path):
     assert {r["case_id"]: r["verdict"] for r in run("gate_verdicts_cases")} == {"1": "SUPPORTED", "2": "INSUFFICIENT"}
     assert {(r["case_id"], r["pos"]): r["value"] for r in run("gate_evidence_cases")}[("1", 0)] is not None and len(run("gate_evidence_cases")) == 3
     assert {r["case_id"] for r in run("gate_coverage_cases")} == {"1", "2"} and {r["case_id"] for r in run("rank_v6_cases")} == {"1"}
+
+
+def test_relations_are_those_whose_alias_is_a_word(spark):
+    names = sorted(L.RELATIONS.items())
+    texts = ["", None, "The Phone number: phones", "time zone", "time  zone", "a responsible person-", "responsible person", "e-mail", "due date!", "ROOM\ncode_1 code-2 code", "ß pin", "registration number plate", *(f"x {a}." for a, _ in L.aliases())]
+    got = {r["t"]: r["r"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", G.relations(F.col("t")).alias("r")).collect()}
+    plain = lambda t: [r for r, ns in names if re.search(rf"(^|[^A-Za-z0-9_-])({'|'.join(ns)})([^A-Za-z0-9_-]|$)", (t or "").lower().replace("ß", "ss"))]
+    assert got == {t: plain(t) for t in texts}
+
+
+def test_word_boundaries_of_roles_are_ascii(spark):
+    texts = {"Doías de y.": "QUESTION", "Dooías": "UNKNOWN", "no\x0bvalue": "UNKNOWN", "no value": "NO_VALUE", "agendaé": "AGENDA", "So? ": "UNKNOWN", "So? \n": "QUESTION"}
+    rows = [(f"c{k}", k, f"m{k}", t, "2026-07-01", "q") for k, t in enumerate(texts)]
+    got = {r["text"]: r["role"] for r in G.evidence(spark.createDataFrame(rows, "case_id string, pos long, memory_id string, text string, ts string, query string")).collect()}
+    assert got == texts

@@ -50,3 +50,9 @@ def test_index_ranges_and_times(spark):
     assert [r["i"] for r in d.select(T.index_ranges("t").alias("i")).collect()] == [[1, 3, 4, 5], [2], [], []]
     t = spark.createDataFrame([("2026-08-08T00:00:00+00:00",), ("2026-07-09",), ("soon",), (None,), ("2027-01-01T00:00:00Z",)], "t string")
     assert [round(r["x"], 6) for r in t.select(T.recency(T.parse_time("t")).alias("x")).collect()] == [1.0, 0.5, 1.0, 1.0, 1.0]
+
+
+def test_domains_by_words_in_any_place(spark):
+    rows = ["", None, "phone", "phones", "the phone", "hotel-bus", "flight_1", "a member  of", "Member of\na club", "every\tday", "études, job"]
+    got = [r["d"] for r in spark.createDataFrame([(t,) for t in rows], "t string").select(T.domain_of("t", F.lit("-")).alias("d")).collect()]
+    assert got == ["-", "-", "D6", "-", "D6", "D5", "-", "D7", "D7", "D8", "D2"]
