@@ -1,9 +1,12 @@
 """Behaviour of rankers and gate on the adversarial set and on single statements."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessera import catalog
+from tessera.functions import lexicon as L
 from tessera.operators import gate as G
 from tessera.operators import metrics as M
 from tessera.operators import rankers as R
@@ -110,3 +113,9 @@ def test_word_boundaries_of_roles_are_ascii(spark):
     rows = [(f"c{k}", k, f"m{k}", t, "2026-07-01", "q") for k, t in enumerate(texts)]
     got = {r["text"]: r["role"] for r in G.evidence(spark.createDataFrame(rows, "case_id string, pos long, memory_id string, text string, ts string, query string")).collect()}
     assert got == texts
+
+
+def test_patterns_of_roles_hold_a_needed_word():
+    for role, _, patterns in L.ROLE_PATTERNS:
+        for p in patterns if role in G.NEEDED else ():
+            assert all(any(w in m for w in G.NEEDED[role]) for m in ("agenda item", "action item", "no value", "value missing", "contains no result", "without answer", "answer not present", "review of", "topic for", "discussion topic of", "still pending", "remains unknown", "pending value", "uncertain issue", "is not", "do not use", "wrong code", "discussed", "mention", "prompt", "query") if re.search(p, m))
