@@ -14,10 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.sizes import tasks
 
 MEMORY = "struct<id:string,text:string,ts:string>"
 #: Asking bases of one block, which is the build side of a hash join.
 BLOCK = 4096
+#: Rows of the pool that a block of asking bases meets at once.
+POOL_BLOCK = 8192
 BUDGET = 20
 #: Families with a decoy: columns that must be equal, and the one that must differ.
 FAMILIES: dict[str, tuple[tuple[str, ...], str | None]] = {"N3": (("domain",), "subject"), "N4": (("subject",), "relation"), "N12": (("subject", "relation"), None)}
@@ -26,14 +29,19 @@ FAMILIES: dict[str, tuple[tuple[str, ...], str | None]] = {"N3": (("domain",), "
 def paired(asking: DataFrame, pool: DataFrame, same: tuple[str, ...]) -> DataFrame:
     """asking with every other row of the pool that is equal in ``same``; both have an id, the pool's columns get the prefix o_.
 
-    A group's asking rows are dealt to blocks, and the pool's rows stream past the blocks of their group. Where a group has
-    one block a row travels once.
+    A group's asking rows and its rows of the pool are dealt to blocks, and each block of the one meets each of the other, so
+    what a task does is bounded however large the group is. Where a group has one block of each a row travels once.
     """
     n = asking.groupBy(*same).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
-    left = asking.join(n, list(same)).withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")).drop("_blocks")
-    right = pool.join(n, list(same)).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
-    right = right.select(*(F.col(c).alias(c) for c in (*same, "_block")), *(F.col(c).alias(f"o_{c}") for c in pool.columns))
-    return left.hint("shuffle_hash").join(right, [*same, "_block"]).where(F.col("id") != F.col("o_id")).drop("_block")
+    n = n.join(pool.groupBy(*same).agg(F.ceil(F.count("*") / POOL_BLOCK).cast("int").alias("_others")), list(same))
+    one = lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    left = asking.join(n, list(same)).withColumn("_block", one("_blocks")).withColumn("_other", every("_others")).drop("_blocks", "_others")
+    right = pool.join(n, list(same)).withColumn("_block", every("_blocks")).withColumn("_other", one("_others")).drop("_blocks", "_others")
+    keys = [*same, "_block", "_other"]
+    right = right.select(*(F.col(c).alias(c) for c in keys), *(F.col(c).alias(f"o_{c}") for c in pool.columns))
+    parts = tasks(pool)
+    return left.repartition(parts, *keys).hint("shuffle_hash").join(right.repartition(parts, *keys), keys).where(F.col("id") != F.col("o_id")).drop("_block", "_other")
 
 
 def first_gold(bases: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tessera.operators import cases as C
-from tessera.operators import flags, rankers, replay, thresholds
+from tessera.operators import flags, rankers, relational, replay, thresholds
 from tessera.sources import corpora, shards
 
 BASE = f"id string, source string, domain string, subject string, relation string, implicit_relation boolean, query string, gold array<{C.MEMORY}>, pool array<{C.MEMORY}>"
@@ -172,3 +172,22 @@ def test_odd_shards_are_errors(spark, tmp_path, odd, why):
     put(tmp_path, 1, **odd)
     with pytest.raises(Exception, match=why):
         shards.predictions(shards.read_shards(spark, str(tmp_path))).collect()
+
+
+def test_a_case_that_finds_few_fillers_below_the_bound_looks_at_all(spark):
+    pool = [(f"b{k}", "x", "D1", f"p{k % 50}") for k in range(150)]
+    barred = {"b0": [f"p{k}" for k in range(45)], "b1": None}
+    cases = spark.createDataFrame([(i, "D1", b) for i, b in barred.items()], "id string, domain string, barred array<string>")
+    got = relational.fillers(cases, spark.createDataFrame(pool, "id string, source string, domain string, print string"), 10).collect()
+    for i, bar in barred.items():
+        want = sorted((h("filler", i, s, o), o) for o, s, _, p in pool if o != i and p not in (bar or ()))[:10]
+        assert sorted((r["ord"], r["memory_id"]) for r in got if r["case_id"] == i) == want
+
+
+def test_a_pool_in_blocks_meets_all(spark, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK", 3)
+    monkeypatch.setattr(C, "POOL_BLOCK", 4)
+    asking = spark.createDataFrame([(f"a{k}", "g") for k in range(10)], "id string, domain string")
+    pool = spark.createDataFrame([(f"a{k}", "g") for k in range(25)], "id string, domain string")
+    got = [(r["id"], r["o_id"]) for r in C.paired(asking, pool, ("domain",)).collect()]
+    assert sorted(got) == sorted((f"a{i}", f"a{j}") for i in range(10) for j in range(25) if i != j)
