@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import sizes as Z
 
 VARIANTS = 32
 
@@ -86,8 +87,12 @@ def draw(cases: DataFrame, families: Mapping[str, int], sources: Mapping[str, in
     """cases (id, source, domain, a boolean column for each family) -> (stage, id, source, domain, family), or None.
 
     The first of the transport's variants that can be matched wins. order: what cases of a class are sorted by
-    before the hash.
+    before the hash. cases are computed once.
     """
+    return _draw(Z.once(cases), families, sources, domains, stage, order)
+
+
+def _draw(cases: DataFrame, families: Mapping[str, int], sources: Mapping[str, int], domains: Mapping[str, int], stage: str, order: Column | None) -> DataFrame | None:
     mask = sum((F.when(F.coalesce(F.col(f), F.lit(False)), F.lit(1 << k)).otherwise(0) for k, f in enumerate(families)), F.lit(0))
     x = cases.select("id", "source", "domain", mask.alias("mask"), (order if order is not None else F.lit(0)).alias("o"))
     classes = {(r["source"], r["domain"], r["mask"]): r["n"] for r in x.groupBy("source", "domain", "mask").agg(F.count("*").alias("n")).collect()}
@@ -107,8 +112,9 @@ def draw(cases: DataFrame, families: Mapping[str, int], sources: Mapping[str, in
         rows.append((s, d, m, f, first, first + n))
         at[s, d, m] = first + n
     plan = F.broadcast(cases.sparkSession.createDataFrame(rows, "source string, domain string, mask int, family string, lo int, hi int"))  # a row for each class and family
-    nth = F.row_number().over(Window.partitionBy("source", "domain", "mask").orderBy("o", T.stable_hash(F.lit("family"), F.lit(stage), "id"), "id")) - 1
-    y = x.withColumn("nth", nth).alias("x").join(plan.alias("p"), ["source", "domain", "mask"]).where("nth >= lo AND nth < hi")
+    nth = F.row_number().over(Window.partitionBy("source", "domain", "mask").orderBy("o", T.stable_hash(F.lit("family"), F.lit(stage), "id"), "id"))
+    first = x.withColumn("nth", nth).where(F.col("nth") <= max(hi for *_, hi in rows))  # a literal, so that few rows of a class are shuffled
+    y = first.alias("x").join(plan.alias("p"), ["source", "domain", "mask"]).where("nth > lo AND nth <= hi")
     return y.select(F.lit(stage).alias("stage"), "id", "source", "domain", "family")
 
 
@@ -116,15 +122,18 @@ def stages(cases: DataFrame, plans: Sequence[tuple[str, Mapping[str, int], Mappi
     """Samples of stages in order; a stage doesn't get what an earlier one has taken.
 
     If cases have a column stress, ev_b takes the least stressed of a class first and ev_c the most stressed.
+    cases are computed once, and so is each sample, which has as many rows as its quotas.
     """
+    cases = Z.once(cases)
     orders = {"ev_b": F.col("stress"), "ev_c": -F.col("stress")} if "stress" in cases.columns else {}
     out: list[DataFrame] = []
     for name, families, sources, domains in plans:
-        got = draw(cases, families, sources, domains, name, orders.get(name))
+        got = _draw(cases, families, sources, domains, name, orders.get(name))
         if got is None:
             raise ValueError(f"the quotas of {name} can't be met")
+        got = Z.once(got)
         out.append(got)
-        cases = cases.join(got.select("id"), "id", "left_anti")
+        cases = cases.join(F.broadcast(got.select("id")), "id", "left_anti")
     return out
 
 

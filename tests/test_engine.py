@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import catalog
+from tessera.functions import text
 from tessera.operators import flags, relational, sampling, thresholds
 from tessera.plans import q_ops, q_sampling
 from tessera.sources import readers, sinks
@@ -79,6 +80,44 @@ def test_order_of_a_stage_follows_stress(spark):
     assert [sorted(r["id"] for r in g.collect()) for g in got] == [["c0", "c1", "c2"], ["c6", "c7", "c8"], ["c3", "c4", "c5"]]
 
 
+def test_cases_of_stages_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(f"c{k}", "s", "d", True, k) for k in range(9)], "id string, source string, domain string, n10 boolean, stress int")
+    got = sampling.stages(rows.mapInArrow(count, rows.schema), [(name, {"n10": 3}, {"s": 3}, {"d": 3}) for name in ("ev_b", "ev_c")])
+    assert sorted(r["id"] for r in got[0].unionByName(got[1]).collect()) == ["c0", "c1", "c2", "c6", "c7", "c8"]
+    assert seen.value == 9
+
+
+def test_group_flags_scan_keys_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(1, "d", "A", "r"), (2, "d", "a ", "q"), (3, None, None, None), (4, None, "", "r"), (5, "e", "b", "r"), (6, "e", "b", "R")], "id long, domain string, subject string, relation string")
+    got = {r["id"]: (r["n3"], r["n4"], r["n12"]) for r in flags.group_flags(rows.mapInArrow(count, rows.schema)).collect()}
+    assert got == {1: (True, True, False), 2: (True, True, False), 3: (False, True, False), 4: (False, True, False), 5: (False, False, True), 6: (False, False, True)}
+    assert seen.value == 12  # the keys, and the rows that get the flags
+
+
+def test_reservoir_of_a_dealt_domain(spark):
+    rows = spark.range(700).select(F.col("id"), F.when(F.col("id") % 7 > 0, "d").alias("domain"))
+    got = flags.reservoir(rows, "t", 90, "id").collect()
+    for domain in ("d", None):
+        hashes = sorted((hashlib.sha256("\u001f".join(x for x in ("t", domain, str(k)) if x is not None).encode()).hexdigest(), k) for k in range(700) if (k % 7 > 0) == (domain is not None))
+        assert sorted(r["id"] for r in got if r["domain"] == domain) == sorted(k for _, k in hashes[:90])
+    odd = spark.createDataFrame([(x,) for x in (None, "", " ", "\t\n\r\f\x0b", "\u00a0", "’", "ß", " a", "\x00")], "x string")
+    assert odd.where(text.filled("x") != (text.norm("x") != "")).count() == 0
+
+
 def test_stress_gate_and_decisions():
     g = sampling.stress_gate({"a": 0.5, "b": 0.99, "c": 0.2}, {"a": 0.6, "b": 0.99, "c": 0.2}, {"a": 500, "b": 500, "c": 5}, 1)
     assert g["pass"] and g["dimensions"]["c"][0].startswith("insufficient")
