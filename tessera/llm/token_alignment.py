@@ -211,7 +211,10 @@ def _one(values: pa.Array) -> pa.Array:
 
 def _block(words: Words, ids: pa.Array, rows: list[np.ndarray]) -> pa.RecordBatch:
     """Documents as numbers of their different words, and these words' tokens."""
-    known, at = np.unique(np.concatenate([*rows, np.zeros(0, np.int64)]), return_inverse=True)
+    every = np.concatenate([*rows, np.zeros(0, np.int64)])
+    held = np.zeros(words.a.words, bool)
+    held[every] = True
+    known, at = np.flatnonzero(held), (np.cumsum(held, dtype=np.int32) - 1)[every]
     first = np.cumsum([0, *map(len, rows)])
     counts = [pool.counts(known) for pool in (words.a, words.b)]
     of_docs = [np.diff(np.append(0, np.cumsum(n[at]))[first]) for n in counts]
@@ -281,11 +284,13 @@ def _part(ids: Column, before: Column, last: Column) -> Column:
 def token_groups(w: Column, short: int = SHORT) -> Column:
     """The groups of a word: struct<a,b> of the ids on either side."""
 
-    def made(p: Column, q: Column) -> Column:
+    def made(at: Column) -> Column:
+        p, q = at["p"], at["q"]
         before = lambda x, g: F.when(g == 0, F.lit(-1)).otherwise(x[g - 1])
         return F.transform(p, lambda x, g: F.struct(_part(w["a_ids"], before(p, g), x).alias("a"), _part(w["b_ids"], before(q, g), q[g]).alias("b")))
 
-    return let(F.array_intersect(w["a_ends"], w["b_ends"]), lambda c: let(places(w["a_ends"], c, short), lambda p: let(places(w["b_ends"], c, short), lambda q: made(p, q))))
+    both = lambda c: F.struct(places(w["a_ends"], c, short).alias("p"), places(w["b_ends"], c, short).alias("q"))
+    return let(let(F.array_intersect(w["a_ends"], w["b_ends"]), both), made)  # let copies what body gives: the groups once
 
 
 def _runs(values: Column) -> Column:
@@ -306,7 +311,8 @@ def _pair(a: Column, b: Column) -> Column:
 def _aligned(w: Column, dense: int, short: int) -> Column:
     """Of a word: its groups, these as text, the links of groups of up to ``dense`` pairs one by one, those of others by id pair and number."""
     many = lambda x: F.size(x["a"]).cast("long") * F.size(x["b"]) > dense
-    every = lambda x: F.flatten(F.transform(x["a"], lambda y: F.transform(x["b"], lambda z: _pair(y, z))))
+    all_of = lambda x: F.flatten(F.transform(x["a"], lambda y: F.transform(x["b"], lambda z: _pair(y, z))))
+    every = lambda x: F.when(F.size(x["a"]) == 1, F.transform(x["b"], lambda z: _pair(x["a"][0], z))).when(F.size(x["b"]) == 1, F.transform(x["a"], lambda y: _pair(y, x["b"][0]))).otherwise(all_of(x))
     product = lambda x: F.flatten(F.transform(_runs(x["a"]), lambda y: F.transform(_runs(x["b"]), lambda z: F.struct(_pair(y["v"], z["v"]).alias("pair"), (y["n"] * z["n"]).alias("n")))))
     none = F.array().cast("array<struct<pair:bigint,n:bigint>>")
     marks = ("{[", "]}, {[", "], [", "]}")
@@ -345,17 +351,19 @@ def align_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for itself. Other columns are ignored. An empty table gives no rows.
     """
     blocks = tokenised(docs, id_col, text_col, a, b)
-    words = F.transform("words", lambda w: _aligned(w, dense, short))
     total = lambda col, of: F.aggregate(col, F.lit(0).cast("long"), lambda acc, x: acc + of(x))
+    # Columns, not lets: a block's aligned words are laid out as bytes once, not as objects that each let copies.
+    blocks = blocks.select("docs", F.transform("words", lambda w: _aligned(w, dense, short)).alias("words"))
+    blocks = blocks.select("docs", "words", F.exists("words", lambda x: F.size(x["wide"]) > 0).alias("some"))
 
-    def document(d: Column, w: Column, some: Column) -> Column:
-        each = lambda c: F.transform(d["words"], lambda k: w[k][c])
-        wide = F.flatten(each("wide"))
-        groups = total(d["words"], lambda k: w[k]["n_groups"])
-        return F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), groups.alias("n_groups"), F.array_join(each("text"), ";").alias("groups"), F.flatten(each("links")).alias("links"), F.when(some, wide).otherwise(F.array().cast("array<struct<pair:bigint,n:bigint>>")).alias("wide"))
+    def document(d: Column) -> Column:
+        return let(F.transform(d["words"], lambda k: F.col("words")[k]), lambda w: joined(d, w))
 
-    wide = lambda w: F.exists(w, lambda x: F.size(x["wide"]) > 0)
-    rows = blocks.select(F.explode(let(words, lambda w: let(wide(w), lambda some: F.transform("docs", lambda d: document(d, w, some))))).alias("d")).select("d.*")
+    def joined(d: Column, w: Column) -> Column:
+        wide = F.when(F.col("some"), F.flatten(w["wide"])).otherwise(F.array().cast("array<struct<pair:bigint,n:bigint>>"))
+        return F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), total(w["n_groups"], lambda n: n).alias("n_groups"), F.array_join(w["text"], ";").alias("groups"), F.flatten(w["links"]).alias("links"), wide.alias("wide"))
+
+    rows = blocks.select(F.explode(F.transform("docs", document)).alias("d")).select("d.*")
     return rows.withColumn("n_links", F.size("links") + total(F.col("wide"), lambda x: x["n"]))
 
 
