@@ -5,11 +5,12 @@ higher-order functions and DataFrames:
 
 1. Texts are cut into words where a single space stands between two others than white space. Tokens of both
    tokenizers begin there, so a text's tokens are those of its words in a row. A few megabytes of documents are one
-   row: their different words, each with the ids of both tokenizers (A and B) and the byte offsets at which their
-   tokens end, and each document as numbers of its words.
-2. array_intersect of the two arrays of ends gives the cuts of a word. transform and sequence make groups of ids from
+   row: their different words, each with the ids of both tokenizers (A, then B) and the number of its shape, the shapes (the
+   byte offsets at which the tokens of either end: all that an alignment depends on), and each document as numbers of its words.
+2. array_intersect of the two arrays of ends gives the cuts of a shape. transform and sequence make groups of tokens from
    the cuts' places among the ends. In a long word a cut's place follows from the sorted union of both arrays: of the
-   j-th number that stands there twice, at place k, it is k - j. Where both arrays are equal every end is a cut.
+   j-th number that stands there twice, at place k, it is k - j. Words of one shape share this; each takes its
+   ids from the shape's groups.
 3. The links of a group are all pairs of an A and a B token of it. A group with many pairs counts the different ids
    of either side first, by runs in a sorted array, and multiplies. A document's groups and links are those of its words.
 4. Documents are counted by id pair, each A id's highest count is found, and both come back to the documents by a
@@ -38,9 +39,9 @@ TOKENIZER_B = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words that a worker process remembers, by 64-bit fingerprints.
 WORDS = 600_000
 #: Bytes of text whose documents share a row.
-BLOCK = 4 << 20
-#: Characters of new words that are tokenised in one run.
-RUN = 1 << 16
+BLOCK = 3 << 20
+#: Bytes of new words that are tokenised in one run.
+RUN = 1 << 13
 #: Tokens of either side up to which a cut is looked for from the first end on.
 SHORT = 64
 #: Pairs of one group beyond which its ids are counted before they are paired.
@@ -56,11 +57,11 @@ _ENDS = np.zeros(256, bool)
 _ENDS[0x21:0x7F] = True
 _TWO = np.zeros(256, bool)
 _TWO[0xC3:0xE0] = True
-_COLUMNS = ("a_ids", "a_ends", "b_ids", "b_ends")
-_BLOCK = f"docs array<struct<doc_id:long,n_a:long,n_b:long,words:array<int>>>, words array<struct<{','.join(f'{c}:array<int>' for c in _COLUMNS)}>>"
+_BLOCK = "docs array<struct<doc_id:long,n_a:long,n_b:long,words:array<int>>>, of array<int>, ids array<array<long>>, marked array<array<int>>, shapes array<struct<a_ends:array<int>,b_ends:array<int>>>"
+_PRODUCTS = "array<struct<pair:bigint,n:bigint>>"
 _INTS = pa.list_(pa.int32())
 _DOCS = pa.list_(pa.struct([("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("words", _INTS)]))
-_WORDS = pa.list_(pa.struct([(c, _INTS) for c in _COLUMNS]))
+_SHAPES = pa.list_(pa.struct([("a_ends", _INTS), ("b_ends", _INTS)]))
 
 
 def byte_table() -> dict[str, int]:
@@ -100,6 +101,12 @@ class Tokenizers:
             yield (x.ids, theirs) if yes else None
 
 
+def _ranges(firsts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """So many numbers from each of firsts on, one range after the other."""
+    ends = np.cumsum(counts)
+    return np.repeat(firsts - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class _Pool:
     """Numbers of words one after the other, as arrays that double when they are full."""
 
@@ -119,8 +126,7 @@ class _Pool:
         return self.first[words + 1] - self.first[words]
 
     def take(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        ends = np.cumsum(counts)
-        return self.ids[np.repeat(self.first[words] - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return self.ids[_ranges(self.first[words], counts)]
 
 
 def word_cuts(buf: np.ndarray) -> np.ndarray:
@@ -137,14 +143,14 @@ class Words:
     def __init__(self, both: Tokenizers):
         self.both, self.clear = both, True
 
-    def learn(self, new: list[str]) -> np.ndarray:
-        """Numbers for new words; those that begin and end without white space are tokenised in runs, as their texts are."""
+    def learn(self, new: list[str], sizes: np.ndarray) -> np.ndarray:
+        """Numbers for new words of ``sizes`` bytes; those that begin and end without white space are tokenised in runs, as their texts are."""
         out = np.full(len(new), -1, np.int64)
         plain = [k for k, w in enumerate(new) if not (w[0].isspace() or w[-1].isspace())]
-        sizes = np.cumsum([len(new[k]) for k in plain]) // RUN
-        cuts = [*np.flatnonzero(np.diff(sizes, prepend=-1)).tolist(), len(plain)]
+        runs = np.cumsum(sizes[plain]) // RUN
+        cuts = [*np.flatnonzero(np.diff(runs, prepend=-1)).tolist(), len(plain)]
         for i, j in itertools.pairwise(cuts):
-            self.learn_run(new, plain[i:j], out)
+            self.learn_run(new, plain[i:j], sizes, out)
         rest = np.flatnonzero(out < 0).tolist()
         for k, x in zip(rest, self.both.encode([new[k] for k in rest]), strict=True):
             if x:
@@ -153,12 +159,12 @@ class Words:
                     pool.add(np.array(ids, np.int32), np.array([len(ids)]))
         return out
 
-    def learn_run(self, new: list[str], run: list[int], out: np.ndarray) -> None:
+    def learn_run(self, new: list[str], run: list[int], sizes: np.ndarray, out: np.ndarray) -> None:
         whole = next(self.both.encode([" ".join([new[k] for k in run])]))
         if whole is None:
             return
         out[run] = np.arange(self.a.words, self.a.words + len(run))
-        ends = np.cumsum([1 + len(new[k].encode()) for k in run])
+        ends = np.cumsum(1 + sizes[run])
         for pool, ids, size in zip((self.a, self.b), whole, (self.both.a_len, self.both.b_len), strict=True):
             x = np.array(ids, np.int32)
             pool.add(x, np.diff(np.searchsorted(np.cumsum(size[x], dtype=np.int64), ends) + 1, prepend=0))
@@ -172,7 +178,8 @@ class Words:
         full = [t for t in texts if t]
         if not full:
             return [none] * len(texts)
-        buf = np.frombuffer(b"\n".join(full), np.uint8)
+        raw = b"\n".join(full)
+        buf = np.frombuffer(raw, np.uint8)
         last = np.cumsum([len(t) + 1 for t in full]) - 1
         cuts = word_cuts(buf)
         ends = np.sort(np.concatenate([cuts, last]))
@@ -183,7 +190,8 @@ class Words:
         near = place < len(self.known)
         new[near] = self.known[place[near]] != words[near]
         if new.any():
-            got = self.learn([buf[i:j].tobytes().decode() for i, j in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            begin, end = starts[first[new]], ends[first[new]]
+            got = self.learn([raw[i:j].decode() for i, j in zip(begin.tolist(), end.tolist(), strict=True)], end - begin)
             self.known, self.number = np.insert(self.known, place[new], words[new]), np.insert(self.number, place[new], got)
         self.clear = len(self.known) > WORDS
         of = self.number[np.searchsorted(self.known, words)][at]
@@ -200,8 +208,8 @@ def _give_back() -> None:
             ctypes.CDLL(None).malloc_trim(0)
 
 
-def _lists(values: np.ndarray, firsts: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.append(firsts, len(values)), pa.int32()), pa.array(values, pa.int32()))
+def _lists(values: np.ndarray, firsts: np.ndarray, kind: pa.DataType = pa.int32()) -> pa.Array:  # noqa: B008
+    return pa.ListArray.from_arrays(pa.array(np.append(firsts, len(values)), pa.int32()), pa.array(values, kind))
 
 
 def _one(values: pa.Array) -> pa.Array:
@@ -218,21 +226,35 @@ def _block(words: Words, ids: pa.Array, rows: list[np.ndarray]) -> pa.RecordBatc
     first = np.cumsum([0, *map(len, rows)])
     counts = [pool.counts(known) for pool in (words.a, words.b)]
     of_docs = [np.diff(np.append(0, np.cumsum(n[at]))[first]) for n in counts]
-    cols = []
-    for pool, n, size in zip((words.a, words.b), counts, (words.both.a_len, words.both.b_len), strict=True):
-        tokens = pool.take(known, n)
-        begin = np.cumsum(n) - n
-        ends = np.cumsum(size[tokens], dtype=np.int64)
-        cols += [_lists(tokens, begin), _lists(ends - np.repeat(np.append(0, ends)[begin], n), begin)]
+    begin = np.cumsum(counts[0] + counts[1]) - counts[0] - counts[1]
+    tokens, sums, sides = np.empty(int(sum(n.sum() for n in counts)), np.int64), np.zeros(len(known), np.uint64), []
+    marked = np.empty((len(tokens), 2), np.int32)  # a token's id and a digit: 1 where one of its side follows in its group, else 2 (A), 3 (B)
+    for k, (pool, n, size) in enumerate(zip((words.a, words.b), counts, (words.both.a_len, words.both.b_len), strict=True)):
+        x = pool.take(known, n)
+        to = _ranges(begin + k * counts[0], n)
+        tokens[to] = x if k else x.astype(np.int64) << 32
+        marked[to] = 10 * x[:, None] + np.array([1, 2 + k], np.int32)
+        start = np.cumsum(n) - n
+        ends = np.cumsum(size[x], dtype=np.int64)
+        ends -= np.repeat(np.append(0, ends)[start], n)
+        total = np.append(np.uint64(0), np.cumsum(T.mix((2 * ends + k).astype(np.uint64)), dtype=np.uint64))
+        sums += total[start + n] - total[start]
+        sides.append((start, n, ends))
+        del x, to, total  # a block's arrays are large beside an executor's memory
+    _, one, of = np.unique(sums, return_index=True, return_inverse=True)  # a shape's fingerprint: the sum over its ends
+    cols = [_lists(ends[_ranges(start[one], n[one])], np.cumsum(n[one]) - n[one]) for start, n, ends in sides]
     docs = pa.StructArray.from_arrays([ids, pa.array(of_docs[0]), pa.array(of_docs[1]), _lists(at, first[:-1])], ["doc_id", "n_a", "n_b", "words"])
-    return pa.RecordBatch.from_arrays([_one(docs).cast(_DOCS), _one(pa.StructArray.from_arrays(cols, list(_COLUMNS))).cast(_WORDS)], ["docs", "words"])
+    shapes = pa.StructArray.from_arrays(cols, ["a_ends", "b_ends"])
+    cols = [_one(docs).cast(_DOCS), _one(pa.array(of, pa.int32())), _one(_lists(tokens, begin, pa.int64())), _one(_lists(marked.ravel(), 2 * begin)), _one(shapes).cast(_SHAPES)]
+    return pa.RecordBatch.from_arrays(cols, ["docs", "of", "ids", "marked", "shapes"])
 
 
 _made: dict[int, Words] = {}
 
 
 def tokenised(docs: DataFrame, id_col: str, text_col: str, a: str, b: str) -> DataFrame:
-    """Blocks of rows: docs (doc_id, numbers of tokens, words) and the tokens of these words."""
+    """Blocks of rows: docs (doc_id, numbers of tokens, words); of these words the numbers of their shapes (of), the ids (A's times
+    2^32, then B's) and marked, of each id 10 times it plus either digit that _written knows; the shapes."""
     with open(a, "rb") as f, open(b, "rb") as g:  # on the driver, which sends the vocabularies to the tasks
         files = f.read(), g.read()
 
@@ -308,36 +330,50 @@ def _pair(a: Column, b: Column) -> Column:
     return F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
 
 
-def _aligned(w: Column, dense: int, short: int) -> Column:
-    """Of a word: its groups, these as text, the links of groups of up to ``dense`` pairs one by one, those of others by id pair and number."""
+def _product(x: Column) -> Column:
+    """A group's different id pairs, each with the number of its links."""
+    return F.flatten(F.transform(_runs(x["a"]), lambda y: F.transform(_runs(x["b"]), lambda z: F.struct(y["v"].bitwiseOR(z["v"]).alias("pair"), (y["n"] * z["n"]).alias("n")))))
+
+
+def _shape(s: Column, dense: int, short: int) -> Column:
+    """Of a shape, with tokens as places in a word's ids: n_groups, the places in a word's marked ids that its text takes (order), the
+    two sides (left, right) of the links of groups of up to ``dense`` pairs, and the other groups (wide)."""
+    a, b = F.size(s["a_ends"]), F.size(s["b_ends"])
+    numbered = F.struct(F.sequence(F.lit(0), a - 1).alias("a_ids"), s["a_ends"], F.sequence(a, a + b - 1).alias("b_ids"), s["b_ends"])
     many = lambda x: F.size(x["a"]).cast("long") * F.size(x["b"]) > dense
-    all_of = lambda x: F.flatten(F.transform(x["a"], lambda y: F.transform(x["b"], lambda z: _pair(y, z))))
-    every = lambda x: F.when(F.size(x["a"]) == 1, F.transform(x["b"], lambda z: _pair(x["a"][0], z))).when(F.size(x["b"]) == 1, F.transform(x["a"], lambda y: _pair(y, x["b"][0]))).otherwise(all_of(x))
-    product = lambda x: F.flatten(F.transform(_runs(x["a"]), lambda y: F.transform(_runs(x["b"]), lambda z: F.struct(_pair(y["v"], z["v"]).alias("pair"), (y["n"] * z["n"]).alias("n")))))
-    none = F.array().cast("array<struct<pair:bigint,n:bigint>>")
-    marks = ("{[", "]}, {[", "], [", "]}")
+    behind = lambda x: F.transform(x, lambda y, k: 2 * y + (k == F.size(x) - 1).cast("int"))
 
-    def made(groups: Column, text: Column, links: Column, wide: Column) -> Column:
-        return F.struct(F.size(groups).alias("n_groups"), text.alias("text"), links.alias("links"), wide.alias("wide"))
+    # The links of a group: each A token as often as it has B tokens, beside these as often as it has A tokens.
+    lefts = lambda x: F.when(F.size(x["b"]) == 1, x["a"]).otherwise(F.flatten(F.transform(x["a"], lambda y: F.array_repeat(y, F.size(x["b"])))))
+    rights = lambda x: F.when(F.size(x["a"]) == 1, x["b"]).otherwise(F.flatten(F.array_repeat(x["b"], F.size(x["a"]))))
+    few = a.cast("long") * b <= dense
 
-    def plain(g: Column) -> Column:
-        return made(g, _written(g, marks), F.flatten(F.transform(g, every)), none)
+    def made(g: Column) -> Column:
+        order = F.flatten(F.transform(g, lambda x: F.concat(behind(x["a"]), behind(x["b"]))))
+        kept = F.when(few, g).otherwise(F.filter(g, lambda x: ~many(x)))
+        left, right = (F.flatten(F.transform(kept, side)) for side in (lefts, rights))
+        wide = F.when(few, F.array().cast("array<struct<a:array<int>,b:array<int>>>")).otherwise(F.filter(g, many))
+        return F.struct(F.size(g).alias("n_groups"), order.alias("order"), left.alias("left"), right.alias("right"), wide.alias("wide"))
 
-    def long(g: Column) -> Column:
-        return made(g, _written(g, marks), F.flatten(F.transform(F.filter(g, lambda x: ~many(x)), every)), F.flatten(F.transform(F.filter(g, many), product)))
+    return let(token_groups(numbered, short), made)
 
-    same = made(w["a_ids"], _written(F.arrays_zip(w["a_ids"], w["b_ids"]), ("{", "}, {", ", ", "}")), F.zip_with(w["a_ids"], w["b_ids"], _pair), none)
-    few = F.size(w["a_ids"]).cast("long") * F.size(w["b_ids"]) <= dense
-    return F.when(w["a_ends"] == w["b_ends"], same).otherwise(let(token_groups(w, short), lambda g: F.when(few, plain(g)).otherwise(long(g))))
 
+def _taken(ids: Column, places: Column) -> Column:
+    return F.transform(places, lambda k: ids[k])
 
-def _written(groups: Column, marks: tuple[str, str, str, str]) -> Column:
-    """Groups as ``a1,a2|b1;a3|b2,b3``, from how Spark writes an array: what stands before the first group, between groups,
-    between a group's sides and behind the last group is told by marks."""
-    first, between, sides, last = marks
-    x = F.replace(F.replace(groups.cast("string"), F.lit(between), F.lit(";")), F.lit(sides), F.lit("|"))
-    x = F.replace(x, F.lit(", "), F.lit(",")) if sides != ", " else x
-    return let(x, lambda y: F.substr(y, F.lit(len(first) + 2), F.length(y) - len(first) - len(last) - 2))
+
+def _wide(s: Column, ids: Column) -> Column:
+    """Of a word of shape ``s``: the links of its groups of many pairs, by id pair and number."""
+    products = F.transform(s["wide"], lambda x: let(F.struct(_taken(ids, x["a"]).alias("a"), _taken(ids, x["b"]).alias("b")), _product))
+    return F.when(F.size(s["wide"]) > 0, F.flatten(products)).otherwise(F.array().cast(_PRODUCTS))
+
+
+def _written(marked: Column) -> Column:
+    """Groups as ``a1,a2|b1;a3|b2,b3``, from how Spark writes an array of numbers whose last digit tells what comes behind them."""
+    x = marked.cast("string")
+    for digit, mark in ((1, ","), (2, "|"), (3, ";")):
+        x = F.replace(x, F.lit(f"{digit}, "), F.lit(mark))
+    return F.substr(x, F.lit(2), F.length(x) - 3)
 
 
 def align_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a: str = TOKENIZER_A, b: str = TOKENIZER_B, dense: int = DENSE, short: int = SHORT) -> DataFrame:
@@ -351,20 +387,23 @@ def align_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for itself. Other columns are ignored. An empty table gives no rows.
     """
     blocks = tokenised(docs, id_col, text_col, a, b)
-    total = lambda col, of: F.aggregate(col, F.lit(0).cast("long"), lambda acc, x: acc + of(x))
-    # Columns, not lets: a block's aligned words are laid out as bytes once, not as objects that each let copies.
-    blocks = blocks.select("docs", F.transform("words", lambda w: _aligned(w, dense, short)).alias("words"))
-    blocks = blocks.select("docs", "words", F.exists("words", lambda x: F.size(x["wide"]) > 0).alias("some"))
+    # Columns, not lets: a block's aligned words are laid out as bytes once, not as objects that each let copies. Arithmetic and
+    # structs are kept out of what is done for each token or word: Spark interprets lambdas, and these cost the most.
+    blocks = blocks.select("docs", "of", "ids", "marked", F.transform("shapes", lambda s: _shape(s, dense, short)).alias("shapes"))
+    shape = lambda k: F.col("shapes")[k]
+    texts = F.zip_with("of", "marked", lambda k, marked: _written(_taken(marked, shape(k)["order"])))
+    links = F.zip_with("of", "ids", lambda k, ids: F.zip_with(shape(k)["left"], shape(k)["right"], lambda x, y: ids[x].bitwiseOR(ids[y])))
+    wide = F.when(F.exists("shapes", lambda s: F.size(s["wide"]) > 0), F.zip_with("of", "ids", lambda k, ids: _wide(shape(k), ids)))
+    blocks = blocks.select("docs", F.transform("of", lambda k: shape(k)["n_groups"]).alias("n_groups"), texts.alias("texts"), links.alias("links"), wide.alias("wide"))
 
     def document(d: Column) -> Column:
-        return let(F.transform(d["words"], lambda k: F.col("words")[k]), lambda w: joined(d, w))
-
-    def joined(d: Column, w: Column) -> Column:
-        wide = F.when(F.col("some"), F.flatten(w["wide"])).otherwise(F.array().cast("array<struct<pair:bigint,n:bigint>>"))
-        return F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), total(w["n_groups"], lambda n: n).alias("n_groups"), F.array_join(w["text"], ";").alias("groups"), F.flatten(w["links"]).alias("links"), wide.alias("wide"))
+        of = lambda col: F.transform(d["words"], lambda k: F.col(col)[k])
+        n_groups = F.aggregate(d["words"], F.lit(0).cast("long"), lambda acc, k: acc + F.col("n_groups")[k])
+        wide = F.when(F.col("wide").isNotNull(), F.flatten(of("wide"))).otherwise(F.array().cast(_PRODUCTS))
+        return F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), n_groups.alias("n_groups"), F.array_join(of("texts"), ";").alias("groups"), F.flatten(of("links")).alias("links"), wide.alias("wide"))
 
     rows = blocks.select(F.explode(F.transform("docs", document)).alias("d")).select("d.*")
-    return rows.withColumn("n_links", F.size("links") + total(F.col("wide"), lambda x: x["n"]))
+    return rows.withColumn("n_links", F.size("links") + F.aggregate("wide", F.lit(0).cast("long"), lambda acc, x: acc + x["n"]))
 
 
 def _ids(pair: Column) -> list[Column]:

@@ -198,6 +198,19 @@ def test_alignment_of_nothing(spark):
     assert token_alignment.alignment_digests(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_words_of_one_shape_are_aligned_once(spark):
+    """Words whose tokens end at the same bytes share a shape, whatever their ids."""
+    docs = spark.createDataFrame([(1, "the and for"), (2, "was not hethed, the"), (3, None)], "doc_id long, text string").coalesce(1)
+    (block,) = token_alignment.tokenised(docs, "doc_id", "text", token_alignment.TOKENIZER_A, token_alignment.TOKENIZER_B).collect()
+    ends = [(tuple(block.shapes[k].a_ends), tuple(block.shapes[k].b_ends)) for k in block.of]
+    assert len(block.ids) == 6 and len(block.shapes) == len(set(ends)) == 2 and [len(d.words) for d in block.docs] == [3, 4, 0]
+    both = both_tokenizers()
+    for ids, marked, (a_ends, b_ends) in zip(block.ids, block.marked, ends, strict=True):
+        a, b = [x >> 32 for x in ids[: len(a_ends)]], ids[len(a_ends) :]
+        assert list(itertools.accumulate(int(both.a_len[x]) for x in a)) == list(a_ends) and list(itertools.accumulate(int(both.b_len[x]) for x in b)) == list(b_ends)
+        assert marked == [y for x, end in [*((x, 2) for x in a), *((x, 3) for x in b)] for y in (10 * x + 1, 10 * x + end)]
+
+
 def test_words_are_texts_tokens(spark, sf):
     """Words tokenised one by one give the tokens of the whole text."""
     both = both_tokenizers()
