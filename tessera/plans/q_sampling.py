@@ -16,7 +16,7 @@ FAMILIES = {"n2": 4, "n3": 12, "n4": 12, "n11": 8, "n12": 12, "n10": 12}
 
 
 def cases(spark: SparkSession, sf: str) -> DataFrame:
-    return X.all_flags(bases(spark, sf)).select(F.col("id").cast("string").alias("id"), "source", "domain", *FAMILIES, X.stress_count().alias("stress"))
+    return X.all_flags(bases(spark, sf), whole=True).select(F.col("id").cast("string").alias("id"), "source", "domain", *FAMILIES, X.stress_count().alias("stress"))
 
 
 @query()

@@ -274,3 +274,14 @@ def test_freshness_and_summary():
     assert not thresholds.freshness("a", {"a": "2"}, d, "PASS_NO_MATERIAL_CONTAMINATION", 0)["matches"]
     assert not thresholds.freshness("a", d, {"a": "1", "b": "1"}, "PASS_NO_MATERIAL_CONTAMINATION", 0)["distinct"]
     assert thresholds.summary({"x": {"status": "PASS"}, "y": None}) == {"x": "PASS", "y": None}
+
+
+def test_n9_of_whole_tables_meets_every_base(spark, crowded):
+    sf, base = crowded
+    toks = {b[0]: (set(b[2].rstrip(".").lower().split()), set(b[3].lower().split())) for b in base}
+    got = {r["id"]: r["n9"] for r in flags.all_flags(q_ops.bases(spark, sf), whole=True).collect()}
+    want = {i: any(len(toks[i][0] & toks[b[0]][1]) > len(toks[i][0] & toks[i][1]) for b in base if b[4] == d and b[0] != i) for i, _, _, _, d in base}
+    assert got == want and 0 < sum(want.values()) < len(want)
+    stress = q_sampling.cases(spark, sf).join(flags.all_flags(q_ops.bases(spark, sf), whole=True).select(F.col("id").cast("string").alias("id"), flags.stress_count().alias("s")), "id")
+    assert stress.where("stress <> s").count() == 0 and stress.count() == len(base)
+    assert sum(got.values()) > sum(r["n9"] for r in flags.all_flags(q_ops.bases(spark, sf)).collect())
