@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import relational as R
 from tessera.operators.sizes import tasks
 
 MEMORY = "struct<id:string,text:string,ts:string>"
@@ -54,10 +55,6 @@ def printed(text: Column) -> Column:
     return F.sha2(T.norm(text), 256)
 
 
-def _terms(x: Column | str) -> Column:
-    return F.array_distinct(T.tokens(x))
-
-
 def decoys(asking: DataFrame, bases: DataFrame) -> DataFrame:
     """(id, decoy) of asking bases (the columns of bases, family): the other base of their family's kind whose hash with them is lowest.
 
@@ -73,19 +70,10 @@ def decoys(asking: DataFrame, bases: DataFrame) -> DataFrame:
         own = asking.where(F.col("family") == family)
         if family == "N4":
             own = own.where(~F.coalesce("implicit_relation", F.lit(False)))
-        x = paired(own.select("id", *dict.fromkeys((*same, different or same[0]))), pool.select("id", "source", *dict.fromkeys((*same, different or same[0]))), same)
-        if different:
-            x = x.where(F.col(different) != F.col(f"o_{different}"))
-        found.append(x.select("id", F.struct(T.stable_hash(F.lit("decoy"), F.lit(family), "id", "o_source", "o_id").alias("h"), F.col("o_id").alias("decoy")).alias("x")))
-    shared = lambda text: F.size(F.array_intersect(_terms("query"), _terms(text)))
-    own = asking.where(F.col("family") == "N9").select("id", "domain", _terms("query").alias("q"), F.array_max(F.transform("gold", lambda g: shared(g["text"]))).alias("best"))
-    others = bases.where(F.size("gold") > 0).select("id", "domain", _terms(F.get("gold", F.lit(0))["text"]).alias("g"))
-    x = paired(own, others, ("domain",)).where(F.size(F.array_intersect("q", "o_g")) > F.col("best"))
-    found.append(x.select("id", F.struct(T.stable_hash(F.lit("decoy"), F.lit("N9"), "id", "o_id").alias("h"), F.col("o_id").alias("decoy")).alias("x")))
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    return every.groupBy("id").agg(F.min("x")["decoy"].alias("decoy"))
+        found.append(R.decoys(pool, family, list(same), different, own))
+    texts = lambda x: x.where(F.size("gold") > 0).select("id", "domain", "query", F.transform("gold", lambda g: g["text"]).alias("gold"))
+    found.append(R.better_decoys(texts(asking.where(F.col("family") == "N9")), texts(bases)))
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
 
 
 def fillers(asking: DataFrame, bases: DataFrame, budget: int = BUDGET) -> DataFrame:
